@@ -26,7 +26,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1024
+DEFAULT_BUCKETS = None  # sized from the plan's size estimate
+MAX_BUCKETS = 4096
+BYTES_PER_BUCKET = 128 << 20
+
+
+def auto_buckets(df: DataFrame, bytes_per_bucket: int = BYTES_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
+    """Bucket count from Catalyst's size estimate of ``df`` (no job is run): about
+    one bucket per ``bytes_per_bucket`` of input, a power of two, at most
+    ``max_buckets``. Small inputs get one bucket (no boundary sketch needed)."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # e.g. a remote session without plan access
+        return 256
+    b = 1
+    while b < max_buckets and b * bytes_per_bucket < size:
+        b *= 2
+    return b
 
 
 def _cols(xs) -> list[str]:
@@ -37,8 +53,10 @@ def _cols(xs) -> list[str]:
     return list(xs)
 
 
-def uniform_bucket(u_col: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
+def uniform_bucket(u_col: Column, buckets: int = 1024) -> Column:
     """Bucket of a uniform [0,1) column; monotone in u."""
+    if buckets <= 1:
+        return F.lit(0)
     return F.least(F.floor(u_col * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
 
 
@@ -55,20 +73,30 @@ def _bucket_offsets(df: DataFrame, by: list[str], bucket: str, weight: str | Non
     )
 
 
-def bucket_of(df: DataFrame, bounds: str, x: str, out: str = "_bkt", max_len: int = DEFAULT_BUCKETS) -> DataFrame:
-    """``out`` = number of elements of the sorted array ``bounds`` that are < ``x``.
-
-    Two-level search: count the stride-``k`` coarse elements below ``x`` (k =
-    sqrt(len)), then count inside one k-slice: about 2*sqrt(len) comparisons
-    per row instead of len, with no nested expressions."""
+def _stride(max_len: int) -> int:
     k = 1
     while k * k < max_len:
         k *= 2
-    arr = F.col(bounds)
-    coarse = F.filter(arr, lambda t, i: ((i + 1) % k == 0) & (t < F.col(x)))
-    df = df.withColumn("_coarse", F.size(coarse))
-    fine = F.filter(F.slice(arr, F.col("_coarse") * k + 1, k), lambda t: t < F.col(x))
-    return df.withColumn(out, F.col("_coarse") * k + F.size(fine)).drop("_coarse")
+    return k
+
+
+def with_coarse(bounds_df: DataFrame, bounds: str, max_len: int = MAX_BUCKETS) -> DataFrame:
+    """Add ``<bounds>_coarse``: every k-th boundary (k = sqrt(len)); computed once per
+    group on the small boundary table."""
+    k = _stride(max_len)
+    return bounds_df.withColumn(f"{bounds}_coarse", F.filter(F.col(bounds), lambda t, i: (i + 1) % k == 0))
+
+
+def bucket_of(df: DataFrame, bounds: str, x: str, out: str = "_bkt", max_len: int = MAX_BUCKETS) -> DataFrame:
+    """``out`` = number of elements of the sorted array ``bounds`` that are < ``x``.
+
+    Two-level search over ``<bounds>_coarse`` (from ``with_coarse``) then one
+    k-slice: about 2*sqrt(len) comparisons per row instead of len."""
+    k = _stride(max_len)
+    coarse = F.size(F.filter(F.col(f"{bounds}_coarse"), lambda t: t < F.col(x)))
+    df = df.withColumn("_coarse", coarse)
+    fine = F.filter(F.slice(F.col(bounds), F.col("_coarse") * k + 1, k), lambda t: t < F.col(x))
+    return df.withColumn(out, F.col("_coarse") * k + F.size(fine)).drop("_coarse", f"{bounds}_coarse")
 
 
 def with_positions(
@@ -148,13 +176,24 @@ def exact_quantiles(
     base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     # 1. distinct values with multiplicity: a hot value becomes one row
     d = base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_w"))
+    buckets = buckets if buckets else auto_buckets(base)
+    pr = F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
+    frac = F.col("_h") - F.floor("_h")
+    if buckets <= 1:
+        # small input: one ordered window per group over its distinct values
+        win = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        c = (d.withColumn("_cend", F.sum("_w").over(win)).withColumn("n", F.sum("_w").over(Window.partitionBy(*by)))
+             .withColumn("_cstart", F.col("_cend") - F.col("_w")))
+        c = c.select(*by, "_x", "_cstart", "_cend", "n", pr).withColumn("_h", (F.col("n") - 1) * F.col("p"))
+        c = c.where(((F.floor("_h") >= F.col("_cstart")) & (F.floor("_h") < F.col("_cend")))
+                    | ((F.ceil("_h") >= F.col("_cstart")) & (F.ceil("_h") < F.col("_cend"))))
+        res = c.groupBy(*by, "p", "n", "_h").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        return res.select(*out_by, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("q"),
+                          F.col("n").cast("long").alias("n"))
     # 2. approximate boundaries per group (mergeable sketch), then monotone bucket
-    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = d.groupBy(*by).agg(F.percentile_approx("_x", grid, 4 * buckets).alias("_bounds"))
-    db = bucket_of(d.join(bounds, on=by, how="inner"), "_bounds", "_x", max_len=buckets).drop("_bounds")
+    db = value_buckets(d, by, "_x", buckets)
     offs = _bucket_offsets(db, by, "_bkt", "_w")
     # 3. target 0-based ranks per prob: floor(h), ceil(h) with h = (n-1)p
-    pr = F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
     tgt = (
         offs.select(*by, "_btotal").distinct()
         .select(*by, F.col("_btotal").alias("n"), pr)
@@ -174,7 +213,6 @@ def exact_quantiles(
     res = hit.groupBy(*by, "p", "n", "_h").agg(
         F.min_by("_x", "_r").alias("_lo"), F.max_by("_x", "_r").alias("_hi")
     )
-    frac = F.col("_h") - F.floor("_h")
     return res.select(
         *out_by, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("q"), F.col("n").cast("long").alias("n")
     )
@@ -185,11 +223,14 @@ def exact_median(df: DataFrame, value: str, by=None, out: str = "median") -> Dat
     return exact_quantiles(df, value, [0.5], by).select(*_cols(by), F.col("q").alias(out))
 
 
-def value_buckets(d: DataFrame, by: list[str], x: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def value_buckets(d: DataFrame, by: list[str], x: str, buckets: int) -> DataFrame:
     """Add ``_bkt``: a bucket monotone in ``x`` within each ``by`` group, from
-    approximate-quantile boundaries (one mergeable-sketch aggregate)."""
+    approximate-quantile boundaries (one mergeable-sketch aggregate). One bucket
+    needs no sketch."""
+    if buckets <= 1:
+        return d.withColumn("_bkt", F.lit(0))
     grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = d.groupBy(*by).agg(F.percentile_approx(x, grid, 4 * buckets).alias("_bounds"))
+    bounds = with_coarse(d.groupBy(*by).agg(F.percentile_approx(x, grid, 4 * buckets).alias("_bounds")), "_bounds", buckets)
     return bucket_of(d.join(bounds, on=by, how="inner"), "_bounds", x, max_len=buckets).drop("_bounds")
 
 
@@ -208,6 +249,13 @@ def cumulative_before(
     if not by:
         d = d.withColumn("_g", F.lit(0))
         by = ["_g"]
+    buckets = buckets if buckets else auto_buckets(d)
+    if buckets <= 1:
+        win = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        wall = Window.partitionBy(*by)
+        for w in weights:
+            d = d.withColumn(f"{w}_before", F.sum(w).over(win) - F.col(w)).withColumn(f"{w}_total", F.sum(w).over(wall))
+        return d.drop("_g") if not out_by else d
     db = value_buckets(d, by, x, buckets)
     tot = db.groupBy(*by, "_bkt").agg(*[F.sum(w).alias(f"_bt_{w}") for w in weights])
     wb = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)

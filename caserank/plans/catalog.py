@@ -196,7 +196,7 @@ _F_DBL_CASES = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in O.FEATURES)
 
 @register("p13_profile", _CASES + f""",
 wide AS (SELECT {_F_DBL_CASES} FROM cases),
-long AS (UNPIVOT INCLUDE NULLS wide ON {_FEATS} INTO NAME "column" VALUE value)
+long AS (SELECT * FROM wide UNPIVOT INCLUDE NULLS (value FOR "column" IN ({_FEATS})))
 SELECT "column", {R('min(value)')} AS min, {R('quantile_cont(value, 0.25)')} AS q1, {R('median(value)')} AS median,
        {R('avg(value)')} AS mean, {R('quantile_cont(value, 0.75)')} AS q3, {R('max(value)')} AS max,
        CAST(count(*) - count(value) AS BIGINT) AS nulls
@@ -290,3 +290,150 @@ GROUP BY f.is_cash_loan, q1, median, q3, f.n""")
 def q_box(spark, sf):
     from ..operators.profile import box_stats
     return rounded(box_stats(_cases(spark, sf), "loan_amount", "is_cash_loan"))
+
+
+# --- I3-I10: one query per imputation policy (on the decoded cases) -------------
+
+@register("i3_formula_fill", _CASES + f"\nSELECT case_id, {R('COALESCE(other, toa - (principal + interest))')} AS other FROM cases")
+def q_i3(spark, sf):
+    from ..operators.impute import fill_expr
+    c = fill_expr(_cases(spark, sf), "other", F.col("toa") - (F.col("principal") + F.col("interest")))
+    return rounded(c.select("case_id", "other"))
+
+
+@register("i4_median_fill", _CASES + """
+SELECT case_id, COALESCE(contract_days, CAST(floor((SELECT median(contract_days) FROM cases)) AS INTEGER)) AS contract_days
+FROM cases""")
+def q_i4(spark, sf):
+    from ..operators.impute import fill_stat
+    c = fill_stat(_cases(spark, sf), "contract_days", "median", post=F.floor)
+    return c.select("case_id", "contract_days")
+
+
+@register("i5_i6_bernoulli_fill", _CASES + f""",
+probs AS (SELECT avg(bailiff) AS pb, avg(closed_execution) AS pce, avg(external_agency) AS pea FROM cases),
+b AS (SELECT case_id, closed_execution, external_agency,
+        COALESCE(bailiff, CASE WHEN {O.U('case_id', 'bern:bailiff')} < (SELECT pb FROM probs) THEN 1 ELSE 0 END) AS bailiff
+      FROM cases)
+SELECT case_id, CAST(bailiff AS INTEGER) AS bailiff,
+  CAST(COALESCE(closed_execution, CASE WHEN bailiff = 0 THEN 0 WHEN bailiff = 1 THEN
+       CASE WHEN {O.U('case_id', 'bern:closed_execution')} < (SELECT pce FROM probs) THEN 1 ELSE 0 END END) AS INTEGER) AS closed_execution,
+  CAST(COALESCE(external_agency, CASE WHEN {O.U('case_id', 'bern:external_agency')} < (SELECT pea FROM probs) THEN 1 ELSE 0 END) AS INTEGER) AS external_agency
+FROM b""")
+def q_i5(spark, sf):
+    from ..operators.impute import bernoulli_probs, fill_bernoulli, fill_expr
+    c0 = _cases(spark, sf)
+    p = bernoulli_probs(c0, ["bailiff", "closed_execution", "external_agency"])
+    c = fill_bernoulli(c0, "bailiff", "case_id", p.getField("bailiff"))
+    c = fill_expr(c, "closed_execution", F.lit(0), where=F.col("bailiff") == 0)
+    c = fill_bernoulli(c, "closed_execution", "case_id", p.getField("closed_execution"), where=F.col("bailiff") == 1)
+    c = fill_bernoulli(c, "external_agency", "case_id", p.getField("external_agency"))
+    return c.select("case_id", "bailiff", "closed_execution", "external_agency")
+
+
+@register("i7_empirical_fill", _CASES + "," + O._cdf("cases", "land", "land_cdf").strip() +
+          f"\nSELECT case_id, CAST({O._empirical('cases', 'land', 'land_cdf')} AS INTEGER) AS land FROM cases")
+def q_i7(spark, sf):
+    from ..operators.impute import fill_empirical
+    return fill_empirical(_cases(spark, sf), "land", "case_id").select("case_id", "land")
+
+
+@register("i8_group_mean_fill", _CASES + f""",
+lm AS (SELECT land, avg(mean_salary) AS m FROM cases GROUP BY land)
+SELECT c.case_id, {R('COALESCE(c.mean_salary, lm.m)')} AS mean_salary FROM cases c LEFT JOIN lm ON c.land = lm.land""")
+def q_i8(spark, sf):
+    from ..operators.impute import fill_group_stat
+    return rounded(fill_group_stat(_cases(spark, sf), "mean_salary", "land", "mean").select("case_id", "mean_salary"))
+
+
+@register("i9_group_median_fill", _CASES + f""",
+lm AS (SELECT is_cash_loan, median(loan_amount) AS m FROM cases WHERE is_cash_loan IS NOT NULL GROUP BY is_cash_loan)
+SELECT c.case_id, {R('COALESCE(c.loan_amount, lm.m)')} AS loan_amount FROM cases c LEFT JOIN lm ON c.is_cash_loan = lm.is_cash_loan""")
+def q_i9(spark, sf):
+    from ..operators.impute import fill_group_stat
+    return rounded(fill_group_stat(_cases(spark, sf), "loan_amount", "is_cash_loan", "median").select("case_id", "loan_amount"))
+
+
+@register("i10_donor_fill", _CASES + f""",
+c1 AS (SELECT * REPLACE (COALESCE(is_female, 1) AS is_female) FROM cases),
+donors AS (SELECT age AS dv, row_number() OVER (ORDER BY {O.U('case_id', 'donor:age:order')}, case_id) AS dpos
+           FROM c1 WHERE is_female = 1 AND age <> -1)
+SELECT c1.case_id, CAST(CASE WHEN c1.age = -1 THEN COALESCE((SELECT dv FROM donors WHERE dpos =
+       floor({O.U('c1.case_id', 'donor:age')} * (SELECT count(*) FROM donors)) + 1), c1.age) ELSE c1.age END AS INTEGER) AS age
+FROM c1""")
+def q_i10(spark, sf):
+    from ..operators.impute import fill_constant, fill_donor
+    c = fill_constant(_cases(spark, sf), "is_female", 1)
+    c = fill_donor(c, "age", "case_id", recipient=F.col("age") == -1,
+                   donor=(F.col("is_female") == 1) & (F.col("age") != -1))
+    return c.select("case_id", "age")
+
+
+# --- X1-X6: splits, samples, permutations, resamples, scaling -------------------
+
+@register("x1_split", _CASES + f"""
+SELECT case_id, CAST(CASE WHEN {O.U('case_id', 'split')} < 0.6 THEN 0 WHEN {O.U('case_id', 'split')} < 0.8 THEN 1 ELSE 2 END AS INTEGER) AS split
+FROM cases""")
+def q_x1(spark, sf):
+    from ..operators.sampling import split
+    return split(_cases(spark, sf).select("case_id"), "case_id", [0.6, 0.2, 0.2])
+
+
+@register("x2_sample_exact", _CASES + f"""
+SELECT case_id FROM cases ORDER BY {O.U('case_id', 'sample')}, case_id
+LIMIT (SELECT CAST(floor(count(*) * 0.6) AS BIGINT) FROM cases)""")
+def q_x2(spark, sf):
+    from ..operators.sampling import sample_fraction_exact
+    return sample_fraction_exact(_cases(spark, sf).select("case_id"), "case_id", 0.6)
+
+
+def _perm_sql(cols, salt="perm"):
+    parts = [f"""dst AS (SELECT case_id, row_number() OVER (ORDER BY {O.U('case_id', salt + ':dst')}, case_id) AS pos FROM cases)"""]
+    sel, joins = [], []
+    for i, c in enumerate(cols):
+        parts.append(f"""s{i} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {O.U('case_id', salt + ':' + c)}, case_id) AS pos FROM cases)""")
+        sel.append(f"s{i}.v AS {c}")
+        joins.append(f"JOIN s{i} ON s{i}.pos = dst.pos")
+    return _CASES + ",\n" + ",\n".join(parts) + f"\nSELECT dst.case_id, {', '.join(sel)} FROM dst " + " ".join(joins)
+
+
+@register("x3_permute_column", _perm_sql(["dpd"]))
+def q_x3(spark, sf):
+    from ..operators.sampling import permute_columns
+    return permute_columns(_cases(spark, sf).select("case_id", "dpd"), "case_id", ["dpd"])
+
+
+@register("x4_permute_basket", _perm_sql(["dpd", "contract_days", "age"]))
+def q_x4(spark, sf):
+    """A basket of columns, each shuffled independently."""
+    from ..operators.sampling import permute_columns
+    return permute_columns(_cases(spark, sf).select("case_id", "dpd", "contract_days", "age"), "case_id",
+                           ["dpd", "contract_days", "age"])
+
+
+@register("x5_resample_splits", _CASES + f""",
+rep AS (SELECT case_id, r AS replicate FROM cases, range(1, 4) t(r))
+SELECT replicate, CAST(CASE WHEN ('0x' || substr(md5(CAST(case_id AS VARCHAR) || '|rs' || CAST(replicate AS VARCHAR)), 1, 8))::BIGINT
+       / 4294967296.0::DOUBLE < 0.6 THEN 0 ELSE 1 END AS INTEGER) AS split, count(*) AS n
+FROM rep GROUP BY ALL""")
+def q_x5(spark, sf):
+    """Repeated random 60/40 splits (one salt per replicate), sizes per replicate."""
+    from ..functions.core import u
+    from ..operators.sampling import replicate
+    r = replicate(_cases(spark, sf).select("case_id"), 3)
+    r = r.withColumn("split", F.when(u("case_id", F.concat(F.lit("rs"), F.col("replicate").cast("string"))) < 0.6, 0)
+                     .otherwise(1).cast("int"))
+    return r.groupBy("replicate", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NRM = ["toa", "dpd", "age", "land", "mean_salary"]
+
+
+@register("x6_min_max", _CASES + ", b AS (SELECT " + ", ".join(
+    f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in _NRM) + " FROM cases)\nSELECT case_id, " + ", ".join(
+    R(f"CASE WHEN {c} IS NULL THEN NULL WHEN {c}_hi = {c}_lo THEN 0.0 ELSE ({c} - {c}_lo) / ({c}_hi - {c}_lo) END") + f" AS {c}_nrm"
+    for c in _NRM) + " FROM cases, b")
+def q_x6(spark, sf):
+    from ..operators.sampling import min_max
+    c = _cases(spark, sf)
+    return rounded(min_max(c, _NRM).select("case_id", *[f"{x}_nrm" for x in _NRM]))
