@@ -437,3 +437,187 @@ def q_x6(spark, sf):
     from ..operators.sampling import min_max
     c = _cases(spark, sf)
     return rounded(min_max(c, _NRM).select("case_id", *[f"{x}_nrm" for x in _NRM]))
+
+
+# --- D3/D4: segment success ------------------------------------------------------
+
+def _seg_sql(weighting: str) -> str:
+    w = "rows_" if weighting == "event_row" else "1"
+    extra = ", r.rows_ AS rows_" if weighting == "event_row" else ""
+    rows = ", rw AS (SELECT case_id, count(*) AS rows_ FROM payments GROUP BY case_id)" if weighting == "event_row" else ""
+    join = "JOIN rw r ON r.case_id = s.case_id" if weighting == "event_row" else ""
+    return O.with_ctes(*O.BASE, O.labels_cte()) + rows + f""",
+pc AS (SELECT c.land, s.toa, s.sum_payments, s.sum_num_payments{extra} FROM cases c JOIN labels_sums s ON c.case_id = s.case_id {join}),
+agg AS (SELECT land, sum(sum_payments * {w}) AS paid, sum(toa * {w}) AS toa_, sum(sum_num_payments * {w}) / sum({w}) AS mean_num_payments,
+        CAST(sum({w}) AS BIGINT) AS weight FROM pc GROUP BY land),
+f AS (SELECT *, CASE WHEN toa_ IS NULL OR paid IS NULL THEN NULL WHEN toa_ = 0 THEN (CASE WHEN paid > 0 THEN 1 WHEN paid < 0 THEN 0 END)
+             WHEN paid / toa_ >= 0.05 THEN 1 ELSE 0 END AS s1, CASE WHEN mean_num_payments > 2 THEN 1 ELSE 0 END AS s2 FROM agg)
+SELECT land, CAST(CASE WHEN s2 > s1 THEN s2 ELSE s1 END AS INTEGER) AS segment_success,
+       {R('CASE WHEN toa_ <> 0 THEN paid / toa_ END')} AS paid_ratio, {R('mean_num_payments')} AS mean_num_payments, weight
+FROM f"""
+
+
+@register("d3_segment_success", _seg_sql("case"))
+def q_d3(spark, sf):
+    """D3 (per-case weighting) with land as the segment."""
+    from ..operators.label import segment_success
+    from ..sources.fixtures import payments_raw
+    return rounded(segment_success(_cases(spark, sf), study.clean_payments(payments_raw(spark, sf)), "land"))
+
+
+@register("d3_a11_segment_success_event_rows", _seg_sql("event_row"))
+def q_d3e(spark, sf):
+    """D3 exactly as the study weights it: case sums repeated on every payment row."""
+    from ..operators.label import segment_success
+    from ..sources.fixtures import payments_raw
+    return rounded(segment_success(_cases(spark, sf), study.clean_payments(payments_raw(spark, sf)), "land",
+                                   weighting="event_row"))
+
+
+@register("d4_s4_segment_names", _CASES + """
+SELECT s.land, n.segment_name, s.n FROM (SELECT land, count(*) AS n FROM cases GROUP BY land) s
+LEFT JOIN (SELECT CAST(i AS INTEGER) AS land, 'segment_' || lpad(CAST(i AS VARCHAR), 2, '0') AS segment_name FROM range(1, 21) t(i)) n
+ON s.land = n.land""")
+def q_d4(spark, sf):
+    """Caller-supplied names for segment ids 1..20 from a literal lookup table."""
+    from ..operators.label import name_segments
+    from ..operators.profile import frequencies
+    counts = frequencies(_cases(spark, sf), "land").drop("share")
+    names = [f"segment_{i:02d}" for i in range(1, 21)]
+    return name_segments(spark, counts, "land", names).select("land", "segment_name", "n")
+
+
+# --- M10-M13, M20, W4, W7: evaluation on scored rows --------------------------------
+# score = sum of quantities of an order, label = sum(extendedprice) >= totalprice,
+# grouped by market segment (see FIXTURES.md "Per-segment metrics")
+
+_SCORED_SQL = """
+scored AS (
+  SELECT c.c_mktsegment AS segment, CAST(sum(l.l_quantity) AS DOUBLE) AS score,
+         CAST(sum(l.l_extendedprice) >= o.o_totalprice AS INTEGER) AS label
+  FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
+  GROUP BY o.o_orderkey, o.o_totalprice, c.c_mktsegment)"""
+
+
+def _scored(spark, sf):
+    from ..sources.tables import read_table
+    o = read_table(spark, sf, "orders")
+    li = read_table(spark, sf, "lineitem")
+    c = read_table(spark, sf, "customer")
+    per = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("score"), F.sum("l_extendedprice").alias("_ext"))
+    j = per.join(o, per.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    return j.select(F.col("c_mktsegment").alias("segment"), F.col("score").cast("double").alias("score"),
+                    (F.col("_ext") >= F.col("o_totalprice")).cast("int").alias("label"))
+
+
+_ROC_SQL = O.with_ctes(_SCORED_SQL, """
+sc AS (SELECT segment, score, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM scored GROUP BY segment, score)""", """
+cum AS (SELECT *, sum(pos) OVER w - pos AS pos_before, sum(neg) OVER w - neg AS neg_before,
+               sum(pos) OVER (PARTITION BY segment) AS n_pos, sum(neg) OVER (PARTITION BY segment) AS n_neg
+        FROM sc WINDOW w AS (PARTITION BY segment ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", """
+roc AS (SELECT segment, score AS threshold, pos, neg, pos_before, neg_before, n_pos, n_neg,
+               (n_pos - pos_before) / n_pos AS sensitivity, neg_before / n_neg AS specificity,
+               ((n_neg - neg_before) + pos_before) / (n_pos + n_neg) AS class_error FROM cum)""")
+
+
+@register("m10_roc_points", _ROC_SQL + f"""
+SELECT segment, threshold, {R('sensitivity')} AS sensitivity, {R('specificity')} AS specificity, {R('class_error')} AS class_error
+FROM roc""")
+def q_roc(spark, sf):
+    from ..operators.metrics import roc_points
+    r = roc_points(_scored(spark, sf), "score", "label", "segment")
+    return rounded(r.select("segment", "threshold", "sensitivity", "specificity", "class_error"))
+
+
+@register("m10_m11_m12_m20_evaluate_by_segment", _ROC_SQL + f""",
+best AS (SELECT segment, arg_min(struct_pack(threshold, sensitivity, specificity, class_error),
+                 struct_pack(d := (1 - sensitivity) ^ 2 + (1 - specificity) ^ 2, t := threshold)) AS b,
+                sum(pos * (neg_before + neg / 2.0)) / (max(n_pos) * max(n_neg)) AS auc, max(n_pos) + max(n_neg) AS n
+         FROM roc GROUP BY segment)
+SELECT segment, {R('auc')} AS auc, b.threshold AS threshold, {R('b.sensitivity')} AS sensitivity,
+       {R('b.specificity')} AS specificity, {R('b.class_error')} AS class_error, CAST(n AS BIGINT) AS n FROM best""")
+def q_eval(spark, sf):
+    """M10 AUC (ties half), M11 closest-top-left threshold, M12 class error at it, M20 per segment."""
+    from ..operators.metrics import evaluate_binary
+    return rounded(evaluate_binary(_scored(spark, sf), "score", "label", "segment"))
+
+
+@register("m10_overall_auc", O.with_ctes(_SCORED_SQL, """
+sc AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY score)""", """
+cum AS (SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS neg_before FROM sc)""") + f"""
+SELECT {R('sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg))')} AS auc FROM cum""")
+def q_auc_all(spark, sf):
+    from ..operators.metrics import evaluate_binary
+    return rounded(evaluate_binary(_scored(spark, sf), "score", "label").select("auc"))
+
+
+@register("m12_confusion_at_threshold", O.with_ctes(_SCORED_SQL) + """
+SELECT segment, CAST(score >= 150 AS INTEGER) AS pred, label, count(*) AS n FROM scored GROUP BY ALL""")
+def q_confusion(spark, sf):
+    """Confusion table of the rule score >= 150 per segment."""
+    from ..operators.metrics import confusion_counts
+    s = _scored(spark, sf).withColumn("pred", (F.col("score") >= 150).cast("int"))
+    return confusion_counts(s, "pred", "label", "segment")
+
+
+@register("m13_regression_error", _CASES + f"""
+SELECT is_cash_loan, {R('avg((dpd / 365.0 - contract_days / 365.0) ^ 2)')} AS mse,
+       {R('avg(CASE WHEN dpd <> 0 THEN abs(dpd / 365.0 - contract_days / 365.0) / (dpd / 365.0) END)')} AS mean_abs_prop,
+       count(*) AS n
+FROM cases WHERE dpd IS NOT NULL AND contract_days IS NOT NULL GROUP BY is_cash_loan""")
+def q_regerr(spark, sf):
+    """MSE and MeanAbsProp (relative to the prediction) of predicting the
+    contract age (years) by the days past due (years)."""
+    from ..operators.metrics import regression_error
+    c = (_cases(spark, sf).where(F.col("dpd").isNotNull() & F.col("contract_days").isNotNull())
+         .withColumn("pred", F.col("dpd") / 365.0).withColumn("y", F.col("contract_days") / 365.0))
+    return rounded(regression_error(c, "pred", "y", "is_cash_loan"))
+
+
+# --- M1, M1b, M3: correlation matrix, complete-case matrix, row distances ------------
+
+def _corr_sql(src: str, complete: bool, rnd: bool = True) -> str:
+    feats = O.FEATURES
+    where = (" WHERE " + " AND ".join(f"{f} IS NOT NULL" for f in feats)) if complete else ""
+    pairs = []
+    for a in feats:
+        for b in feats:
+            v = (f"CASE WHEN stddev_samp({a}) > 0 THEN 1.0 END" if a == b else PEARSON(a, b))
+            pairs.append(f"SELECT '{a}' AS var_a, '{b}' AS var_b, {R(v) if rnd else v} AS corr FROM src")
+    return f"src AS (SELECT * FROM {src}{where})\n" + "\nUNION ALL\n".join(pairs)
+
+
+@register("m1_corr_matrix", O.with_ctes(*O.labelled()) + ",\n" + _corr_sql("labelled", False))
+def q_corr(spark, sf):
+    from ..operators.stats import corr_matrix
+    return rounded(corr_matrix(study.labelled_cases(spark, sf), study.FEATURES))
+
+
+@register("m1b_corr_complete_cases", _CASES + ",\n" + _corr_sql("cases", True))
+def q_corr_cc(spark, sf):
+    """R ``cor(use="complete.obs")`` on the raw (not imputed) cases."""
+    from ..operators.stats import corr_matrix
+    return rounded(corr_matrix(_cases(spark, sf), study.FEATURES, complete_only=True))
+
+
+_SQL_M3 = O.with_ctes(*O.labelled()) + ",\ncm AS (" + _corr_sql("labelled", False, rnd=False).replace(
+    "src AS (SELECT * FROM labelled)\n", "") + """),
+cm0 AS (SELECT var_a, var_b, COALESCE(corr, 0.0) AS corr FROM cm)
+SELECT a.var_a AS var_a, b.var_a AS var_b, round(sqrt(sum((a.corr - b.corr) ^ 2)), 6) AS dist
+FROM cm0 a JOIN cm0 b ON a.var_b = b.var_b GROUP BY a.var_a, b.var_a"""
+
+
+@register("m3_corr_row_distances", _SQL_M3.replace("FROM src", "FROM labelled"))
+def q_dist(spark, sf):
+    """M3 distances: Euclidean distance between rows of the correlation matrix."""
+    from ..operators.stats import corr_matrix, row_distances
+    cm = corr_matrix(study.labelled_cases(spark, sf), study.FEATURES)
+    return rounded(row_distances(cm.fillna(0.0, subset=["corr"])))
+
+
+@register("m3_correlation_baskets", None)
+def q_baskets(spark, sf):
+    """M3: complete-linkage baskets (k=4) of the correlation-matrix rows; the
+    linkage runs on p points (checked against a NumPy brute force in tests)."""
+    from ..operators.stats import correlation_baskets
+    return correlation_baskets(study.labelled_cases(spark, sf), study.FEATURES, k=4)
