@@ -621,3 +621,104 @@ def q_baskets(spark, sf):
     linkage runs on p points (checked against a NumPy brute force in tests)."""
     from ..operators.stats import correlation_baskets
     return correlation_baskets(study.labelled_cases(spark, sf), study.FEATURES, k=4)
+
+
+# --- M4-M7, I13: nearest neighbours ----------------------------------------------
+
+POP_FEATURES = [f for f in O.FEATURES if f != "population"]
+
+
+def _nrm_sql(src: str, feats, name: str) -> str:
+    b = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in feats)
+    cols = ", ".join(
+        f"CASE WHEN {c}_hi = {c}_lo THEN 0.0 ELSE (CAST({c} AS DOUBLE) - {c}_lo) / ({c}_hi - {c}_lo) END AS {c}" for c in feats)
+    return f"{name}_b AS (SELECT {b} FROM {src}),\n{name} AS (SELECT s.* EXCLUDE ({', '.join(feats)}), {cols} FROM {src} s, {name}_b)"
+
+
+def _dist_sql(a: str, b: str, feats) -> str:
+    return "round(sqrt(" + " + ".join(f"({a}.{f} - {b}.{f}) ^ 2" for f in feats) + "), 9)"
+
+
+_SQL_I13 = O.with_ctes(*O.BASE, O.IMPUTED.replace(
+    "imputed AS (SELECT i13.* REPLACE (COALESCE(i13.population, pm.pm) AS population) FROM i13 LEFT JOIN pop_mean pm ON i13.land = pm.land)",
+    "imputed AS (SELECT * FROM i13)"), _nrm_sql("imputed", POP_FEATURES, "nrm"), f"""
+ok AS (SELECT * FROM nrm WHERE {' AND '.join(f + ' IS NOT NULL' for f in POP_FEATURES)})""", f"""
+pairs AS (SELECT q.case_id, t.population AS y, {_dist_sql('q', 't', POP_FEATURES)} AS d, t.case_id AS nk
+          FROM ok q, ok t WHERE q.population IS NULL AND t.population IS NOT NULL)""", """
+rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY d, nk) AS rn FROM pairs)""") + f"""
+SELECT case_id, {R('avg(y)')} AS population FROM rk WHERE rn <= 5 GROUP BY case_id"""
+
+
+@register("m4_i13_knn_population_fill", _SQL_I13)
+def q_knn_pop(spark, sf):
+    """Population of cases where it is missing = mean over the 5 nearest
+    cases (min-max features over all rows, as in the study)."""
+    from ..operators.knn import knn_regress
+    from ..operators.sampling import min_max
+    base = study.imputed_cases(spark, sf, population_fallback=False)
+    n = min_max(base, POP_FEATURES, replace=True)
+    pred = knn_regress(n.where(F.col("population").isNotNull()), n.where(F.col("population").isNull()),
+                       "case_id", POP_FEATURES, "population", 5)
+    return rounded(pred.withColumnRenamed("pred", "population"))
+
+
+KNN_SPLIT = [0.6, 0.2, 0.2]
+
+
+def _knn_sets(spark, sf):
+    from ..operators.sampling import min_max, split
+    lc = study.labelled_cases(spark, sf)
+    n = min_max(lc, study.FEATURES, replace=True)
+    return split(n, "case_id", KNN_SPLIT, salt="knn-split")
+
+
+_SQL_KNN_SETS = [*O.labelled(), _nrm_sql("labelled", O.FEATURES, "nrm"), f"""
+sets AS (SELECT *, CASE WHEN {O.U('case_id', 'knn-split')} < 0.6 THEN 0 WHEN {O.U('case_id', 'knn-split')} < 0.8 THEN 1 ELSE 2 END AS split FROM nrm)"""]
+
+
+@register("m5_knn_classify", O.with_ctes(*_SQL_KNN_SETS, f"""
+pairs AS (SELECT q.case_id, t.suc AS y, {_dist_sql('q', 't', O.FEATURES)} AS d, t.case_id AS nk
+          FROM sets q, sets t WHERE q.split = 2 AND t.split = 0)""", """
+rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY d, nk) AS rn FROM pairs)""") + """
+SELECT case_id, CAST(avg(y) >= 0.5 AS INTEGER) AS pred FROM rk WHERE rn <= 50 GROUP BY case_id""")
+def q_knn_cls(spark, sf):
+    """M5: test-set class by majority vote of the 50 nearest training cases."""
+    from ..operators.knn import knn_classify
+    s = _knn_sets(spark, sf)
+    return knn_classify(s.where("split = 0"), s.where("split = 2"), "case_id", study.FEATURES, study.LABEL, 50)
+
+
+KNN_KS = [10, 50, *range(100, 1001, 100)]
+
+
+@register("m6_knn_select_k", O.with_ctes(*_SQL_KNN_SETS, f"""
+pairs AS (SELECT q.case_id, q.suc AS truth, t.suc AS y, {_dist_sql('q', 't', O.FEATURES)} AS d, t.case_id AS nk
+          FROM sets q, sets t WHERE q.split = 1 AND t.split = 0)""", """
+rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY d, nk) AS rn FROM pairs)""", """
+cum AS (SELECT case_id, truth, rn, sum(y) OVER (PARTITION BY case_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cy
+        FROM rk WHERE rn <= 1000)""") + f"""
+SELECT CAST(rn AS INTEGER) AS k, {R('1.0 / rn')} AS complex, {R('avg(CASE WHEN CAST(cy / rn >= 0.5 AS INTEGER) <> truth THEN 1.0 ELSE 0.0 END)')} AS class_error
+FROM cum WHERE rn IN ({', '.join(map(str, KNN_KS))}) GROUP BY rn""")
+def q_knn_k(spark, sf):
+    """M6: validation error for every k of the grid from one neighbour pass at k=1000."""
+    from ..operators.knn import knn_select_k
+    s = _knn_sets(spark, sf)
+    return rounded(knn_select_k(s.where("split = 0"), s.where("split = 1"), "case_id", study.FEATURES, study.LABEL, KNN_KS))
+
+
+@register("m7_knn_removal_importance", None)
+def q_knn_removal(spark, sf):
+    """M7: test error with each feature / each basket removed over the full-model
+    error (PropOfErr) and its rank; all 1 + p + B models in one neighbour pass."""
+    from ..operators.knn import knn_removal_importance
+    from ..operators.ranking import rank_by
+    from ..operators.stats import correlation_baskets
+    s = _knn_sets(spark, sf)
+    baskets = {r.var: r.basket_id for r in correlation_baskets(s.where("split = 0"), study.FEATURES).collect()}
+    groups = {f: [f] for f in study.FEATURES}
+    for b in sorted(set(baskets.values())):
+        groups[f"basket_{b}"] = [f for f in study.FEATURES if baskets[f] == b]
+    imp = knn_removal_importance(s.where("split = 0"), s.where("split = 2"), "case_id", study.FEATURES, study.LABEL, 50, groups)
+    imp = imp.withColumn("kind", F.when(F.col("name").startswith("basket_"), "basket").when(F.col("name") == "All", "all")
+                         .otherwise("feature"))
+    return rounded(rank_by(imp, "prop_of_err", ascending=False, tiebreak=["name"], out="rank", by=["kind"]))

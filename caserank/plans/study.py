@@ -65,7 +65,8 @@ def impute_observed(c0: DataFrame, flag: bool = False, dpd_median: bool = True)
     return c
 
 
-def impute_dependent(c1: DataFrame, flag: bool = False, fallbacks: bool = True) -> DataFrame:
+def impute_dependent(c1: DataFrame, flag: bool = False, fallbacks: bool = True,
+                     population_fallback: bool = True) -> DataFrame:
     """Phase 2: fills whose statistic reads columns imputed in phase 1 (means by
     imputed land, age donors among imputed women, last payment by imputed month).
     Statistics are read from ``c1`` (the materialised phase-1 table)."""
@@ -81,11 +82,13 @@ def impute_dependent(c1: DataFrame, flag: bool = False, fallbacks: bool = True)
         # non-model completion: last payment by month median (the study's fallback),
         # population by mean of its land
         c = fill_group_stat(c, "last_payment_amount", "m_last_payment", "median", flag=flag, source=c1)
-        c = fill_group_stat(c, "population", "land", "mean", flag=flag, source=c1)
+        if population_fallback:
+            c = fill_group_stat(c, "population", "land", "mean", flag=flag, source=c1)
     return c
 
 
-def imputed_cases(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+def imputed_cases(spark: SparkSession, sf_dir: str, materialize: bool = True,
+                  population_fallback: bool = True) -> DataFrame:
     """Stage A without model fills: decoded -> phase 1 -> phase 2."""
     c0 = decoded_cases(spark, sf_dir)
     if materialize:
@@ -93,7 +96,7 @@ def imputed_cases(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     c1 = impute_observed(c0)
     if materialize:
         c1 = cut_lineage(c1)
-    return impute_dependent(c1)
+    return impute_dependent(c1, population_fallback=population_fallback)
 
 
 def labels(spark: SparkSession, sf_dir: str, min_ratio: float = 0.05, min_count: int = 2,
