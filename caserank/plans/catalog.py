@@ -722,3 +722,74 @@ def q_knn_removal(spark, sf):
     imp = imp.withColumn("kind", F.when(F.col("name").startswith("basket_"), "basket").when(F.col("name") == "All", "all")
                          .otherwise("feature"))
     return rounded(rank_by(imp, "prop_of_err", ascending=False, tiebreak=["name"], out="rank", by=["kind"]))
+
+
+# --- Stage C: models, importance, consensus (no SQL form: model fits) -------------------
+
+from . import ranking_study as RS  # noqa: E402
+
+
+@register("m14_m15_gbt_grid_stage1", None)
+def q_grid1(spark, sf):
+    """M14 stage 1 + M15: one row per (grid point, feature): validation class error,
+    threshold, AUC, relative influence."""
+    return rounded(RS.boosting(spark, sf)["grid1"])
+
+
+@register("m14_gbt_grid_stage2", None)
+def q_grid2(spark, sf):
+    """M14 stage 2 (stage-1 winners fixed): shrinkage x trees."""
+    return rounded(RS.boosting(spark, sf)["grid2"])
+
+
+@register("m16_a8_select_features", None)
+def q_select(spark, sf):
+    """Mean relative influence per feature over the stage-2 grid, > 2 flag."""
+    from ..operators.models import select_features
+    return rounded(select_features(RS.boosting(spark, sf)["grid2"]))
+
+
+@register("m8_m17_m19_gbt_permutation_features", None)
+def q_gbt_perm(spark, sf):
+    """M8 + M17 + M19: boosted model, permutation of each feature on the test set:
+    class error / AUC / sensitivity / specificity and ratios to the baseline."""
+    return rounded(RS.boosting(spark, sf)["perm"])
+
+
+@register("m18_m21_basket_ranks_boosting", None)
+def q_gbt_baskets(spark, sf):
+    """M18 + M21: basket permutation ranks and mean relative influence rank."""
+    return rounded(RS.boosting_basket_ranks(spark, sf))
+
+
+@register("m15_gbt_relative_influence", None)
+def q_relinf(spark, sf):
+    return rounded(RS.boosting(spark, sf)["relinf"])
+
+
+@register("m9_logit_pvalues", None)
+def q_logit_p(spark, sf):
+    """M9: Wald p-values of the logistic regression (aliased features NULL)."""
+    return rounded(RS.logit(spark, sf)["pvalues"])
+
+
+@register("m9_m17_logit_permutation", None)
+def q_logit_perm(spark, sf):
+    return rounded(RS.logit(spark, sf)["perm"])
+
+
+@register("m6_m7_knn_model_ranks", None)
+def q_knn_ranks(spark, sf):
+    return rounded(RS.knn(spark, sf)["removal"])
+
+
+@register("m23_consensus_feature_rank", None)
+def q_consensus(spark, sf):
+    """The study's result: nine ranks per feature, mean, place."""
+    return rounded(RS.consensus_features(spark, sf))
+
+
+@register("m24_consensus_basket_rank", None)
+def q_consensus_b(spark, sf):
+    """Seven ranks per basket, mean, place."""
+    return rounded(RS.consensus_baskets(spark, sf))
