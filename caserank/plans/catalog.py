@@ -793,3 +793,67 @@ def q_consensus(spark, sf):
 def q_consensus_b(spark, sf):
     """Seven ranks per basket, mean, place."""
     return rounded(RS.consensus_baskets(spark, sf))
+
+
+# --- M22 + portfolio tables (A13, D3, D4, M20) ----------------------------------------
+
+def portfolios(spark, sf):
+    """M22 on the min-max scaled labelled features: 20 portfolios (CLARA, 100 samples of 500)."""
+    def build():
+        from ..operators.cluster import clara
+        from ..operators.sampling import min_max
+        from ..session import cut_lineage
+        s = RS.model_sets(spark, sf)
+        n = min_max(s, study.FEATURES, suffix="_nrm")
+        out, med = clara(n, "case_id", [f"{f}_nrm" for f in study.FEATURES], k=20, samples=100, sampsize=500,
+                         out="portfolio")
+        return cut_lineage(out.drop(*[f"{f}_nrm" for f in study.FEATURES]), "portfolios"), med
+    return RS._memo(spark, sf, "portfolios", build)
+
+
+@register("m22_clara_portfolios", None)
+def q_clara(spark, sf):
+    """Portfolio (cluster 1..20) of every labelled case."""
+    return portfolios(spark, sf)[0].select("case_id", "portfolio")
+
+
+@register("a13_portfolio_histogram", None)
+def q_port_hist(spark, sf):
+    """Histogram of the portfolio ids (breaks 0..20)."""
+    from ..operators.profile import histogram
+    return histogram(portfolios(spark, sf)[0], "portfolio", list(range(0, 21)))
+
+
+@register("d3_d4_portfolio_success", None)
+def q_port_success(spark, sf):
+    """D3 + D4 per CLARA portfolio, with the portfolio names attached."""
+    from ..operators.label import name_segments, segment_success
+    from ..sources.fixtures import payments_raw
+    p = portfolios(spark, sf)[0]
+    seg = segment_success(p, study.clean_payments(payments_raw(spark, sf)), "portfolio", weighting="event_row")
+    return rounded(name_segments(spark, seg, "portfolio", [f"portfolio_{i:02d}" for i in range(1, 21)]))
+
+
+@register("m20_gbt_eval_by_portfolio", None)
+def q_port_eval(spark, sf):
+    """Boosted model AUC / class error per portfolio on the test split."""
+    from ..operators import models as M
+    from ..operators.metrics import evaluate_binary
+    model = RS.boosting(spark, sf)["model"]
+    p = portfolios(spark, sf)[0].where("split = 2")
+    return rounded(evaluate_binary(M.score(model, p, study.FEATURES), "score", study.LABEL, by="portfolio"))
+
+
+@register("w5_top6_features", None)
+def q_top6(spark, sf):
+    """The six features with the best consensus place (a top-k report)."""
+    from ..operators.ranking import top_k
+    return top_k(RS.consensus_features(spark, sf), "place", 6, ascending=True, tiebreak=["var"]).select(
+        "var", "place", "avg_place")
+
+
+@register("w4_best_k_knn", None)
+def q_bestk(spark, sf):
+    """Argmin row of the kNN k grid (best k)."""
+    from ..operators.ranking import best_row
+    return rounded(best_row(RS.knn(spark, sf)["ks"], "class_error", tiebreak=["k"]))
