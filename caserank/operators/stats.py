@@ -30,28 +30,32 @@ def _pearson(a, b):
 def corr_matrix(df: DataFrame, cols: Sequence[str], complete_only: bool = False) -> DataFrame:
     """Long-form Pearson matrix ``(var_a, var_b, corr)``, p^2 rows.
 
-    ``complete_only`` drops rows with a NULL in any of ``cols`` first (R
-    ``use="complete.obs"``); otherwise NULLs are skipped pairwise by the aggregates.
+    Each row is expanded to its p(p+1)/2 column pairs and the pairs are
+    aggregated by pair id: a three-aggregate, code-generated hash aggregate that
+    combines map-side, instead of one aggregate with ~p^2 buffers (which exceeds
+    the codegen field limit). ``complete_only`` drops rows with a NULL in any of
+    ``cols`` first (R ``use="complete.obs"``); otherwise NULLs are skipped pairwise.
     """
     cols = list(cols)
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     if complete_only:
         src = src.dropna(how="any")
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            if a != b:
-                aggs.append(_pearson(a, b).alias(f"{i}_{cols.index(b)}"))
-    row = src.agg(*aggs, *[F.stddev_samp(c).alias(f"sd_{k}") for k, c in enumerate(cols)])
-    pairs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = (i, j) if i <= j else (j, i)
-            v = F.col(f"{lo}_{hi}")
-            if i == j:
-                v = F.when(F.col(f"sd_{i}") > 0, F.lit(1.0))
-            pairs.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), v.cast("double").alias("corr")))
-    return row.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
+    pairs = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(a).alias("xa"), F.col(b).alias("xb"))
+        for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i
+    ]
+    long = src.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
+    agg = long.groupBy("i", "j").agg(_pearson("xa", "xb").alias("corr"))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "k int, var string")
+    na = names.select(F.col("k").alias("i"), F.col("var").alias("var_a"))
+    nb = names.select(F.col("k").alias("j"), F.col("var").alias("var_b"))
+    upper = agg.join(F.broadcast(na), "i").join(F.broadcast(nb), "j")  # p-row name tables
+    # the diagonal is 1 unless the column is constant (R: NA)
+    upper = upper.withColumn("corr", F.when(F.col("i") == F.col("j"),
+                                            F.when(F.col("corr").isNotNull(), F.lit(1.0))).otherwise(F.col("corr")))
+    lower = upper.where(F.col("i") != F.col("j")).select(
+        F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"), "corr")
+    return upper.select("var_a", "var_b", "corr").unionByName(lower)
 
 
 def target_correlation(
