@@ -27,17 +27,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = None  # sized from the plan's size estimate
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 16
 BYTES_PER_BUCKET = 128 << 20
 
 
-def auto_buckets(df: DataFrame, bytes_per_bucket: int = BYTES_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
-    """Bucket count from Catalyst's size estimate of ``df`` (no job is run): about
-    one bucket per ``bytes_per_bucket`` of input, a power of two, at most
-    ``max_buckets``. Small inputs get one bucket (no boundary sketch needed)."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes read by the plan: the sum of its leaf relations' sizes (files as
+    stored). Unlike the root estimate, which multiplies through joins without
+    column statistics, this is a sound measure of how much data the plan reads."""
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            total += int(str(leaves.apply(i).stats().sizeInBytes()))
+        return total
     except Exception:  # e.g. a remote session without plan access
+        return None
+
+
+def auto_buckets(df: DataFrame, bytes_per_bucket: int = BYTES_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
+    """Bucket count from the bytes the plan reads (no job is run): about one
+    bucket per ``bytes_per_bucket``, a power of two, at most ``max_buckets``.
+    Small inputs get one bucket (no boundary sketch needed)."""
+    size = input_bytes(df)
+    if size is None:
         return 256
     b = 1
     while b < max_buckets and b * bytes_per_bucket < size:

@@ -857,3 +857,51 @@ def q_bestk(spark, sf):
     """Argmin row of the kNN k grid (best k)."""
     from ..operators.ranking import best_row
     return rounded(best_row(RS.knn(spark, sf)["ks"], "class_error", tiebreak=["k"]))
+
+
+# --- I11-I13 with M8b/M8c/M13: the study's model fills -----------------------------------
+
+def _model_imputed(spark, sf):
+    return RS._memo(spark, sf, "model_imputed", lambda: study.model_imputed_cases(spark, sf))
+
+
+@register("i11_i12_i13_model_imputed_cases", None)
+def q_model_imputed(spark, sf):
+    """Stage A with forest (I11), boosting (I12) and kNN (I13) fills: no NULL
+    feature left in cases that have lineitems."""
+    return rounded(_model_imputed(spark, sf)[0])
+
+
+@register("m13_model_fill_errors", None)
+def q_model_fill_err(spark, sf):
+    """M13 on the hold-out rows of the two model fills (MSE, MeanAbsProp)."""
+    errs = _model_imputed(spark, sf)[1]
+    out = None
+    for col, e in errs.items():
+        e = e.withColumn("column", F.lit(col))
+        out = e if out is None else out.unionByName(e)
+    return rounded(out.select("column", "mse", "mean_abs_prop", "n"))
+
+
+@register("a14_j7_relinf_by_basket", None)
+def q_relinf_box(spark, sf):
+    """J7 + A14: every grid fit's relative influence joined to the feature's basket,
+    box statistics per (basket, feature)."""
+    from ..operators.profile import box_stats
+    g = RS.boosting(spark, sf)["grid1"].join(F.broadcast(RS.baskets(spark, sf)), "var")
+    return rounded(box_stats(g, "rel_inf", ["basket_id", "var"]))
+
+
+@register("m6b_a10_knn_population_k_grid", None)
+def q_knn_kgrid(spark, sf):
+    """M6b + X5 + A10: kNN regression of population, k in {5..10, 20, 30}, over
+    repeated 60% resamples (5 by default; the study used 100), scored on the
+    resample's own rows; mean errors per k."""
+    from ..operators.knn import knn_regress_k_grid
+    from ..operators.sampling import min_max
+    base = study.imputed_cases(spark, sf, population_fallback=False)
+    n = min_max(base, POP_FEATURES, replace=True).where(F.col("population").isNotNull())
+    per = knn_regress_k_grid(n, "case_id", POP_FEATURES, "population", [5, 6, 7, 8, 9, 10, 20, 30], resamples=5)
+    return rounded(per.groupBy("k", "complex").agg(F.avg("mse").alias("mean_mse"),
+                                                   F.avg("mean_abs_prop").alias("mean_abs_prop"),
+                                                   F.count(F.lit(1)).alias("resamples")))

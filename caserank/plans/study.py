@@ -99,6 +99,40 @@ def imputed_cases(spark: SparkSession, sf_dir: str, materialize: bool = True,
     return impute_dependent(c1, population_fallback=population_fallback)
 
 
+def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5):
+    """Stage A with the study's model fills (I11, I12, I13 on top of I1-I10):
+
+    * last payment amount: random forest (M8c) on complete rows, for rows whose
+      DPD is known; the rest by month median (fallback);
+    * DPD: gradient-boosted regression (M8b), rounded half-even;
+    * population: mean of the 5 nearest cases (min-max features, M4).
+
+    Returns (imputed cases, {column: hold-out error table}).
+    """
+    from ..operators.knn import knn_regress
+    from ..operators.models import fill_model
+    from ..operators.sampling import min_max
+
+    c0 = cut_lineage(decoded_cases(spark, sf_dir), "decoded")
+    c1 = cut_lineage(impute_observed(c0, dpd_median=False), "phase1")
+    c2 = impute_dependent(c1, fallbacks=False)
+    rf_feats = ["principal", "toa", "loan_amount", "dpd", "interest", "m_last_payment"]
+    c3, err_lpa = fill_model(c2, "last_payment_amount", rf_feats, "rf", where=F.col("dpd").isNotNull(),
+                             num_trees=20, min_instances=100)
+    c3 = cut_lineage(c3, "lpa_forest")
+    c3 = fill_group_stat(c3, "last_payment_amount", "m_last_payment", "median", source=c3)
+    gbt_feats = ["contract_days", "last_payment_amount", "other", "interest", "external_agency", "is_cash_loan",
+                 "m_last_payment", "loan_amount", "bailiff"]
+    c4, err_dpd = fill_model(c3, "dpd", gbt_feats, "gbt", post=F.rint, max_iter=20, max_depth=3, min_instances=50)
+    c4 = cut_lineage(c4, "dpd_boost")
+    feats = [f for f in FEATURES if f != "population"]
+    n = min_max(c4, feats, replace=True)
+    pred = knn_regress(n.where(F.col("population").isNotNull()), n.where(F.col("population").isNull()), KEY, feats,
+                       "population", knn_k)
+    c5 = c4.join(pred, KEY, "left").withColumn("population", F.coalesce("population", "pred")).drop("pred")
+    return cut_lineage(c5.select(*c4.columns), "model_imputed"), {"last_payment_amount": err_lpa, "dpd": err_dpd}
+
+
 def labels(spark: SparkSession, sf_dir: str, min_ratio: float = 0.05, min_count: int = 2,
            keep_parts: bool = False) -> DataFrame:
     """D1 on the given tables (cases only need key and TOA)."""
