@@ -62,3 +62,23 @@ def cut_lineage(df, name: str = "stage"):
     path = os.path.join(d, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``caserank`` importable in the Python workers of a local session (the
+    pandas functions of kNN and CLARA are pickled by reference). On a cluster the
+    package is deployed with the job (``--py-files`` or an installed wheel)."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED or not sc.master.startswith("local"):
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = tempfile.mkdtemp(prefix="caserank-pkg-")
+    archive = shutil.make_archive(os.path.join(base, "caserank"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                  base_dir="caserank")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
