@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +85,53 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
                 yield b.slice(lo, hi - lo)
 
 
-_M = (1 << 64) - 1
+class WordIndex:
+    """White-space delimited words of texts as rows of an array of per-word values.
+
+    ``values(words)`` computes the rows of words not seen yet; a bounded cache keeps them
+    for the texts that follow (words repeat far more than texts). ``split`` defaults
+    to Python's."""
+
+    def __init__(self, values, split=str.split, limit: int = 400_000):
+        self.values, self.split, self.limit = values, split, limit
+        self.rows: dict = {}
+        self.table: np.ndarray | None = None
+        self.used = 0
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Row number of every word of every text, and each text's first word (one more at the end)."""
+        split = [self.split(t) if t else [] for t in texts]
+        if len(self.rows) > self.limit:
+            self.rows, self.table, self.used = {}, None, 0
+        new = list(set().union(*split).difference(self.rows))
+        if new or self.table is None:
+            own = self.values(new)
+            need = self.used + len(new)
+            if self.table is None or need > len(self.table):
+                grown = np.zeros((max(2 * need, 1024), *own.shape[1:]), own.dtype)
+                if self.table is not None:
+                    grown[:self.used] = self.table[:self.used]
+                self.table = grown
+            self.table[self.used:need] = own
+            self.rows.update(zip(new, range(self.used, need)))
+            self.used = need
+        ends = np.concatenate(([0], np.cumsum([len(s) for s in split]))).astype(np.int64)
+        get = self.rows.__getitem__
+        flat = np.fromiter((i for s in split for i in map(get, s)), np.int64, int(ends[-1]))
+        return flat, ends
+
+
+def sums_by_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each text (zero for a text without words)."""
+    out = np.zeros((len(ends) - 1, *values.shape[1:]), np.float64)
+    has = ends[1:] > ends[:-1]
+    if has.any():
+        out[has] = np.add.reduceat(values, ends[:-1][has], axis=0)
+    return out
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

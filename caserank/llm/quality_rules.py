@@ -25,11 +25,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import WORD_SEPARATORS, stored, table
 
 SEP = r"[\x20\x09-\x0D]"
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters",
-         "n_alnum", "n_symbol_runs", "n_exclaim", "n_distinct_words"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_shouts", "n_exclaim",
+         "n_distinct_windows"]
+#: Up to so many different repeated windows are looked up one by one; more are sorted.
+FEW = 24
 
 
 def let(value: Column, body) -> Column:
@@ -37,44 +39,61 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _span(starts: Column) -> Column:
+    """Words covered by windows of three that start at the ascending ``starts``."""
+    return let(starts, lambda p: F.aggregate(
+        F.transform(p, lambda x, j: F.least(F.coalesce(F.get(p, j + 1) - x, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x))
+
+
 def _covered(hashes: Column) -> Column:
     """Words inside windows of three that occur twice or more, from the window hashes
-    in text order. Sorting (hash, place) pairs brings equal windows together."""
-    def over(pairs):
-        twice = F.filter(pairs, lambda e, j: e["h"].eqNullSafe(F.get(pairs, j - 1)["h"]) | e["h"].eqNullSafe(F.get(pairs, j + 1)["h"]))
-        places = F.sort_array(F.transform(twice, lambda e: e["i"]))
-        return let(places, lambda p: F.aggregate(
-            F.transform(p, lambda x, j: F.least(F.coalesce(F.get(p, j + 1) - x, F.lit(3)), F.lit(3))),
-            F.lit(0), lambda a, x: a + x))
+    in text order. Where few windows are repeated their places are looked up; where
+    many are, sorting (hash, place) pairs brings equal windows together."""
+    def by_lookup(twice):
+        return _span(F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(twice, F.get(hashes, i))))
+
+    def by_sorting(pairs):
+        again = F.filter(pairs, lambda e, j: e["h"].eqNullSafe(F.get(pairs, j - 1)["h"]) | e["h"].eqNullSafe(F.get(pairs, j + 1)["h"]))
+        return _span(F.sort_array(F.transform(again, lambda e: e["i"])))
+
+    def some(ordered):
+        twice = F.array_distinct(F.filter(ordered, lambda h, j: h.eqNullSafe(F.get(ordered, j + 1))))
+        return let(twice, lambda t: F.when(F.size(t) <= FEW, by_lookup(t)).otherwise(
+            let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), by_sorting)))
 
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, over))
+    return let(F.sort_array(hashes), some)
 
 
-def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the text statistics every rule reads (``STATS``, all long)."""
+def text_stats(df: DataFrame, kept: str | Column = "doc_id", text_col: str = "text") -> DataFrame:
+    """``kept`` as ``_id`` and the text statistics every rule reads (``STATS``, all long).
+    ``n_marks``: characters but letters, digits and white space; ``n_shouts``: runs of
+    three capitals or more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    trimmed = F.regexp_replace(text, rf"^{SEP}+|{SEP}+$", "")
+    trimmed = F.btrim(text, F.lit(WORD_SEPARATORS))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = df.select(
-        F.col(id_col).alias("_id"),
+        (F.col(kept) if isinstance(kept, str) else kept).alias("_id"),
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SEP}+")).alias("_words"),
-        (F.length(text) - F.regexp_count(text, F.lit(SEP))).alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("_lines"),
-        F.regexp_count(text, F.lit(r"\p{Lu}")).alias("n_upper"),
-        F.regexp_count(text, F.lit(r"\p{L}")).alias("n_letters"),
-        F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")).alias("n_alnum"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]+")).alias("n_symbol_runs"),
+        F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")).alias("n_marks"),
+        F.regexp_count(text, F.lit(r"\p{Lu}{3,}")).alias("n_shouts"),
         F.regexp_count(text, F.lit("!")).alias("n_exclaim"),
     )
     w = F.col("_words")
     hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3),
                          lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    repeated = F.when(F.size(w) >= 4, let(hashes, _covered)).otherwise(0)
-    out = base.select("_id", F.size(w).alias("n_words"), "word_chars", "n_symbols", F.col("_lines.d").alias("n_dup_lines"),
-                      repeated.alias("n_repeat_words"), F.col("_lines.n").alias("n_lines"), "n_upper", "n_letters",
-                      "n_alnum", "n_symbol_runs", "n_exclaim", F.size(F.array_distinct(w)).alias("n_distinct_words"))
+
+    def windows(h):
+        return let(F.size(F.array_distinct(h)), lambda n: F.struct(
+            n.alias("n"), F.when(n == F.size(h), F.lit(0)).otherwise(_covered(h)).alias("covered")))
+
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("covered"))
+    base = base.withColumn("_windows", F.when(F.size(w) >= 3, let(hashes, windows)).otherwise(none))
+    out = base.select("_id", F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), "n_symbols",
+                      F.col("_lines.d").alias("n_dup_lines"), F.col("_windows.covered").alias("n_repeat_words"),
+                      F.col("_lines.n").alias("n_lines"), "n_marks", "n_shouts", "n_exclaim",
+                      F.col("_windows.n").alias("n_distinct_windows"))
     return out.select("_id", *[F.col(c).cast("long").alias(c) for c in STATS])
 
 
@@ -102,12 +121,11 @@ def default_rules() -> list[Rule]:
     return [
         Rule("length", F.col("n_words"), good=100, bad=20),
         Rule("symbols", share("n_symbols", "n_words"), good=0.02, bad=0.2),
-        Rule("symbol_runs", share("n_symbol_runs", "n_words"), good=0.02, bad=0.2),
-        Rule("plain_characters", share("n_alnum", "word_chars"), good=0.94, bad=0.9),
+        Rule("marks", share("n_marks", "word_chars"), good=0.06, bad=0.1),
         Rule("repeated_words", share("n_repeat_words", "n_words"), good=0.1, bad=0.4),
-        Rule("distinct_words", share("n_distinct_words", "n_words"), good=0.35, bad=0.2),
+        Rule("distinct_windows", share("n_distinct_windows", "n_words"), good=0.9, bad=0.7),
         Rule("repeated_lines", share("n_dup_lines", "n_lines"), good=0.05, bad=0.4),
-        Rule("capitals", share("n_upper", "n_letters"), good=0.1, bad=0.4),
+        Rule("capitals", share("n_shouts", "n_words"), good=0.02, bad=0.2),
         Rule("exclamations", share("n_exclaim", "n_words"), good=0.05, bad=0.4),
     ]
 
@@ -161,16 +179,27 @@ def fit_votes(patterns: DataFrame, votes: list[str], steps: int = 12, pseudo: fl
     return model
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None,
-          threshold: float = 0.5) -> DataFrame:
-    """id, the statistics, one ``vote_<rule>`` column each, ``p_good`` and ``good``."""
-    rules = rules or default_rules()
+def _judged(df: DataFrame, kept: str | Column, text_col: str, rules: list[Rule], threshold: float) -> DataFrame:
     votes = [f"vote_{r.name}" for r in rules]
-    stats = text_stats(df, id_col, text_col)
+    stats = text_stats(df, kept, text_col)
     voted = stored(stats.select("*", *[r.vote().alias(v) for r, v in zip(rules, votes)]), "quality-votes")
     patterns = stored(voted.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
     model = fit_votes(patterns, votes)
-    return voted.withColumn("p_good", posterior(votes, model)).withColumn("good", F.col("p_good") >= threshold).withColumnRenamed("_id", id_col)
+    return voted.withColumn("p_good", posterior(votes, model)).withColumn("good", F.col("p_good") >= threshold)
+
+
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None,
+          threshold: float = 0.5) -> DataFrame:
+    """id, the statistics, one ``vote_<rule>`` column each, ``p_good`` and ``good``."""
+    return _judged(df, id_col, text_col, rules or default_rules(), threshold).withColumnRenamed("_id", id_col)
+
+
+def passing(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, threshold: float = 0.5) -> DataFrame:
+    """The rows, whole, that meet the base conditions and are judged good. Rows are
+    written once beside their votes, so none is joined back or judged twice."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    out = _judged(df, row, text_col, rules or default_rules(), threshold)
+    return out.where(F.col("good") & ~base_failed()).select("_id.*")
 
 
 def base_failed() -> Column:

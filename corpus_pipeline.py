@@ -1,25 +1,56 @@
 """The corpus pipeline: a list of stages over the documents table, each a function
 (spark, docs, sf_dir) -> DataFrame whose result is written as Parquet and read again
-as the next stage's documents."""
+as the next stage's documents.
+
+1. quality classifier: documents that score below the threshold go;
+2. quality rules: documents that fail the base conditions or are judged bad go;
+3. n-gram Jaccard join (words of five, similarity 0.8): of each group of near copies
+   the document of the smallest id stays; a row without an id cannot be named and stays;
+4. best-fit packing: the rest as token sequences.
+
+The first three return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caserank.llm import quality_rules
+from caserank.llm import jaccard, mil, packing, quality_rules
 from caserank.llm.common import stored, table
 
+SHINGLE_WORDS, PERCENT = 5, 80
+
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = mil.train_default(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return mil.accepted(docs, model, mil.THRESHOLD)
+
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that pass the base conditions and the voted rules. Verdicts
-    are joined back by id; an id of several rows goes only with all of them rejected."""
-    verdicts = quality_rules.judge(docs.select("doc_id", "text"))
-    good = verdicts.where(F.col("good") & ~quality_rules.base_failed()).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    return quality_rules.passing(docs)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.similar_components(docs, words=SHINGLE_WORDS, percent=PERCENT)
+    stay = groups.where((F.col("doc_id") == F.col("component_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    # rows of one id and text are one document
+    once = named.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_rules", rules_stage)]
+STAGES = [
+    ("quality_classifier", classifier_stage),
+    ("quality_rules", rules_stage),
+    ("ngram_jaccard_join", near_duplicates_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Model fitting and packing have no SQL form; tests hold the stages against brute force.
+#: Model fitting, components and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
