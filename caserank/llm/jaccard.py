@@ -28,9 +28,9 @@ that is not null; extra columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +61,7 @@ def shingle_sets(words: WordIndex, texts: list[str | None], size: int) -> list[n
         if hi - lo >= size:
             out.append(np.unique(full[lo:hi - size + 1]))
         elif hi > lo:
-            out.append(mix64(np.array([(h[lo:hi] * mult[:hi - lo]).sum() + _SHORT * np.uint64(hi - lo)], np.uint64)))
+            out.append(mix64(np.array([(h[lo:hi] * mult[:hi - lo]).sum()]) + np.array([hi - lo], np.uint64) * _SHORT))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -69,7 +69,7 @@ def shingle_sets(words: WordIndex, texts: list[str | None], size: int) -> list[n
 
 def set_id(s: np.ndarray) -> int:
     """A signed 64-bit hash of a set."""
-    return int(mix64(np.array([mix64(s ^ _SET).sum() + np.uint64(len(s)) * _ODD[0]], np.uint64)).view(np.int64)[0])
+    return int(mix64(np.array([mix64(s ^ _SET).sum()]) + np.array([len(s)], np.uint64) * _ODD[0]).view(np.int64)[0])
 
 
 @functools.cache
@@ -95,6 +95,7 @@ def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
     n = len(s)
     upto = 1 << max(10, n.bit_length() + 1)
     starts = bands(percent, upto)
+    salt = np.arange(len(starts), dtype=np.uint64) * _TILE
     low = int(np.searchsorted(starts, max(1, -(-n * percent // 100)), "right")) - 1
     own = int(np.searchsorted(starts, n, "right")) - 1
     mixed, high, out = mix64(s * _ODD[2]), s >> np.uint64(32), []
@@ -109,7 +110,7 @@ def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
             full = np.zeros(k, np.uint64)
             full[here] = sums
             sums, here = full, np.arange(k)
-        out.append(mix64(sums + np.uint64(band) * _TILE + here.astype(np.uint64) * _ODD[4]))
+        out.append(mix64(sums + salt[band] + here.astype(np.uint64) * _ODD[4]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -257,33 +258,46 @@ def _open_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
     member = mapped(sets, _coalesced(tiles), "tile long, set long, n long").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     member = stored(member, "tile-members")
-    mixed = member.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 <> r1").select("tile", "size")
+    # a tile of two sets was tried whole; of tiles with the same members one is enough
+    mixed = (member.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"),
+                                        *[F.sum(F.xxhash64("set", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (0, 1)])
+             .where("r0 <> r1 AND size > 2").groupBy("size", "h0", "h1").agg(F.min("tile").alias("tile")).select("tile", "size"))
     within = Window.partitionBy("tile").orderBy("n", "set")
     member = member.join(mixed, "tile").withColumn("block", F.floor((F.row_number().over(within) - 1) / TILE_BLOCK))
     n_blocks = F.ceil(F.col("size") / TILE_BLOCK)
     member = (member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
               .select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "root"))
-    member = member.join(_bitmaps(sets), "set")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf.block == i], pdf[pdf.block == j]
-        bits = np.frombuffer(b"".join(right["bits"]), np.uint64).reshape(len(right), -1)
-        n, root, ids = (right[c].to_numpy(np.int64) for c in ("n", "root", "set"))
-        out = []
-        for k, (own, size, r, b) in enumerate(zip(left["set"].tolist(), left["n"].tolist(), left["root"].tolist(), left["bits"])):
-            x = np.frombuffer(b, np.uint64)
+    member = member.join(_bitmaps(sets), "set").select("tile", "i", "j", "block", "set", "n", "root", "bits")
+    return mapped(member.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "block"), _coalesced(_compared(percent)), "x long, y long").distinct()
+
+
+def _compared(percent: int):
+    """Compare the sets of each (tile, block, block) across components as rows stream by."""
+    def pairs(rows):
+        i, j = rows[0][1], rows[0][2]
+        left, right = [r for r in rows if r[3] == i], [r for r in rows if r[3] == j]
+        bits = np.frombuffer(b"".join([r[7] for r in right]), np.uint64).reshape(len(right), -1)
+        ids, n, root = (np.array([r[c] for r in right], np.int64) for c in (4, 5, 6))
+        for k, (_, _, _, _, own, size, r, b) in enumerate(left):
             need = -(-percent * (size + n) // (100 + percent))
             ok = (root != r) & (np.minimum(size, n) >= need)
             if i == j:
                 ok[:k + 1] = False
             at = np.flatnonzero(ok)
             if len(at):
+                x = np.frombuffer(b, np.uint64)
                 most = np.minimum(size - np.bitwise_count(x & ~bits[at]).sum(1, dtype=np.int64), n[at] - np.bitwise_count(bits[at] & ~x).sum(1, dtype=np.int64))
-                out += [(min(own, o), max(own, o)) for o in ids[at[most >= need[at]]].tolist()]
-        return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
+                for o in ids[at[most >= need[at]]].tolist():
+                    yield min(own, o), max(own, o)
 
-    return member.groupBy("tile", "i", "j").applyInPandas(compare, "x long, y long").distinct()
+    def run(batches):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for _, group in itertools.groupby(rows, key=lambda r: r[:3]):
+            found = list(pairs(list(group)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.int64()) for c in (0, 1)], ["x", "y"])
+
+    return run
 
 
 def _bitmaps(sets: DataFrame) -> DataFrame:
