@@ -4,7 +4,8 @@
 ``sample()``/``runif``: it depends only on the key and a salt string, so it is
 identical at any partitioning, under task retries and recomputation, and is
 reproduced bit-for-bit by the DuckDB oracle
-``('0x'||substr(md5(k::varchar||'|salt'),1,8))::bigint/4294967296.0``.
+``('0x'||substr(md5(k::varchar||'|salt'),1,13))::bigint/2^52``. 52 bits: a draw among
+billions of rows must be able to reach each of them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_POW_32 = 4294967296.0
+TWO_POW_52 = 4503599627370496.0
 
 
 def col_(c) -> Column:
@@ -23,29 +24,15 @@ def u(key, salt: str | Column) -> Column:
     """Uniform in [0, 1) from md5(cast(key as string) || '|' || salt)."""
     salt_c = F.lit(salt) if isinstance(salt, str) else salt
     h = F.md5(F.concat(col_(key).cast("string"), F.lit("|"), salt_c))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(TWO_POW_52)
 
 
-def safe_div(num, den) -> Column:
-    """ANSI-safe division: NULL where the denominator is 0 or NULL."""
-    return F.try_divide(col_(num), col_(den))
+def label_number(c, digits: int = 3) -> Column:
+    """a number rounded half-even for a label (R ``round(x, d)``)."""
+    return F.bround(col_(c).cast("double"), digits)
 
 
-def rnd(c, digits: int = 6) -> Column:
-    """Round a double for cross-engine comparison (both oracle and Spark use it)."""
-    return F.round(col_(c).cast("double"), digits)
-
-
-def rint_half_even(c) -> Column:
-    """R's round(): half to even, as a double."""
-    return F.rint(col_(c))
-
-
-def flag(cond: Column) -> Column:
-    """Boolean to 0/1 integer, NULL-preserving."""
-    return cond.cast("int")
-
-
-def r_ifelse(cond: Column, yes, no) -> Column:
-    """R ifelse: a NULL condition gives NULL (Spark's when() would take ``no``)."""
-    return F.when(cond.isNull(), F.lit(None)).when(cond, yes).otherwise(no)
+def strip_suffix(c, n: int = 4) -> Column:
+    """a string without its last ``n`` characters (R ``gsub(".{4}$", "", x)``); a
+    shorter string stays as it is."""
+    return F.regexp_replace(col_(c), f"(?s).{{{n}}}$", "")

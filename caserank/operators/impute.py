@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import u
-from .positions import auto_buckets, exact_median, exact_quantiles, uniform_bucket, with_positions
+from .positions import UNIFORM_BUCKETS, exact_median, exact_quantiles, uniform_bucket, with_positions
 
 
 def _flagged(df: DataFrame, col: str, new: Column, flag: bool) -> DataFrame:
@@ -125,7 +125,7 @@ def category_cdf(df: DataFrame, col: str) -> DataFrame:
 
 
 def fill_empirical(
-    df: DataFrame, col: str, key: str, salt: str | None = None, flag: bool = False, buckets: int | None = None,
+    df: DataFrame, col: str, key: str, salt: str | None = None, flag: bool = False, buckets: int = UNIFORM_BUCKETS,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """NULL -> a draw from the observed distribution of ``col`` (inverse CDF of ``u``).
@@ -135,7 +135,6 @@ def fill_empirical(
     against K + B rows. Rows that are not NULL carry no bucket and pass through.
     """
     cdf = category_cdf(source if source is not None else df, col)
-    buckets = buckets or auto_buckets(df)
     nb = F.lit(buckets)
     cdf_b = cdf.withColumn(
         "_bkt",
@@ -162,7 +161,7 @@ def fill_donor(
     donor: Column,
     salt: str | None = None,
     flag: bool = False,
-    buckets: int | None = None,
+    buckets: int = UNIFORM_BUCKETS,
 ) -> DataFrame:
     """Hot-deck draw. Rows matching ``recipient`` get ``col`` from a donor row
     drawn uniformly with replacement among rows matching ``donor``.
@@ -171,7 +170,6 @@ def fill_donor(
     recipient joins on ``floor(u * n) + 1``. With no donor, the value is kept.
     """
     salt = salt or f"donor:{col}"
-    buckets = buckets or auto_buckets(df)
     donors = df.where(donor).select(F.col(key).alias("_dk"), F.col(col).alias("_dv"))
     donors = donors.withColumn("_du", u("_dk", f"{salt}:order"))
     numbered = with_positions(donors, ["_du", "_dk"], uniform_bucket(F.col("_du"), buckets), out="_dpos")
@@ -186,15 +184,3 @@ def fill_donor(
         rest = rest.withColumn(f"{col}_imputed", F.lit(0))
     cols = [*df.columns, *extra]
     return rest.select(*cols).unionByName(got.select(*cols))
-
-
-def null_counts_after(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Convenience for checks: remaining NULLs per column (one aggregate)."""
-    r = df.select(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    return r.asDict()
-
-
-__all__ = [
-    "fill_constant", "clip", "fill_expr", "fill_stat", "global_stat", "group_stat", "fill_group_stat",
-    "bernoulli_probs", "fill_bernoulli", "category_cdf", "fill_empirical", "fill_donor", "exact_quantiles",
-]

@@ -3,7 +3,7 @@
 An un-partitioned ``Window.orderBy`` moves every row into one task; Spark's
 exact ``percentile`` keeps every distinct value of a group in one buffer. Both
 break when one group holds a third of 100 TB. The operators here split the
-order into *buckets* that are monotone in the sort order and data-defined
+order, at every size alike, into *buckets* that are monotone in the sort order and data-defined
 (never a physical partition id, which AQE may coalesce differently in two
 branches of one plan):
 
@@ -26,36 +26,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = None  # sized from the plan's size estimate
-MAX_BUCKETS = 1 << 16
-BYTES_PER_BUCKET = 128 << 20
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes read by the plan: the sum of its leaf relations' sizes (files as
-    stored). Unlike the root estimate, which multiplies through joins without
-    column statistics, this is a sound measure of how much data the plan reads."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            total += int(str(leaves.apply(i).stats().sizeInBytes()))
-        return total
-    except Exception:  # e.g. a remote session without plan access
-        return None
-
-
-def auto_buckets(df: DataFrame, bytes_per_bucket: int = BYTES_PER_BUCKET, max_buckets: int = MAX_BUCKETS) -> int:
-    """Bucket count from the bytes the plan reads (no job is run): about one
-    bucket per ``bytes_per_bucket``, a power of two, at most ``max_buckets``.
-    Small inputs get one bucket (no boundary sketch needed)."""
-    size = input_bytes(df)
-    if size is None:
-        return 256
-    b = 1
-    while b < max_buckets and b * bytes_per_bucket < size:
-        b *= 2
-    return b
+#: Buckets of uniform orders: no sketch is needed, so many of them cost little.
+UNIFORM_BUCKETS = 4096
+#: Buckets of value orders. Every size takes this one path; a task orders the distinct
+#: values of one bucket and spills, so more data needs no other algorithm. Raise it with
+#: the cluster; a sketch of 4 x buckets entries per group and map task pays for it.
+VALUE_BUCKETS = 64
 
 
 def _cols(xs) -> list[str]:
@@ -66,7 +42,7 @@ def _cols(xs) -> list[str]:
     return list(xs)
 
 
-def uniform_bucket(u_col: Column, buckets: int = 1024) -> Column:
+def uniform_bucket(u_col: Column, buckets: int = UNIFORM_BUCKETS) -> Column:
     """Bucket of a uniform [0,1) column; monotone in u."""
     if buckets <= 1:
         return F.lit(0)
@@ -93,14 +69,14 @@ def _stride(max_len: int) -> int:
     return k
 
 
-def with_coarse(bounds_df: DataFrame, bounds: str, max_len: int = MAX_BUCKETS) -> DataFrame:
+def with_coarse(bounds_df: DataFrame, bounds: str, max_len: int = VALUE_BUCKETS) -> DataFrame:
     """Add ``<bounds>_coarse``: every k-th boundary (k = sqrt(len)); computed once per
     group on the small boundary table."""
     k = _stride(max_len)
     return bounds_df.withColumn(f"{bounds}_coarse", F.filter(F.col(bounds), lambda t, i: (i + 1) % k == 0))
 
 
-def bucket_of(df: DataFrame, bounds: str, x: str, out: str = "_bkt", max_len: int = MAX_BUCKETS) -> DataFrame:
+def bucket_of(df: DataFrame, bounds: str, x: str, out: str = "_bkt", max_len: int = VALUE_BUCKETS) -> DataFrame:
     """``out`` = number of elements of the sorted array ``bounds`` that are < ``x``.
 
     Two-level search over ``<bounds>_coarse`` (from ``with_coarse``) then one
@@ -173,7 +149,7 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     by: Sequence[str] | str | None = None,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int = VALUE_BUCKETS,
 ) -> DataFrame:
     """Type-7 (R default, Spark ``percentile``, DuckDB ``quantile_cont``) quantiles.
 
@@ -189,20 +165,8 @@ def exact_quantiles(
     base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     # 1. distinct values with multiplicity: a hot value becomes one row
     d = base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_w"))
-    buckets = buckets if buckets else auto_buckets(base)
     pr = F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
     frac = F.col("_h") - F.floor("_h")
-    if buckets <= 1:
-        # small input: one ordered window per group over its distinct values
-        win = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        c = (d.withColumn("_cend", F.sum("_w").over(win)).withColumn("n", F.sum("_w").over(Window.partitionBy(*by)))
-             .withColumn("_cstart", F.col("_cend") - F.col("_w")))
-        c = c.select(*by, "_x", "_cstart", "_cend", "n", pr).withColumn("_h", (F.col("n") - 1) * F.col("p"))
-        c = c.where(((F.floor("_h") >= F.col("_cstart")) & (F.floor("_h") < F.col("_cend")))
-                    | ((F.ceil("_h") >= F.col("_cstart")) & (F.ceil("_h") < F.col("_cend"))))
-        res = c.groupBy(*by, "p", "n", "_h").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        return res.select(*out_by, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("q"),
-                          F.col("n").cast("long").alias("n"))
     # 2. approximate boundaries per group (mergeable sketch), then monotone bucket
     db = value_buckets(d, by, "_x", buckets)
     offs = _bucket_offsets(db, by, "_bkt", "_w")
@@ -252,7 +216,7 @@ def cumulative_before(
     x: str,
     weights: Sequence[str],
     by: Sequence[str] | str | None = None,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int = VALUE_BUCKETS,
 ) -> DataFrame:
     """For a table with one row per distinct (by..., x), add ``<w>_before``: the sum
     of weight ``w`` over rows of the same group with a strictly smaller ``x``, and
@@ -262,13 +226,6 @@ def cumulative_before(
     if not by:
         d = d.withColumn("_g", F.lit(0))
         by = ["_g"]
-    buckets = buckets if buckets else auto_buckets(d)
-    if buckets <= 1:
-        win = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        wall = Window.partitionBy(*by)
-        for w in weights:
-            d = d.withColumn(f"{w}_before", F.sum(w).over(win) - F.col(w)).withColumn(f"{w}_total", F.sum(w).over(wall))
-        return d.drop("_g") if not out_by else d
     db = value_buckets(d, by, x, buckets)
     tot = db.groupBy(*by, "_bkt").agg(*[F.sum(w).alias(f"_bt_{w}") for w in weights])
     wb = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -44,8 +44,9 @@ def consensus_rank(rank_tables: Sequence[DataFrame], id_col: str, rank_cols: Seq
                    out_avg: str = "avg_place", out_place: str = "place") -> DataFrame:
     """M23/M24 (J6 + P16 + W1): join the rank tables on ``id_col``, average the
     ranks per row (any NULL rank gives NULL, like ``rowMeans``), place = rank of
-    the average (ties by id)."""
-    joined = reduce(lambda a, b: a.join(b, on=id_col, how="inner"), rank_tables)
+    the average (ties by id). An id that a table lacks keeps its row, with a NULL
+    rank there, and is placed last."""
+    joined = reduce(lambda a, b: a.join(b, on=id_col, how="full"), rank_tables)
     cols = list(rank_cols) if rank_cols else [c for c in joined.columns if c != id_col]
     r = joined.withColumn(out_avg, row_mean(cols))
     return rank_by(r, out_avg, ascending=True, tiebreak=[id_col], out=out_place)

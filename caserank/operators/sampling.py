@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import u
-from .positions import auto_buckets, first_n, uniform_bucket, with_positions
+from .positions import UNIFORM_BUCKETS, first_n, uniform_bucket, with_positions
 
 
 def split_column(key: str, weights: Sequence[float], salt: str = "split") -> Column:
@@ -38,10 +38,9 @@ def split(df: DataFrame, key: str, weights: Sequence[float], salt: str = "split"
 
 
 def sample_exact(df: DataFrame, key: str, n: int | Column, salt: str = "sample",
-                 buckets: int | None = None) -> DataFrame:
+                 buckets: int = UNIFORM_BUCKETS) -> DataFrame:
     """Exactly ``n`` rows without replacement: the n smallest ``(u, key)``.
     Distributed first-n selection (no global sort, no limit on one task)."""
-    buckets = buckets or auto_buckets(df)
     s = df.withColumn("_u", u(key, salt))
     return first_n(s, ["_u", key], uniform_bucket(F.col("_u"), buckets), n).drop("_u")
 
@@ -58,7 +57,7 @@ def permute_columns(
     cols: Sequence[str],
     salt: str = "perm",
     by: Sequence[str] | str | None = None,
-    buckets: int | None = None,
+    buckets: int = UNIFORM_BUCKETS,
 ) -> DataFrame:
     """Each column of ``cols`` independently shuffled across rows (within
     ``by`` groups, e.g. a scenario), the other columns kept.
@@ -69,7 +68,6 @@ def permute_columns(
     column on (group, position). No row ever leaves its shuffle partition alone.
     """
     by = [by] if isinstance(by, str) else list(by or [])
-    buckets = buckets or auto_buckets(df)
     base = df.withColumn("_ud", u(key, f"{salt}:dst"))
     out = with_positions(base, ["_ud", key], uniform_bucket(F.col("_ud"), buckets), by=by, out="_pd").drop("_ud", "_pd_n")
     for c in cols:

@@ -87,6 +87,15 @@ def target_correlation(
     return lin_long.join(sp, on="var", how="left").withColumn("abs_cor_spear", F.abs("cor_spear"))
 
 
+def grouped_target_correlation(df: DataFrame, target: str, features: Sequence[str], by: str) -> DataFrame:
+    """M2 within groups: ``(by, var, cor_lin, abs_cor_lin)``, NULL where a feature is
+    constant in a group. One aggregate over (group, feature) with map-side combine."""
+    long = df.select(by, F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f"_x_{f}") for f in features])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("var"), F.col(f"_x_{f}").alias("x")) for f in features])).alias("_p")
+    cor = long.select(by, "_y", pairs).groupBy(by, F.col("_p.var").alias("var")).agg(_pearson(F.col("_p.x"), F.col("_y")).alias("cor_lin"))
+    return cor.withColumn("abs_cor_lin", F.abs("cor_lin"))
+
+
 # --- M3: correlation baskets -------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators.ranking import rank_by
 from ..operators.stats import target_correlation
+from ..session import cut_lineage, shared
 from . import oracle_sql as O
 from . import study
 
@@ -412,15 +413,15 @@ def q_x4(spark, sf):
 
 
 @register("x5_resample_splits", _CASES + f""",
-rep AS (SELECT case_id, r AS replicate FROM cases, range(1, 4) t(r))
-SELECT replicate, CAST(CASE WHEN ('0x' || substr(md5(CAST(case_id AS VARCHAR) || '|rs' || CAST(replicate AS VARCHAR)), 1, 8))::BIGINT
-       / 4294967296.0::DOUBLE < 0.6 THEN 0 ELSE 1 END AS INTEGER) AS split, count(*) AS n
+rep AS (SELECT case_id, r AS replicate FROM cases, range(1, 101) t(r))
+SELECT replicate, CAST(CASE WHEN ('0x' || substr(md5(CAST(case_id AS VARCHAR) || '|rs' || CAST(replicate AS VARCHAR)), 1, 13))::BIGINT
+       / 4503599627370496.0::DOUBLE < 0.6 THEN 0 ELSE 1 END AS INTEGER) AS split, count(*) AS n
 FROM rep GROUP BY ALL""")
 def q_x5(spark, sf):
     """Repeated random 60/40 splits (one salt per replicate), sizes per replicate."""
     from ..functions.core import u
     from ..operators.sampling import replicate
-    r = replicate(_cases(spark, sf).select("case_id"), 3)
+    r = replicate(_cases(spark, sf).select("case_id"), 100)
     r = r.withColumn("split", F.when(u("case_id", F.concat(F.lit("rs"), F.col("replicate").cast("string"))) < 0.6, 0)
                      .otherwise(1).cast("int"))
     return r.groupBy("replicate", "split").agg(F.count(F.lit(1)).alias("n"))
@@ -628,11 +629,12 @@ def q_baskets(spark, sf):
 POP_FEATURES = [f for f in O.FEATURES if f != "population"]
 
 
-def _nrm_sql(src: str, feats, name: str) -> str:
+def _nrm_sql(src: str, feats, name: str, fit: str = "true") -> str:
+    """Min-max over ``src`` with bounds from the rows where ``fit`` holds."""
     b = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in feats)
     cols = ", ".join(
         f"CASE WHEN {c}_hi = {c}_lo THEN 0.0 ELSE (CAST({c} AS DOUBLE) - {c}_lo) / ({c}_hi - {c}_lo) END AS {c}" for c in feats)
-    return f"{name}_b AS (SELECT {b} FROM {src}),\n{name} AS (SELECT s.* EXCLUDE ({', '.join(feats)}), {cols} FROM {src} s, {name}_b)"
+    return f"{name}_b AS (SELECT {b} FROM {src} WHERE {fit}),\n{name} AS (SELECT s.* EXCLUDE ({', '.join(feats)}), {cols} FROM {src} s, {name}_b)"
 
 
 def _dist_sql(a: str, b: str, feats) -> str:
@@ -666,14 +668,20 @@ KNN_SPLIT = [0.6, 0.2, 0.2]
 
 
 def _knn_sets(spark, sf):
+    """Split rows, features scaled with the bounds of the training rows (no leak of
+    validation and test rows into the scale)."""
     from ..operators.sampling import min_max, split
-    lc = study.labelled_cases(spark, sf)
-    n = min_max(lc, study.FEATURES, replace=True)
-    return split(n, "case_id", KNN_SPLIT, salt="knn-split")
+
+    def build():
+        s = split(study.labelled_cases(spark, sf), "case_id", KNN_SPLIT, salt="knn-split")
+        return cut_lineage(min_max(s, study.FEATURES, replace=True, fit_on=s.where("split = 0")), "knn_sets")
+
+    return shared(spark, sf, "knn_sets", build)
 
 
-_SQL_KNN_SETS = [*O.labelled(), _nrm_sql("labelled", O.FEATURES, "nrm"), f"""
-sets AS (SELECT *, CASE WHEN {O.U('case_id', 'knn-split')} < 0.6 THEN 0 WHEN {O.U('case_id', 'knn-split')} < 0.8 THEN 1 ELSE 2 END AS split FROM nrm)"""]
+_SQL_KNN_SETS = [*O.labelled(), f"""
+split AS (SELECT *, CASE WHEN {O.U('case_id', 'knn-split')} < 0.6 THEN 0 WHEN {O.U('case_id', 'knn-split')} < 0.8 THEN 1 ELSE 2 END AS split FROM labelled)""",
+                 _nrm_sql("split", O.FEATURES, "sets", "split = 0")]
 
 
 @register("m5_knn_classify", O.with_ctes(*_SQL_KNN_SETS, f"""
@@ -803,12 +811,10 @@ def portfolios(spark, sf):
         from ..operators.cluster import clara
         from ..operators.sampling import min_max
         from ..session import cut_lineage
-        s = RS.model_sets(spark, sf)
-        n = min_max(s, study.FEATURES, suffix="_nrm")
-        out, med = clara(n, "case_id", [f"{f}_nrm" for f in study.FEATURES], k=20, samples=100, sampsize=500,
-                         out="portfolio")
+        n = cut_lineage(min_max(RS.model_sets(spark, sf), study.FEATURES, suffix="_nrm"), "portfolio_input")
+        out, med = clara(n, "case_id", [f"{f}_nrm" for f in study.FEATURES], k=20, samples=100, sampsize=500, out="portfolio")
         return cut_lineage(out.drop(*[f"{f}_nrm" for f in study.FEATURES]), "portfolios"), med
-    return RS._memo(spark, sf, "portfolios", build)
+    return shared(spark, sf, "portfolios", build)
 
 
 @register("m22_clara_portfolios", None)
@@ -862,7 +868,7 @@ def q_bestk(spark, sf):
 # --- I11-I13 with M8b/M8c/M13: the study's model fills -----------------------------------
 
 def _model_imputed(spark, sf):
-    return RS._memo(spark, sf, "model_imputed", lambda: study.model_imputed_cases(spark, sf))
+    return shared(spark, sf, "model_imputed", lambda: study.model_imputed_cases(spark, sf))
 
 
 @register("i11_i12_i13_model_imputed_cases", None)
@@ -895,13 +901,12 @@ def q_relinf_box(spark, sf):
 @register("m6b_a10_knn_population_k_grid", None)
 def q_knn_kgrid(spark, sf):
     """M6b + X5 + A10: kNN regression of population, k in {5..10, 20, 30}, over
-    repeated 60% resamples (5 by default; the study used 100), scored on the
-    resample's own rows; mean errors per k."""
+    100 repeated 60% resamples, scored on the resample's own rows; mean errors per k."""
     from ..operators.knn import knn_regress_k_grid
     from ..operators.sampling import min_max
     base = study.imputed_cases(spark, sf, population_fallback=False)
     n = min_max(base, POP_FEATURES, replace=True).where(F.col("population").isNotNull())
-    per = knn_regress_k_grid(n, "case_id", POP_FEATURES, "population", [5, 6, 7, 8, 9, 10, 20, 30], resamples=5)
+    per = knn_regress_k_grid(n, "case_id", POP_FEATURES, "population", [5, 6, 7, 8, 9, 10, 20, 30], resamples=100)
     return rounded(per.groupBy("k", "complex").agg(F.avg("mse").alias("mean_mse"),
                                                    F.avg("mean_abs_prop").alias("mean_abs_prop"),
                                                    F.count(F.lit(1)).alias("resamples")))

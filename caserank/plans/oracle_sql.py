@@ -1,7 +1,7 @@
 """DuckDB SQL that recomputes the Spark results independently (correctness oracle).
 
 The fixture CTEs restate ``sources.fixtures`` and ``plans.study`` in SQL; the
-hash uniform is ``('0x'||substr(md5(key||'|salt'),1,8))::BIGINT / 2^32``, equal
+hash uniform is ``('0x'||substr(md5(key||'|salt'),1,13))::BIGINT / 2^52``, equal
 bit for bit to the Spark expression. Doubles are rounded to 6 places in both
 engines before comparison.
 """
@@ -18,7 +18,7 @@ FEATURES = [
 
 
 def U(key: str, salt: str) -> str:
-    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{salt}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{salt}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 def MASK(expr: str, name: str, rate: float = 0.1) -> str:

@@ -9,7 +9,7 @@ Three model families on the labelled cases, each producing rank tables:
 
 Plus the two correlation ranks (M2). ``consensus`` joins the nine feature ranks
 (seven basket ranks), averages them and places them (M23, M24). Results are
-memoised per (session, data folder) as Parquet tables in the checkpoint folder,
+kept per application and input as Parquet tables in the checkpoint folder,
 so the registered queries share one computation and a lost executor never
 recomputes a model fit's inputs.
 """
@@ -25,7 +25,7 @@ from ..operators.knn import knn_removal_importance, knn_select_k
 from ..operators.ranking import consensus_rank, rank_by
 from ..operators.sampling import min_max, split
 from ..operators.stats import correlation_baskets, target_correlation
-from ..session import cut_lineage
+from ..session import cut_lineage, shared
 from . import study
 
 KEY, LABEL, FEATURES = study.KEY, study.LABEL, study.FEATURES
@@ -35,25 +35,15 @@ GRID_2 = {"step_size": [0.1, 0.05], "max_iter": [30]}
 FIXED_1 = {"max_iter": 30, "step_size": 0.1}
 KNN_KS = [10, 50, 100]
 
-_MEMO: dict = {}
-
-
-def _memo(spark: SparkSession, sf: str, name: str, build):
-    k = (id(spark), sf, name)
-    if k not in _MEMO:
-        _MEMO[k] = build()
-    return _MEMO[k]
-
-
 def model_sets(spark, sf) -> DataFrame:
     """Labelled cases with a 60/20/20 split column (hash uniform), materialised."""
-    return _memo(spark, sf, "sets", lambda: cut_lineage(
+    return shared(spark, sf, "sets", lambda: cut_lineage(
         split(study.labelled_cases(spark, sf), KEY, [0.6, 0.2, 0.2], salt="model-split"), "model_sets"))
 
 
 def baskets(spark, sf) -> DataFrame:
     """M3 on the training rows: ``(var, basket_id)`` (p rows, built on the driver)."""
-    return _memo(spark, sf, "baskets", lambda: correlation_baskets(
+    return shared(spark, sf, "baskets", lambda: correlation_baskets(
         model_sets(spark, sf).where("split = 0"), FEATURES, k=4).cache())
 
 
@@ -91,7 +81,7 @@ def boosting(spark, sf) -> dict:
                                                   _groups(spark, sf)), "boost_perm")
         relinf = M.importance_table(spark, model, FEATURES)
         return {"grid1": g1, "grid2": g2, "params": params, "model": model, "perm": perm, "relinf": relinf}
-    return _memo(spark, sf, "boosting", build)
+    return shared(spark, sf, "boosting", build)
 
 
 def boosting_feature_ranks(spark, sf) -> DataFrame:
@@ -122,7 +112,7 @@ def logit(spark, sf) -> dict:
         perm = cut_lineage(permutation_importance(lambda d: M.score_logit(fitted, d), test, KEY, FEATURES, LABEL,
                                                   _groups(spark, sf), salt="logit-perm"), "logit_perm")
         return {"fitted": fitted, "pvalues": pv, "perm": perm}
-    return _memo(spark, sf, "logit", build)
+    return shared(spark, sf, "logit", build)
 
 
 def logit_feature_ranks(spark, sf) -> DataFrame:
@@ -154,7 +144,7 @@ def knn(spark, sf) -> dict:
         best_k = int(ks.orderBy("class_error", "k").first().k)
         imp = cut_lineage(knn_removal_importance(train, test, KEY, FEATURES, LABEL, best_k, _groups(spark, sf)), "knn_imp")
         return {"ks": ks, "k": best_k, "removal": imp}
-    return _memo(spark, sf, "knn", build)
+    return shared(spark, sf, "knn", build)
 
 
 def knn_feature_ranks(spark, sf) -> DataFrame:

@@ -21,8 +21,8 @@ from ..operators.impute import (
     fill_group_stat, fill_stat,
 )
 from ..operators.label import attach_label, success_label
-from ..session import cut_lineage
-from ..sources.fixtures import AGE_SENTINEL, FEATURES, cases_raw, payments_raw
+from ..session import cut_lineage, shared
+from ..sources.fixtures import AGE_SENTINEL, FEATURES, case_amounts, cases_raw, payments_raw
 
 KEY = "case_id"
 LABEL = "suc"
@@ -135,18 +135,22 @@ def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5):
 
 def labels(spark: SparkSession, sf_dir: str, min_ratio: float = 0.05, min_count: int = 2,
            keep_parts: bool = False) -> DataFrame:
-    """D1 on the given tables (cases only need key and TOA)."""
-    return success_label(cases_raw(spark, sf_dir).select(KEY, "toa"), clean_payments(payments_raw(spark, sf_dir)),
+    """D1 on the given tables; of the cases it reads key and TOA alone."""
+    return success_label(case_amounts(spark, sf_dir), clean_payments(payments_raw(spark, sf_dir)),
                          KEY, min_ratio, min_count, keep_parts=keep_parts)
 
 
 def labelled_cases(spark: SparkSession, sf_dir: str, min_ratio: float = MODEL_MIN_RATIO,
                    min_count: int = MODEL_MIN_COUNT, materialize: bool = True) -> DataFrame:
-    """Imputed cases with the label; cases without payments drop out."""
-    c = imputed_cases(spark, sf_dir, materialize=materialize)
-    lab = labels(spark, sf_dir, min_ratio, min_count)
-    out = attach_label(c, lab, KEY).where(F.col(KEY).isNotNull() & F.col(LABEL).isNotNull())
-    return cut_lineage(out) if materialize else out
+    """Imputed cases with the label; cases without payments drop out. The
+    materialised table is shared by the queries of an application."""
+    def build():
+        c = imputed_cases(spark, sf_dir, materialize=materialize)
+        lab = labels(spark, sf_dir, min_ratio, min_count)
+        out = attach_label(c, lab, KEY).where(F.col(KEY).isNotNull() & F.col(LABEL).isNotNull())
+        return cut_lineage(out, "labelled") if materialize else out
+
+    return shared(spark, sf_dir, f"labelled-{min_ratio}-{min_count}", build) if materialize else build()
 
 
 __all__ = ["FEATURES", "KEY", "LABEL", "decoded_cases", "clean_payments", "impute_observed", "impute_dependent",

@@ -8,7 +8,10 @@ cluster); a local fallback is set only when the session has none, as in tests.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -39,10 +42,14 @@ def local_session(cpus: int | str = 8, extra: dict | None = None) -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The shared checkpoint folder. A local one is set only if none is configured and
+    the session runs in this process; executors elsewhere could not read it."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="caserank-ckpt-", dir=os.environ.get("CASERANK_LOCAL_TMP", "/tmp"))
+        atexit.register(shutil.rmtree, d, ignore_errors=True)  # stage tables of a local run
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # a static conf on some deployments; the context setting below suffices
@@ -52,6 +59,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SHARED: dict = {}
+_INPUTS = ("orders", "lineitem", "customer", "nation")
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build):
+    """``build()`` once per application, input folder and state of its tables: queries of
+    one run share their stage tables; a new application or changed input builds anew."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in _INPUTS]
+    changed = tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+    key = (spark.sparkContext.applicationId, sf_dir, changed, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
 def cut_lineage(df, name: str = "stage"):
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
     read it back: one computation (an RDD checkpoint would compute twice), a
@@ -74,8 +97,6 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if id(sc) in _SHIPPED or not sc.master.startswith("local"):
         return
-    import shutil
-
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     base = tempfile.mkdtemp(prefix="caserank-pkg-")
     archive = shutil.make_archive(os.path.join(base, "caserank"), "zip", root_dir=os.path.dirname(pkg_dir),

@@ -69,6 +69,11 @@ def payments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def case_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key and total amount of every case, without the other features' joins."""
+    return read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_totalprice").alias("toa"))
+
+
 def cases_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order, application features with natural and masked gaps."""
     o = read_table(spark, sf_dir, "orders")

@@ -8,18 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
-
-
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """Load a named table (``<dir>/<name>.parquet`` or a folder of parts)."""
-    path = os.path.join(directory, name if name.endswith(".parquet") else f"{name}.parquet")
-    if not os.path.exists(path) and os.path.exists(os.path.join(directory, name)):
-        path = os.path.join(directory, name)
-    return spark.read.parquet(path)
+    """Load a named table, ``<dir>/<name>.parquet`` (a file or a folder of parts).
+    Only Spark's readers touch the path, so it may lie in any store they reach."""
+    return spark.read.parquet(f"{directory}/{name.removesuffix('.parquet')}.parquet")
 
 
 def write_table(df: DataFrame, directory: str, name: str, partition_by: Sequence[str] | None = None) -> str:

@@ -37,10 +37,22 @@ def streaming_labels(spark: SparkSession, payments_dir: str, cases: DataFrame, m
     return sums.withColumn("suc", F.when(suc2 > suc1, suc2).otherwise(suc1))
 
 
-def start_label_stream(spark: SparkSession, payments_dir: str, cases: DataFrame, query_name: str = "labels",
-                       checkpoint: str | None = None, **kw):
-    """Start the label stream into an in-memory table ``query_name`` (update mode).
-    The state checkpoint lives under the shared checkpoint folder."""
-    cp = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "streams", f"{query_name}-{uuid.uuid4().hex}")
-    return (streaming_labels(spark, payments_dir, cases, **kw).writeStream.outputMode("complete")
-            .format("memory").queryName(query_name).option("checkpointLocation", cp).start())
+def start_label_stream(spark: SparkSession, payments_dir: str, cases: DataFrame, out_dir: str, checkpoint: str | None = None, **kw):
+    """Start the label stream in update mode: each micro-batch writes the labels that
+    changed as Parquet under ``out_dir/batch=<id>``, so neither the driver nor one task
+    ever holds the label table. A batch that is repeated after a failure overwrites its
+    own folder. The state checkpoint lives under the shared checkpoint folder."""
+    cp = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "streams", f"labels-{uuid.uuid4().hex}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    return (streaming_labels(spark, payments_dir, cases, **kw).writeStream.outputMode("update")
+            .foreachBatch(write).option("checkpointLocation", cp).start())
+
+
+def latest_labels(spark: SparkSession, out_dir: str, key: str = "case_id") -> DataFrame:
+    """The newest row of each case among the written batches."""
+    rows = spark.read.parquet(out_dir)
+    cols = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), "batch").alias("_r")).select(key, "_r.*")

@@ -23,7 +23,7 @@ def _skewed(spark, n=3000):
 def test_u_matches_duckdb(spark):
     df = spark.range(50).withColumn("u", u("id", "salt"))
     got = [r.u for r in df.orderBy("id").collect()]
-    ref = duckdb.sql("select ('0x'||substr(md5(i::varchar||'|salt'),1,8))::bigint/4294967296.0::double "
+    ref = duckdb.sql("select ('0x'||substr(md5(i::varchar||'|salt'),1,13))::bigint/4503599627370496.0::double "
                      "from range(50) t(i) order by i").fetchall()
     assert got == [r[0] for r in ref]
     assert all(0 <= v < 1 for v in got)
