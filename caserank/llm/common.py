@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -117,7 +118,7 @@ class WordIndex:
             self.used = need
         ends = np.concatenate(([0], np.cumsum([len(s) for s in split]))).astype(np.int64)
         get = self.rows.__getitem__
-        flat = np.fromiter((i for s in split for i in map(get, s)), np.int64, int(ends[-1]))
+        flat = np.fromiter(map(get, itertools.chain.from_iterable(split)), np.int64, int(ends[-1]))
         return flat, ends
 
 

@@ -90,28 +90,36 @@ def parts_of_band(band: int, percent: int, upto: int) -> tuple[int, int]:
     return (d + 1 + spare, spare) if d else (0, 0)
 
 
-def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Tiles of a set: in its own band, and in those of smaller sets it may link to."""
+def tile_places(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tiles of a set, in its own band and in those of smaller sets it may link to: their
+    keys, and their ascending (band, part) numbers."""
     n = len(s)
     upto = 1 << max(10, n.bit_length() + 1)
     starts = bands(percent, upto)
     salt = np.arange(len(starts), dtype=np.uint64) * _TILE
     low = int(np.searchsorted(starts, max(1, -(-n * percent // 100)), "right")) - 1
     own = int(np.searchsorted(starts, n, "right")) - 1
-    mixed, high, out = mix64(s * _ODD[2]), s >> np.uint64(32), []
+    mixed, high, keys, places = mix64(s * _ODD[2]), s >> np.uint64(32), [], []
     for band in range(low, own + 1):
         k, spare = parts_of_band(band, percent, upto)
         if not k:
             continue
         part = (high * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-        begin = np.flatnonzero(np.diff(part, prepend=-1))
+        begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums, here = np.add.reduceat(mixed, begin), part[begin]
         if k - len(here) > spare:  # too many empty parts: they count as well
             full = np.zeros(k, np.uint64)
             full[here] = sums
             sums, here = full, np.arange(k)
-        out.append(mix64(sums + salt[band] + here.astype(np.uint64) * _ODD[4]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        keys.append(sums + salt[band] + here.astype(np.uint64) * _ODD[4])
+        places.append(here + (band << 32))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return mix64(np.concatenate(keys)), np.concatenate(places)
+
+
+def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    return tile_places(s, percent)[0]
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -156,14 +164,14 @@ def _local_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int):
 
 
 def _sizes_and_tiles(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, set, n) of every document, and the (tile, a, b) rows of every batch."""
+    """(id, text hash, set, n) of every document, and the (tile, a, b) rows of every batch."""
     kind = docs.schema["_id"].dataType.simpleString()
 
     def sizes(batches):
         words = WordIndex(word_hashes, words_of)
         for b in text_batches(batches, "_text"):
             sets = shingle_sets(words, b.column(1).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["_id", "set", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["_id", "_hash", "set", "n"])
 
     def tiles(batches):
         words = WordIndex(word_hashes, words_of)
@@ -173,7 +181,7 @@ def _sizes_and_tiles(docs: DataFrame, size: int, percent: int) -> tuple[DataFram
             for lo in range(0, len(tile), 100_000):
                 yield pa.RecordBatch.from_arrays([_signed(x[lo:lo + 100_000]) for x in (tile, a, c)], ["tile", "a", "b"])
 
-    return mapped(docs, sizes, f"_id {kind}, set long, n long"), mapped(docs.select("_text"), _only_text(tiles), "tile long, a long, b long")
+    return mapped(docs, sizes, f"_id {kind}, _hash long, set long, n long"), mapped(docs.select("_text"), _only_text(tiles), "tile long, a long, b long")
 
 
 def _only_text(fn):
@@ -183,13 +191,14 @@ def _only_text(fn):
     return run
 
 
-def _involved_sets(docs: DataFrame, involved: DataFrame, size: int) -> DataFrame:
+def _involved_sets(docs: DataFrame, sizes: DataFrame, involved: DataFrame, size: int) -> DataFrame:
     """(set, arr) of the sets in ``involved`` (one column ``set``), read again from the texts.
-    A fixed bit filter of their hashes thins the texts' sets out before the shuffle; it
-    lets some others through, which the semi-join drops."""
+    A fixed bit filter of the hashes of their texts spares the other texts; those it lets
+    through wrongly are dropped by the semi-join."""
     mask = (1 << FILTER_BITS) - 1
-    slot = F.col("set").bitwiseAND(F.lit(mask))
-    words_ = (involved.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(set & 63 AS INT))")).alias("bits")).toPandas())
+    slot = F.col("_hash").bitwiseAND(F.lit(mask))
+    hashes = sizes.join(involved, "set", "left_semi")
+    words_ = hashes.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_hash & 63 AS INT))")).alias("bits")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)  # 2 MB, whatever the data
     bits[words_["w"].to_numpy(np.int64)] = words_["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -197,14 +206,12 @@ def _involved_sets(docs: DataFrame, involved: DataFrame, size: int) -> DataFrame
     def run(batches):
         words = WordIndex(word_hashes, words_of)
         for b in text_batches(batches, "_text"):
-            own = {}
-            for s in shingle_sets(words, b.column(1).to_pylist(), size):
-                i = set_id(s)
-                if len(s) and int(shared.value[(i & mask) >> 6]) >> (i & 63) & 1:
-                    own[i] = s.tobytes()
+            h = b.column(2).to_numpy()
+            b = b.filter(pa.array((shared.value[(h & mask) >> 6] >> (h & 63) & 1).astype(bool)))
+            own = {set_id(s): s.tobytes() for s in shingle_sets(words, b.column(1).to_pylist(), size) if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["set", "arr"])
 
-    found = mapped(docs.select("_text"), _only_text(run), "set long, arr binary")
+    found = mapped(docs, run, "set long, arr binary")
     return found.join(involved, "set", "left_semi").groupBy("set").agg(F.min("arr").alias("arr"))
 
 
@@ -252,42 +259,47 @@ def _open_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             for i, arr in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = np.frombuffer(arr, np.uint64)
-                k = tile_keys(s, percent)
+                k, place = tile_places(s, percent)
                 n = len(k)
-                yield pa.RecordBatch.from_arrays([_signed(k), pa.array(np.full(n, i)), pa.array(np.full(n, len(s)))], ["tile", "set", "n"])
+                yield pa.RecordBatch.from_arrays([_signed(k), pa.array(place), pa.array(np.full(n, i)), pa.array(np.full(n, len(s)))], ["tile", "place", "set", "n"])
 
-    member = mapped(sets, _coalesced(tiles), "tile long, set long, n long").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    member = mapped(sets, _coalesced(tiles), "tile long, place long, set long, n long").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     member = stored(member, "tile-members")
-    # a tile of two sets was tried whole; of tiles with the same members one is enough
-    mixed = (member.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"),
+    # a tile of two sets was tried whole; of tiles with the same members the first is enough
+    mixed = (member.groupBy("tile").agg(F.min("place").alias("place"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"),
                                         *[F.sum(F.xxhash64("set", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (0, 1)])
-             .where("r0 <> r1 AND size > 2").groupBy("size", "h0", "h1").agg(F.min("tile").alias("tile")).select("tile", "size"))
+             .where("r0 <> r1 AND size > 2").groupBy("size", "h0", "h1").agg(F.min_by("tile", "place").alias("tile")).select("tile", "size"))
     within = Window.partitionBy("tile").orderBy("n", "set")
-    member = member.join(mixed, "tile").withColumn("block", F.floor((F.row_number().over(within) - 1) / TILE_BLOCK))
+    member = member.drop("place").join(mixed, "tile").withColumn("block", F.floor((F.row_number().over(within) - 1) / TILE_BLOCK))
     n_blocks = F.ceil(F.col("size") / TILE_BLOCK)
     member = (member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
               .select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "root"))
-    member = member.join(_bitmaps(sets), "set").select("tile", "i", "j", "block", "set", "n", "root", "bits")
+    member = member.join(_bitmaps(sets, percent), "set").select("tile", "i", "j", "block", "set", "n", "root", "bits", "tiles")
     return mapped(member.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "block"), _coalesced(_compared(percent)), "x long, y long").distinct()
 
 
 def _compared(percent: int):
-    """Compare the sets of each (tile, block, block) across components as rows stream by."""
+    """Compare the sets of each (tile, block, block) across components as rows stream by.
+    Of the tiles that two sets share, only the first reports the pair."""
     def pairs(rows):
-        i, j = rows[0][1], rows[0][2]
+        tile, i, j = rows[0][:3]
         left, right = [r for r in rows if r[3] == i], [r for r in rows if r[3] == j]
         bits = np.frombuffer(b"".join([r[7] for r in right]), np.uint64).reshape(len(right), -1)
         ids, n, root = (np.array([r[c] for r in right], np.int64) for c in (4, 5, 6))
-        for k, (_, _, _, _, own, size, r, b) in enumerate(left):
+        for k, (_, _, _, _, own, size, r, b, tiles) in enumerate(left):
             need = -(-percent * (size + n) // (100 + percent))
             ok = (root != r) & (np.minimum(size, n) >= need)
             if i == j:
                 ok[:k + 1] = False
             at = np.flatnonzero(ok)
-            if len(at):
-                x = np.frombuffer(b, np.uint64)
-                most = np.minimum(size - np.bitwise_count(x & ~bits[at]).sum(1, dtype=np.int64), n[at] - np.bitwise_count(bits[at] & ~x).sum(1, dtype=np.int64))
-                for o in ids[at[most >= need[at]]].tolist():
+            if not len(at):
+                continue
+            x, mine = np.frombuffer(b, np.uint64), np.frombuffer(tiles, np.int64)
+            most = np.minimum(size - np.bitwise_count(x & ~bits[at]).sum(1, dtype=np.int64), n[at] - np.bitwise_count(bits[at] & ~x).sum(1, dtype=np.int64))
+            for c in at[most >= need[at]].tolist():
+                both = np.isin(mine, np.frombuffer(right[c][8], np.int64))
+                if mine[int(both.argmax())] == tile:
+                    o = int(ids[c])
                     yield min(own, o), max(own, o)
 
     def run(batches):
@@ -300,12 +312,15 @@ def _compared(percent: int):
     return run
 
 
-def _bitmaps(sets: DataFrame) -> DataFrame:
+def _bitmaps(sets: DataFrame, percent: int) -> DataFrame:
+    """(set, bits, tiles): the hashed bitmap and the tiles in (band, part) order."""
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(np.frombuffer(a, np.uint64)).tobytes() for a in b.column(1).to_pylist()], pa.binary())], ["set", "bits"])
+            arrays = [np.frombuffer(a, np.uint64) for a in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(a).tobytes() for a in arrays], pa.binary()),
+                                              pa.array([tile_keys(a, percent).tobytes() for a in arrays], pa.binary())], ["set", "bits", "tiles"])
 
-    return mapped(sets, run, "set long, bits binary")
+    return mapped(sets, run, "set long, bits binary, tiles binary")
 
 
 def _coalesced(fn, rows: int = 50_000):
@@ -326,7 +341,7 @@ def _coalesced(fn, rows: int = 50_000):
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id for every row."""
     ship_package(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     sizes, tiles = _sizes_and_tiles(docs, words, percent)
     sizes = stored(sizes, "set-sizes")
     # of each tile, the smallest set against the others; pairs found within batches pass through
@@ -335,7 +350,7 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tried = tiles.select(F.when(local, F.col("a")).otherwise(first).alias("x"), F.when(local, F.col("b")).otherwise(F.col("a")).alias("y"))
     tried = stored(tried.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "tile-pairs")
     involved = stored(tried.select(F.col("x").alias("set")).unionByName(tried.select(F.col("y").alias("set"))).distinct(), "involved")
-    sets = stored(_involved_sets(docs, involved, words), "sets")
+    sets = stored(_involved_sets(docs, sizes, involved, words), "sets")
     links = stored(_verified(tried, sets, percent), "verified")
     roots = stored(components(links), "roots")
     more = stored(_open_pairs(sets, roots, percent).join(tried, ["x", "y"], "left_anti"), "open-pairs")
