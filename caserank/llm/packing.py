@@ -17,6 +17,7 @@ broken by row; repeated rows are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import array
 import re
 import zlib
 
@@ -36,9 +37,10 @@ GROUP, STEPS = 8192, 4000
 #: A bin below this share of its capacity is dealt anew after the first round.
 LOOSE = 0.95
 _WHITE = r"\t-\r \x85\xa0  -     　"
+_MARKS = frozenset(",.;:!?")
 _TWO_SPACES = re.compile(r"\s\s")
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-CACHE = 600_000
+CACHE = 1_000_000
 PIECE = ["_id", "_row", "piece", "start", "length", "ids_crc32"]
 
 
@@ -62,9 +64,17 @@ class ChunkTokenizer:
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for lo in range(0, len(texts), 4096):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts[lo:lo + 4096], add_special_tokens=False)]
+            out += [array.array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts[lo:lo + 4096], add_special_tokens=False)]
         return out
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Fill the cache. One mark after a letter is a token piece of its own, so such
+        chunks are put together from two."""
+        cut = [c for c in chunks if c[-1] in _MARKS and len(c) > 1 and c[-2].isalpha()]
+        rest = list({*chunks}.difference(cut).union([c[:-1] for c in cut], [c[-1] for c in cut]).difference(self.cache))
+        self.cache.update(zip(rest, self._encode(rest)))
+        self.cache.update([(c, self.cache[c[:-1]] + self.cache[c[-1]]) for c in cut])
+
     def _chunks(self, text: str) -> list[str]:
         if _TWO_SPACES.search(text):
             return _CHUNK.findall(text)
@@ -76,12 +86,21 @@ class ChunkTokenizer:
         split = [None if t and any(s in t for s in self.special) else self._chunks(t or "") for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list(set().union(*(c for c in split if c)).difference(self.cache))
-        self.cache.update(zip(new, self._encode(new)))
+        self._learn(list(set().union(*(c for c in split if c)).difference(self.cache)))
         get = self.cache.__getitem__
         return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, split)]
 
 
+_OPEN: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer(path: str) -> ChunkTokenizer:
+    """The worker's tokenizer of a file; its cache serves all tasks the worker runs."""
+    if path not in _OPEN:
+        _OPEN[path] = ChunkTokenizer(path)
+    return _OPEN[path]
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens; only the first may be short."""
     if n <= capacity:
@@ -95,7 +114,7 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id:
     """One row per piece; a full piece is a sequence by itself, numbered below zero by
     task and place (the table is written once, so numbers stay)."""
     def run(batches):
-        tok = ChunkTokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path)
         end = end_id.to_bytes(4, "little")
         row = TaskContext.get().partitionId() << 40
         alone = -row
