@@ -22,7 +22,9 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Ran
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import u
 from .metrics import evaluate_binary, regression_error
+from .ranking import top_k
 from .stats import corr_matrix
 
 SEED = 42
@@ -30,8 +32,9 @@ MAX_BINS = 64
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(
-        df.withColumns({f: F.col(f).cast("double") for f in features}))
+    """Add the feature vector; the feature columns keep their own types."""
+    cast = {f"_a_{f}": F.col(f).cast("double") for f in features}
+    return VectorAssembler(inputCols=list(cast), outputCol=out, handleInvalid="keep").transform(df.withColumns(cast)).drop(*cast)
 
 
 def fit_gbt_classifier(train: DataFrame, features, label, max_iter=50, max_depth=3, step_size=0.1,
@@ -104,6 +107,28 @@ def grid_search_classifier(train, valid, features, label, grid: dict[str, Sequen
     return spark.createDataFrame(rows, schema)
 
 
+def grid_search_regressor(train, hold, features, target, kind: str, grid: dict[str, Sequence], fixed: dict | None = None) -> DataFrame:
+    """M14 for regressors (``kind``: rf or gbt): fit every grid point on ``train``, measure
+    it on ``hold``. Long table, one row per (grid point, feature): params..., mse,
+    mean_abs_prop, var, rel_inf."""
+    names = list(grid)
+    rows = []
+    for values in itertools.product(*[grid[n] for n in names]):
+        m = REGRESSORS[kind](train, features, target, **{**(fixed or {}), **dict(zip(names, values))})
+        e = regression_error(score(m, hold, features, out="_pred"), "_pred", target).first()
+        rows += [(*map(float, values), e.mse, e.mean_abs_prop, var, ri) for var, ri in importance(m, features)]
+    schema = ", ".join([f"{n} double" for n in names] + ["mse double", "mean_abs_prop double", "var string", "rel_inf double"])
+    return train.sparkSession.createDataFrame(rows, schema)
+
+
+def top_features(grid_result: DataFrame, params: Sequence[str], k: int = 6) -> list[str]:
+    """W5 + A3: the features most often among the ``k`` most important of a fit, ``k`` of
+    them (ties by mean importance, then name)."""
+    top = top_k(grid_result, "rel_inf", k, by=list(params), tiebreak=["var"])
+    share = top.groupBy("var").agg(F.count(F.lit(1)).alias("n"), F.avg("rel_inf").alias("m"))
+    return [r["var"] for r in share.orderBy(F.desc("n"), F.desc("m"), "var").limit(k).collect()]
+
+
 def best_params(grid_result: DataFrame, params: Sequence[str], metric: str = "class_error") -> dict:
     """A7 + W4: min metric per parameter tuple, then the best tuple (ties: first by params)."""
     g = grid_result.groupBy(*params).agg(F.min(metric).alias("_m"))
@@ -117,6 +142,9 @@ def select_features(grid_result: DataFrame, min_mean: float = 2.0) -> DataFrame:
         "selected", (F.col("mean_rel_inf") > min_mean).cast("int"))
 
 
+REGRESSORS = {"rf": fit_rf_regressor, "gbt": fit_gbt_regressor}
+
+
 # --- M9: logistic regression with Wald p-values ------------------------------------
 
 
@@ -183,27 +211,27 @@ def logit_pvalues(spark, fitted, features) -> DataFrame:
 # --- I11/I12: model fills ------------------------------------------------------------
 
 
+def hold_out(df: DataFrame, key: str, target: str, features: Sequence[str], fraction: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """X1 on the complete rows: the rows to fit on and the rows to measure on."""
+    complete = df.dropna(subset=[target, *features])
+    part = u(key, f"fill:{target}") < fraction
+    return complete.where(part), complete.where(~part)
+
+
 def fill_model(df: DataFrame, target: str, features, model_kind: str, where=None, key: str = "case_id",
                post=None, train_fraction: float = 0.6, **params):
-    """Fit a regressor on complete rows (an exact hash sample of
-    ``train_fraction`` of them), predict ``target`` where it is NULL (and ``where``
-    holds). Returns (filled df, hold-out errors (mse, mean_abs_prop) of the fit)."""
-    from .sampling import sample_fraction_exact
-
-    complete = df.dropna(subset=[target, *features])
-    train = sample_fraction_exact(complete, key, train_fraction, salt=f"fill:{target}")
-    test = complete.join(train.select(key), key, "left_anti")
-    fit = {"rf": fit_rf_regressor, "gbt": fit_gbt_regressor}[model_kind]
-    m = fit(train, features, target, **params)
+    """Fit a regressor on a ``train_fraction`` of the complete rows, and predict
+    ``target`` where it is NULL (and ``where`` holds) in place: rows are scored where they
+    are, without a join. Returns (filled df, hold-out errors (mse, mean_abs_prop))."""
+    train, test = hold_out(df, key, target, features, train_fraction)
+    m = REGRESSORS[model_kind](train, features, target, **params)
     err = regression_error(score(m, test, features, out="_pred"), "_pred", target)
     need = F.col(target).isNull()
     if where is not None:
         need = need & where
     for f in features:
         need = need & F.col(f).isNotNull()
-    pred = score(m, df.where(need).select(key, *features), features, out="_pred").select(key, "_pred")
-    if post is not None:
-        pred = pred.withColumn("_pred", post(F.col("_pred")))
-    out = df.join(pred, key, "left").withColumn(
-        target, F.coalesce(F.col(target), F.col("_pred").cast(df.schema[target].dataType))).drop("_pred")
+    pred = F.col("_pred") if post is None else post(F.col("_pred"))
+    out = score(m, df, features, out="_pred").withColumn(
+        target, F.when(need, pred.cast(df.schema[target].dataType)).otherwise(F.col(target)))
     return out.select(*df.columns), err

@@ -30,6 +30,9 @@ LABEL = "suc"
 # makes 99% of the synthetic cases successful); see FIXTURES.md
 MODEL_MIN_RATIO = 1.0
 MODEL_MIN_COUNT = 6
+# default grids of the model fills; the study's full ones are a parameter away
+RF_GRID = {"min_instances": [100, 300]}
+GBT_GRID = {"max_depth": [2, 3]}
 
 
 def decoded_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,20 +113,26 @@ def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5):
     Returns (imputed cases, {column: hold-out error table}).
     """
     from ..operators.knn import knn_regress
-    from ..operators.models import fill_model
+    from ..operators.models import best_params, fill_model, grid_search_regressor, hold_out, select_features, top_features
     from ..operators.sampling import min_max
 
     c0 = cut_lineage(decoded_cases(spark, sf_dir), "decoded")
     c1 = cut_lineage(impute_observed(c0, dpd_median=False), "phase1")
     c2 = impute_dependent(c1, fallbacks=False)
-    rf_feats = ["principal", "toa", "loan_amount", "dpd", "interest", "m_last_payment"]
-    c3, err_lpa = fill_model(c2, "last_payment_amount", rf_feats, "rf", where=F.col("dpd").isNotNull(),
-                             num_trees=20, min_instances=100)
+    # the formulas are results: the features the forests rank highest, and those that
+    # influence the boosted fits by more than 2 percent on average
+    lpa_all = [f for f in FEATURES if f not in ("last_payment_amount", "population")]
+    g_rf = grid_search_regressor(*hold_out(c2, KEY, "last_payment_amount", lpa_all), lpa_all, "last_payment_amount", "rf", RF_GRID, {"num_trees": 20}).cache()
+    best = best_params(g_rf, list(RF_GRID), "mean_abs_prop")
+    c3, err_lpa = fill_model(c2, "last_payment_amount", top_features(g_rf, list(RF_GRID)), "rf", where=F.col("dpd").isNotNull(),
+                             num_trees=20, min_instances=int(best["min_instances"]))
     c3 = cut_lineage(c3, "lpa_forest")
     c3 = fill_group_stat(c3, "last_payment_amount", "m_last_payment", "median", source=c3)
-    gbt_feats = ["contract_days", "last_payment_amount", "other", "interest", "external_agency", "is_cash_loan",
-                 "m_last_payment", "loan_amount", "bailiff"]
-    c4, err_dpd = fill_model(c3, "dpd", gbt_feats, "gbt", post=F.rint, max_iter=20, max_depth=3, min_instances=50)
+    dpd_all = [f for f in FEATURES if f not in ("dpd", "population")]
+    g_gbt = grid_search_regressor(*hold_out(c3, KEY, "dpd", dpd_all), dpd_all, "dpd", "gbt", GBT_GRID, {"max_iter": 10, "min_instances": 50}).cache()
+    best = best_params(g_gbt, list(GBT_GRID), "mse")
+    gbt_feats = [r["var"] for r in select_features(g_gbt).where("selected = 1").orderBy("var").collect()]
+    c4, err_dpd = fill_model(c3, "dpd", gbt_feats, "gbt", post=F.rint, max_iter=20, max_depth=int(best["max_depth"]), min_instances=50)
     c4 = cut_lineage(c4, "dpd_boost")
     feats = [f for f in FEATURES if f != "population"]
     n = min_max(c4, feats, replace=True)

@@ -157,3 +157,21 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_fill_formula_comes_from_the_data(spark):
+    from caserank.operators.models import best_params, fill_model, grid_search_regressor, hold_out, select_features, top_features
+
+    r = np.random.default_rng(0)
+    rows = [(i, *(float(x) for x in r.random(4))) for i in range(600)]
+    rows = [(i, a, b, c, d, None if i % 10 == 0 else 5 * a + 3 * b, i) for i, a, b, c, d in rows]
+    df = spark.createDataFrame(rows, "case_id long, a double, b double, c double, d double, y double, n int")
+    train, hold = hold_out(df, "case_id", "y", ["a", "b", "c", "d"])
+    assert train.count() + hold.count() == 540 and train.join(hold, "case_id").count() == 0
+    grid = grid_search_regressor(train, hold, ["a", "b", "c", "d"], "y", "gbt", {"max_depth": [1, 3]}, {"max_iter": 5, "min_instances": 5})
+    assert grid.count() == 8 and set(top_features(grid, ["max_depth"], 2)) == {"a", "b"}
+    assert {x["var"] for x in select_features(grid).where("selected = 1").collect()} >= {"a", "b"}
+    assert best_params(grid, ["max_depth"], "mse")["max_depth"] == 3
+    out, err = fill_model(df, "y", ["a", "b"], "gbt", max_iter=5, min_instances=5)
+    assert out.schema == df.schema and out.where("y IS NULL").count() == 0 and err.first().mse < 1
+    assert out.where("case_id % 10 <> 0").orderBy("case_id").collect() == df.where("y IS NOT NULL").orderBy("case_id").collect()
