@@ -59,7 +59,9 @@ class ChunkTokenizer:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        # chunks as they are, and chunks that stand behind one space
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -67,28 +69,48 @@ class ChunkTokenizer:
             out += [array.array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts[lo:lo + 4096], add_special_tokens=False)]
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Fill the cache. One mark after a letter is a token piece of its own, so such
-        chunks are put together from two."""
-        cut = [c for c in chunks if c[-1] in _MARKS and len(c) > 1 and c[-2].isalpha()]
-        rest = list({*chunks}.difference(cut).union([c[:-1] for c in cut], [c[-1] for c in cut]).difference(self.cache))
-        self.cache.update(zip(rest, self._encode(rest)))
-        self.cache.update([(c, self.cache[c[:-1]] + self.cache[c[-1]]) for c in cut])
-
-    def _chunks(self, text: str) -> list[str]:
-        if _TWO_SPACES.search(text):
-            return _CHUNK.findall(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+    def _learn(self, cache: dict[str, bytes], chunks: set[str], before: str) -> None:
+        """Add ``chunks`` to a cache. One mark after a letter is a token piece of its own,
+        so such chunks are put together from two."""
+        two = [c for c in chunks if len(c) > 1 and c[-1] in _MARKS and c[-2].isalpha()]
+        one = list(chunks.difference(two).union([c[:-1] for c in two]).difference(cache))
+        cache.update(zip(one, self._encode([before + c for c in one])))
+        marks = {m: self._encode([m])[0] for m in {c[-1] for c in two}}
+        cache.update([(c, cache[c[:-1]] + marks[c[-1]]) for c in two])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
-        split = [None if t and any(s in t for s in self.special) else self._chunks(t or "") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        self._learn(list(set().union(*(c for c in split if c)).difference(self.cache)))
-        get = self.cache.__getitem__
-        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, split)]
+        if len(self.plain) + len(self.spaced) > CACHE:
+            self.plain, self.spaced = {}, {}
+        found: list[tuple] = []  # first chunk, the others, their cache, their ids as far as known
+        new_plain: set[str] = set()
+        new_spaced: set[str] = set()
+        for t in texts:
+            if t and any(s in t for s in self.special):
+                found.append((None, t, None, None))
+                continue
+            if t and _TWO_SPACES.search(t):
+                first, chunks, cache, new = "", _CHUNK.findall(t), self.plain, new_plain
+            else:
+                first, *chunks = (t or "").split(" ")
+                cache, new = self.spaced, new_spaced
+                if first and first not in self.plain:
+                    new_plain.add(first)
+            ids = list(map(cache.get, chunks))
+            if None in ids:
+                new.update([c for c, x in zip(chunks, ids) if x is None])
+            found.append((first, chunks, cache, ids))
+        self._learn(self.plain, new_plain, "")
+        self._learn(self.spaced, new_spaced, " ")
+        out = []
+        for first, chunks, cache, ids in found:
+            if first is None:
+                out.append(self._encode([chunks])[0])
+                continue
+            if None in ids:
+                ids = [cache[c] if x is None else x for c, x in zip(chunks, ids)]
+            out.append((self.plain[first] if first else b"") + b"".join(ids))
+        return out
 
 
 _OPEN: dict[str, ChunkTokenizer] = {}
