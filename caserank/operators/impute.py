@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import u
-from .positions import UNIFORM_BUCKETS, exact_median, exact_quantiles, uniform_bucket, with_positions
+from .positions import UNIFORM_BUCKETS, cumulative_before, exact_median, exact_quantiles, uniform_bucket, with_positions
 
 
 def _flagged(df: DataFrame, col: str, new: Column, flag: bool) -> DataFrame:
@@ -84,6 +84,16 @@ def fill_group_stat(df: DataFrame, col: str, by: Sequence[str] | str, stat: str
     return _flagged(j, col, F.col("_gstat"), flag).drop("_gstat").select(*df.columns, *([f"{col}_imputed"] if flag else []))
 
 
+def fill_group_means(df: DataFrame, cols: Sequence[str], by: str, source: DataFrame | None = None, flag: bool = False) -> DataFrame:
+    """I8 for several columns of one grouping: one aggregate and one join for all."""
+    src = source if source is not None else df
+    st = src.groupBy(by).agg(*[F.avg(c).alias(f"_gm_{c}") for c in cols])
+    j = df.join(st, by, "left")
+    for c in cols:
+        j = _flagged(j, c, F.col(f"_gm_{c}"), flag)
+    return j.select(*df.columns, *([f"{c}_imputed" for c in cols] if flag else []))
+
+
 def bernoulli_probs(df: DataFrame, cols: Sequence[str]) -> Column:
     """Observed means of several 0/1 columns in one pass, as one struct scalar."""
     return df.select(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
@@ -110,18 +120,11 @@ def fill_bernoulli(
 
 
 def category_cdf(df: DataFrame, col: str) -> DataFrame:
-    """Frequencies of the non-NULL values with cumulative bounds in value order.
-
-    One row per distinct value (K rows); the window runs over those K rows only.
-    """
-    freq = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        freq.withColumn("_hi", F.sum("_c").over(w))
-        .withColumn("_n", F.sum("_c").over(Window.partitionBy()))
-        .withColumn("_lo", F.col("_hi") - F.col("_c"))
-        .select(F.col(col).alias("_v"), (F.col("_lo") / F.col("_n")).alias("_plo"), (F.col("_hi") / F.col("_n")).alias("_phi"))
-    )
+    """Frequencies of the non-NULL values with cumulative bounds in value order: one row
+    per distinct value, summed up over buckets of values (no single-task window)."""
+    freq = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    c = cumulative_before(freq, "_v", ["_c"])
+    return c.select("_v", (F.col("_c_before") / F.col("_c_total")).alias("_plo"), ((F.col("_c_before") + F.col("_c")) / F.col("_c_total")).alias("_phi"))
 
 
 def fill_empirical(

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import average_rank
+from .positions import cumulative_before
 
 
 def _pearson(a, b):
@@ -65,8 +65,8 @@ def target_correlation(
 
     Returns ``(var, cor_lin, abs_cor_lin[, cor_spear, abs_cor_spear])``. Spearman is
     Pearson over average ranks (ties averaged): features are unpivoted to a long
-    table, ranked per feature with distributed positions, and correlated per
-    feature with a grouped aggregate, so all features cost one shuffle pipeline.
+    table, collapsed to distinct (feature, value, label) with their counts, ranked per
+    feature with distributed positions, and correlated from those counts.
     """
     features = list(features)
     lin = df.select(*[_pearson(F.col(f).cast("double"), F.col(target).cast("double")).alias(f) for f in features])
@@ -80,10 +80,19 @@ def target_correlation(
     # complete pairs only, as R's cor() with no NA present
     base = df.select(key, F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
     long = base.unpivot([key, "_y"], features, "var", "_x").where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    rx = average_rank(long, "_x", by="var", out="_rx")
-    ry = average_rank(long.select("var", "_y"), "_y", by="var", out="_ry")
-    ranked = long.join(rx, on=["var", "_x"], how="inner").join(ry, on=["var", "_y"], how="inner")
-    sp = ranked.groupBy("var").agg(_pearson(F.col("_rx"), F.col("_ry")).alias("cor_spear"))
+    # equal pairs become one row; ranks are centred, so their product sums need no means
+    pairs = long.groupBy("var", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+
+    def centred_ranks(col: str, out: str) -> DataFrame:
+        d = cumulative_before(pairs.groupBy("var", col).agg(F.sum("_n").alias("_w")), col, ["_w"], "var")
+        return d.select("var", col, F.col("_w").alias(f"{out}_w"), (F.col("_w_before") + (F.col("_w") - F.col("_w_total")) / 2.0).alias(out))
+
+    rx, ry = centred_ranks("_x", "_a"), centred_ranks("_y", "_b")
+    # summed per label value before the label's ranks come in: no join on a hot label
+    by_y = pairs.join(rx, ["var", "_x"]).groupBy("var", "_y").agg(F.sum(F.col("_n") * F.col("_a")).alias("_s"))
+    xy = by_y.join(ry, ["var", "_y"]).groupBy("var").agg(F.sum(F.col("_s") * F.col("_b")).alias("_xy"), F.sum(F.col("_b_w") * F.col("_b") ** 2).alias("_yy"))
+    xx = rx.groupBy("var").agg(F.sum(F.col("_a_w") * F.col("_a") ** 2).alias("_xx"))
+    sp = xy.join(xx, "var").select("var", F.try_divide(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy")).alias("cor_spear"))
     return lin_long.join(sp, on="var", how="left").withColumn("abs_cor_spear", F.abs("cor_spear"))
 
 

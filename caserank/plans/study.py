@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.columns import decode_flags
 from ..operators.impute import (
     bernoulli_probs, clip, fill_bernoulli, fill_constant, fill_donor, fill_empirical, fill_expr,
-    fill_group_stat, fill_stat,
+    fill_group_means, fill_group_stat, fill_stat,
 )
 from ..operators.label import attach_label, success_label
 from ..session import cut_lineage, shared
@@ -73,8 +73,8 @@ def impute_dependent(c1: DataFrame, flag: bool = False, fallbacks: bool = True,
     """Phase 2: fills whose statistic reads columns imputed in phase 1 (means by
     imputed land, age donors among imputed women, last payment by imputed month).
     Statistics are read from ``c1`` (the materialised phase-1 table)."""
-    c = fill_group_stat(c1, "mean_salary", "land", "mean", flag=flag, source=c1)
-    c = fill_group_stat(c, "gdp_per_capita", "land", "mean", flag=flag, source=c1)
+    by_land = ["mean_salary", "gdp_per_capita"] + (["population"] if fallbacks and population_fallback else [])
+    c = fill_group_means(c1, by_land, "land", flag=flag, source=c1)
     c = fill_donor(
         c, "age", KEY,
         recipient=F.col("age") == AGE_SENTINEL,
@@ -82,11 +82,9 @@ def impute_dependent(c1: DataFrame, flag: bool = False, fallbacks: bool = True,
         flag=flag,
     )
     if fallbacks:
-        # non-model completion: last payment by month median (the study's fallback),
-        # population by mean of its land
+        # non-model completion: last payment by month median (the study's fallback);
+        # population by mean of its land was filled above
         c = fill_group_stat(c, "last_payment_amount", "m_last_payment", "median", flag=flag, source=c1)
-        if population_fallback:
-            c = fill_group_stat(c, "population", "land", "mean", flag=flag, source=c1)
     return c
 
 
