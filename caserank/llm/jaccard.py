@@ -254,51 +254,57 @@ def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def _open_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(x, y) pairs of different components that share a tile and pass the bit-count bound."""
+    """(x, y) pairs of different components that share a tile and pass the bit-count bound.
+    A pair is looked at in the band of its smaller set, where a link must share a tile, and
+    reported by the first tile that both share there."""
     def tiles(batches):
         for b in batches:
             for i, arr in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = np.frombuffer(arr, np.uint64)
                 k, place = tile_places(s, percent)
-                n = len(k)
-                yield pa.RecordBatch.from_arrays([_signed(k), pa.array(place), pa.array(np.full(n, i)), pa.array(np.full(n, len(s)))], ["tile", "place", "set", "n"])
+                band, n = place >> 32, len(k)
+                at = np.arange(n) - np.searchsorted(band, band)  # place in the band's list of keys
+                yield pa.RecordBatch.from_arrays([_signed(k), pa.array(band.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(n, i)), pa.array(np.full(n, len(s)))],
+                                                 ["tile", "band", "at", "set", "n"])
 
-    member = mapped(sets, _coalesced(tiles), "tile long, place long, set long, n long").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    member = mapped(sets, _coalesced(tiles), "tile long, band int, at int, set long, n long").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     member = stored(member, "tile-members")
-    # a tile of two sets was tried whole; of tiles with the same members the first is enough
-    mixed = (member.groupBy("tile").agg(F.min("place").alias("place"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"),
-                                        *[F.sum(F.xxhash64("set", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (0, 1)])
-             .where("r0 <> r1 AND size > 2").groupBy("size", "h0", "h1").agg(F.min_by("tile", "place").alias("tile")).select("tile", "size"))
+    # a tile of two sets was tried whole; of a band's tiles with the same members the first is enough
+    mixed = (member.groupBy("tile", "band").agg(F.min("at").alias("at"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"),
+                                                *[F.sum(F.xxhash64("set", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (0, 1)])
+             .where("r0 <> r1 AND size > 2").groupBy("band", "size", "h0", "h1").agg(F.min_by("tile", "at").alias("tile")).select("tile", "size"))
     within = Window.partitionBy("tile").orderBy("n", "set")
-    member = member.drop("place").join(mixed, "tile").withColumn("block", F.floor((F.row_number().over(within) - 1) / TILE_BLOCK))
+    member = member.join(mixed, "tile").withColumn("block", F.floor((F.row_number().over(within) - 1) / TILE_BLOCK))
     n_blocks = F.ceil(F.col("size") / TILE_BLOCK)
     member = (member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-              .select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "root"))
-    member = member.join(_bitmaps(sets, percent), "set").select("tile", "i", "j", "block", "set", "n", "root", "bits", "tiles")
+              .select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "root", "band", "at"))
+    member = member.join(_bitmaps(sets, percent), ["set", "band"]).select(
+        "tile", "i", "j", "block", "set", "n", "root", "bits", F.expr("substring(keys, 1, 8 * at)").alias("earlier"), "band")
     return mapped(member.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "block"), _coalesced(_compared(percent)), "x long, y long").distinct()
 
 
 def _compared(percent: int):
-    """Compare the sets of each (tile, block, block) across components as rows stream by.
-    Of the tiles that two sets share, only the first reports the pair."""
+    """Compare the sets of each (tile, block, block) across components as rows stream by."""
+    starts = bands(percent, 1 << 40)
+
     def pairs(rows):
-        tile, i, j = rows[0][:3]
+        i, j, beyond = rows[0][1], rows[0][2], starts[rows[0][9] + 1]
         left, right = [r for r in rows if r[3] == i], [r for r in rows if r[3] == j]
         bits = np.frombuffer(b"".join([r[7] for r in right]), np.uint64).reshape(len(right), -1)
         ids, n, root = (np.array([r[c] for r in right], np.int64) for c in (4, 5, 6))
-        for k, (_, _, _, _, own, size, r, b, tiles) in enumerate(left):
+        for k, (_, _, _, _, own, size, r, b, earlier, _) in enumerate(left):
             need = -(-percent * (size + n) // (100 + percent))
-            ok = (root != r) & (np.minimum(size, n) >= need)
+            low = np.minimum(size, n)
+            ok = (root != r) & (low >= need) & (low < beyond)
             if i == j:
                 ok[:k + 1] = False
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            x, mine = np.frombuffer(b, np.uint64), np.frombuffer(tiles, np.int64)
+            x, mine = np.frombuffer(b, np.uint64), np.frombuffer(earlier, np.int64)
             most = np.minimum(size - np.bitwise_count(x & ~bits[at]).sum(1, dtype=np.int64), n[at] - np.bitwise_count(bits[at] & ~x).sum(1, dtype=np.int64))
             for c in at[most >= need[at]].tolist():
-                both = np.isin(mine, np.frombuffer(right[c][8], np.int64))
-                if mine[int(both.argmax())] == tile:
+                if not np.isin(mine, np.frombuffer(right[c][8], np.int64)).any():
                     o = int(ids[c])
                     yield min(own, o), max(own, o)
 
@@ -313,14 +319,18 @@ def _compared(percent: int):
 
 
 def _bitmaps(sets: DataFrame, percent: int) -> DataFrame:
-    """(set, bits, tiles): the hashed bitmap and the tiles in (band, part) order."""
+    """(set, band, bits, keys): a set's hashed bitmap, and its tile keys in each band."""
     def run(batches):
         for b in batches:
-            arrays = [np.frombuffer(a, np.uint64) for a in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(a).tobytes() for a in arrays], pa.binary()),
-                                              pa.array([tile_keys(a, percent).tobytes() for a in arrays], pa.binary())], ["set", "bits", "tiles"])
+            for i, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = np.frombuffer(a, np.uint64)
+                k, place = tile_places(s, percent)
+                band, bits = place >> 32, bitmap(s).tobytes()
+                own = np.unique(band).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([bits] * len(own), pa.binary()),
+                                                  pa.array([k[band == x].tobytes() for x in own], pa.binary())], ["set", "band", "bits", "keys"])
 
-    return mapped(sets, run, "set long, bits binary, tiles binary")
+    return mapped(sets, _coalesced(run, 2000), "set long, band int, bits binary, keys binary")
 
 
 def _coalesced(fn, rows: int = 50_000):
