@@ -191,23 +191,29 @@ def _only_text(fn):
     return run
 
 
+def _bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A fixed bit filter (2 MB, whatever the data) of a column of 64-bit hashes."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(`{column}` & 63 AS INT))")).alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return bits
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> pa.Array:
+    return pa.array((bits[(keys & ((1 << FILTER_BITS) - 1)) >> 6] >> (keys & 63) & 1).astype(bool))
+
+
 def _involved_sets(docs: DataFrame, sizes: DataFrame, involved: DataFrame, size: int) -> DataFrame:
     """(set, arr) of the sets in ``involved`` (one column ``set``), read again from the texts.
-    A fixed bit filter of the hashes of their texts spares the other texts; those it lets
+    A bit filter of the hashes of their texts spares the other texts; those it lets
     through wrongly are dropped by the semi-join."""
-    mask = (1 << FILTER_BITS) - 1
-    slot = F.col("_hash").bitwiseAND(F.lit(mask))
-    hashes = sizes.join(involved, "set", "left_semi")
-    words_ = hashes.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_hash & 63 AS INT))")).alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)  # 2 MB, whatever the data
-    bits[words_["w"].to_numpy(np.int64)] = words_["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_filter(sizes.join(involved, "set", "left_semi"), "_hash"))
 
     def run(batches):
         words = WordIndex(word_hashes, words_of)
         for b in text_batches(batches, "_text"):
-            h = b.column(2).to_numpy()
-            b = b.filter(pa.array((shared.value[(h & mask) >> 6] >> (h & 63) & 1).astype(bool)))
+            b = b.filter(_passes(shared.value, b.column(2).to_numpy()))
             own = {set_id(s): s.tobytes() for s in shingle_sets(words, b.column(1).to_pylist(), size) if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["set", "arr"])
 
@@ -216,8 +222,24 @@ def _involved_sets(docs: DataFrame, sizes: DataFrame, involved: DataFrame, size:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the (x, y) pairs that link."""
-    def run(batches):
+    """Those of the (x, y) pairs that link: bit counts first, which need a small bitmap of
+    each set; whole sets are sent only for the pairs that remain."""
+    def bitmaps(batches):
+        for b in batches:
+            arrays = [np.frombuffer(a, np.uint64) for a in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(a) for a in arrays], pa.int64()), pa.array([bitmap(a).tobytes() for a in arrays], pa.binary())], ["set", "n", "bits"])
+
+    def bound(batches):
+        for b in batches:
+            if b.num_rows:
+                n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (3, 5))
+                need = -(-percent * (n + m) // (100 + percent))
+                most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                b = b.filter(pa.array((np.minimum(n, m) >= need) & (most >= need)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"])
+
+    def exact(batches):
         for b in batches:
             ok, last, a = [], None, None
             for x, xa, ya in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
@@ -227,9 +249,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             b = b.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"])
 
-    full = (pairs.join(sets.select(F.col("set").alias("y"), F.col("arr").alias("ya")), "y")
-            .join(sets.select(F.col("set").alias("x"), F.col("arr").alias("xa")), "x").select("x", "y", "xa", "ya"))
-    return mapped(full, run, "x long, y long")
+    light = mapped(sets, bitmaps, "set long, n long, bits binary")
+    both = (pairs.join(light.select(F.col("set").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("yb")), "y")
+            .join(light.select(F.col("set").alias("x"), F.col("n").alias("xn"), F.col("bits").alias("xb")), "x").select("x", "y", "xn", "xb", "yn", "yb"))
+    left = stored(mapped(both, bound, "x long, y long"), "bounded-pairs")
+    needed = left.select(F.col("x").alias("set")).unionByName(left.select(F.col("y").alias("set")))
+    shared = pairs.sparkSession.sparkContext.broadcast(_bit_filter(needed, "set"))
+    some = mapped(sets, lambda batches: (b.filter(_passes(shared.value, b.column(0).to_numpy())) for b in batches), "set long, arr binary")
+    full = (left.join(some.select(F.col("set").alias("y"), F.col("arr").alias("ya")), "y")
+            .join(some.select(F.col("set").alias("x"), F.col("arr").alias("xa")), "x").select("x", "y", "xa", "ya"))
+    return mapped(full, exact, "x long, y long")
 
 
 def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
