@@ -221,9 +221,9 @@ def _involved_sets(docs: DataFrame, sizes: DataFrame, involved: DataFrame, size:
     return found.join(involved, "set", "left_semi").groupBy("set").agg(F.min("arr").alias("arr"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the (x, y) pairs that link: bit counts first, which need a small bitmap of
-    each set; whole sets are sent only for the pairs that remain."""
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (x, y) pairs whose sizes and bit counts do not rule a link out; this needs a
+    small bitmap of each set only."""
     def bitmaps(batches):
         for b in batches:
             arrays = [np.frombuffer(a, np.uint64) for a in b.column(1).to_pylist()]
@@ -239,6 +239,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 b = b.filter(pa.array((np.minimum(n, m) >= need) & (most >= need)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"])
 
+    light = mapped(sets, bitmaps, "set long, n long, bits binary")
+    both = (pairs.join(light.select(F.col("set").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("yb")), "y")
+            .join(light.select(F.col("set").alias("x"), F.col("n").alias("xn"), F.col("bits").alias("xb")), "x").select("x", "y", "xn", "xb", "yn", "yb"))
+    return mapped(both, bound, "x long, y long")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the (x, y) pairs that link. Only sets that occur in pairs are sent."""
     def exact(batches):
         for b in batches:
             ok, last, a = [], None, None
@@ -249,18 +257,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             b = b.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"])
 
-    light = mapped(sets, bitmaps, "set long, n long, bits binary")
-    both = (pairs.join(light.select(F.col("set").alias("y"), F.col("n").alias("yn"), F.col("bits").alias("yb")), "y")
-            .join(light.select(F.col("set").alias("x"), F.col("n").alias("xn"), F.col("bits").alias("xb")), "x").select("x", "y", "xn", "xb", "yn", "yb"))
-    left = stored(mapped(both, bound, "x long, y long"), "bounded-pairs")
-    needed = left.select(F.col("x").alias("set")).unionByName(left.select(F.col("y").alias("set")))
+    needed = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set")))
     shared = pairs.sparkSession.sparkContext.broadcast(_bit_filter(needed, "set"))
     some = mapped(sets, lambda batches: (b.filter(_passes(shared.value, b.column(0).to_numpy())) for b in batches), "set long, arr binary")
-    full = (left.join(some.select(F.col("set").alias("y"), F.col("arr").alias("ya")), "y")
+    full = (pairs.join(some.select(F.col("set").alias("y"), F.col("arr").alias("ya")), "y")
             .join(some.select(F.col("set").alias("x"), F.col("arr").alias("xa")), "x").select("x", "y", "xa", "ya"))
     return mapped(full, exact, "x long, y long")
 
 
+def _connected(tried: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, roots): links among the ``tried`` pairs that join the same sets as all of
+    their links do. Each set is first compared with one other; of the remaining pairs only
+    those are compared that this left in different components."""
+    bounded = stored(_bounded(tried, sets, percent), "bounded-pairs")
+    one = stored(bounded.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first-pairs")
+    links = stored(_exact(one, sets, percent), "links-first")
+    roots = stored(components(links), "roots")
+    rx, ry = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("x", "y"))
+    apart = F.coalesce("rx", "x") != F.coalesce("ry", "y")
+    rest = stored(bounded.join(one, ["x", "y"], "left_anti").join(rx, "x", "left").join(ry, "y", "left").where(apart).select("x", "y"), "other-pairs")
+    more = stored(_exact(rest, sets, percent), "links-other")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        roots = stored(components(links), "roots")
+    return links, roots
+
+
 def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(node, root) of every linked node; root is the smallest node of its component.
     Alternating large-star and small-star rounds: each points nodes at the smallest
@@ -390,10 +412,9 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tried = stored(tried.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "tile-pairs")
     involved = stored(tried.select(F.col("x").alias("set")).unionByName(tried.select(F.col("y").alias("set"))).distinct(), "involved")
     sets = stored(_involved_sets(docs, sizes, involved, words), "sets")
-    links = stored(_verified(tried, sets, percent), "verified")
-    roots = stored(components(links), "roots")
+    links, roots = _connected(tried, sets, percent)
     more = stored(_open_pairs(sets, roots, percent).join(tried, ["x", "y"], "left_anti"), "open-pairs")
-    found = stored(_verified(more, sets, percent), "verified")
+    found = stored(_exact(more, sets, percent), "verified")
     if found.limit(1).count():
         roots = stored(components(links.unionByName(found)), "roots")
     # classes, then components of classes, are named by their smallest id
