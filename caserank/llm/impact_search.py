@@ -8,7 +8,8 @@ unread segments and the cut-off bits can still add is bounded for each query and
 row (Hoelder with the impact limit, Cauchy-Schwarz with the row's unread norm). Reading
 stops only when those bounds prove that no more than a few rows can still enter the top
 k, or when no segment is left; every possible member is then rescored exactly in
-integers. Results are exact: nothing is dropped without proof.
+integers. Results are exact: nothing is dropped without proof. A query's own rows,
+however many a block holds, are left out before the proof.
 
 Plan: candidate blocks are replicated once per query block (a stated query set against
 all rows), dealt by (query block, salt) so that no task holds more than a few candidate
@@ -109,25 +110,28 @@ class ImpactBlock:
         unread = (1 << (self.levels[j] - 1)) << self.shift if self.levels[j] > 1 else 1 << self.shift
         return unread - 1 if self.levels[j] > 1 or self.shift else 0
 
-    def candidates(self, queries: np.ndarray, least: np.ndarray, k: int):
-        """(query, row) pairs that may reach the top k; ``least``: scores already reached."""
+    def candidates(self, queries: np.ndarray, least: np.ndarray, k: int, own: np.ndarray | None = None):
+        """(query, row) pairs that may reach the top k; ``least``: scores already reached;
+        ``own``: (query, row) pairs that take no part, neither as members nor in the proof."""
         n = self.shape[0]
         q = queries.astype(np.float64)
         acc = np.zeros((len(q), n))
         l1, l2 = np.abs(q).sum(1), np.sqrt((q ** 2).sum(1)) * (1 + 1e-9)
+        if own is None:
+            own = np.zeros(acc.shape, bool)
         if not self.levels:
-            return np.nonzero(np.broadcast_to((least <= 0)[:, None], acc.shape))
+            return np.nonzero((least <= 0)[:, None] & ~own)
         for j in range(len(self.levels)):
             acc += q @ self.segment(j).T
             last = j == len(self.levels) - 1
             if not last and j < 1:
                 continue
             bound = np.minimum((l1 * self.limit(j))[:, None], l2[:, None] * self.rest[j][None, :])
-            low = acc - bound
+            low = np.where(own, -np.inf, acc - bound)
             need = least
             if n >= k:
                 need = np.maximum(least, np.partition(low, n - k, axis=1)[:, n - k])
-            may = acc + bound >= need[:, None]
+            may = (acc + bound >= need[:, None]) & ~own
             if last or may.sum() <= 4 * k * len(q):
                 return np.nonzero(may)
         raise AssertionError
@@ -147,15 +151,14 @@ def _search(k: int):
                     own, q = qids[lo:lo + 256], qv[lo:lo + 256]
                     heaps = [best.setdefault(int(i), []) for i in own]
                     least = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps], np.float64)
-                    # one more than k: a query's own row may be among them
-                    qi, row = block.candidates(q, least, k + 1) if biggest < 1 << 52 else np.nonzero(np.ones((len(q), len(ids)), bool))
+                    # an id may be on any number of rows; none of them is a neighbour of that id
+                    same = own[:, None] == ids[None, :]
+                    qi, row = block.candidates(q, least, k, same) if biggest < 1 << 52 else np.nonzero(~same)
                     if biggest < 1 << 62:
                         exact = np.einsum("ij,ij->i", q[qi], vals[row])
                     else:
                         exact = [sum(int(a) * int(c) for a, c in zip(q[x], vals[y])) for x, y in zip(qi, row)]
                     for x, y, s in zip(qi.tolist(), ids[row].tolist(), exact):
-                        if y == own[x]:
-                            continue
                         h, item = heaps[x], (int(s), -y)
                         if len(h) < k:
                             heapq.heappush(h, item)

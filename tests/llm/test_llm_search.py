@@ -45,6 +45,14 @@ def test_edges_and_ties(spark):
     assert im.top_k(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_repeated_query_id_keeps_its_neighbours(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(r.normal(0, 0.1, 6))]) for i in range(450)]
+    rows += [(100, [float(x) for x in np.float32(np.array(rows[100][1]) * r.uniform(2, 9))]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    assert sorted(map(tuple, im.top_k(df, lambda i: i % 100 == 0).collect())) == brute(rows)
+
+
 def test_query_against_brute_force(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     assert sorted(map(tuple, im.query(spark, "/root/testdata/sf0.001").collect())) == brute(rows)
