@@ -29,10 +29,10 @@ from ..session import cut_lineage, shared
 from . import study
 
 KEY, LABEL, FEATURES = study.KEY, study.LABEL, study.FEATURES
-# small default grids (the study's full grids are a parameter away)
-GRID_1 = {"max_depth": [2, 4], "min_instances": [20], "subsampling": [0.8]}
-GRID_2 = {"step_size": [0.1, 0.05], "max_iter": [30]}
-FIXED_1 = {"max_iter": 30, "step_size": 0.1}
+# the study's grids: 500 fits of 100 trees, then 81 fits of 200 to 1,000 trees
+GRID_1 = {"max_depth": [*range(1, 11)], "min_instances": [*range(100, 1001, 100)], "subsampling": [0.2, 0.4, 0.6, 0.8, 1.0]}
+GRID_2 = {"step_size": [0.09, 0.08, 0.07, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01], "max_iter": [*range(200, 1001, 100)]}
+FIXED_1 = {"max_iter": 100, "step_size": 0.1}
 KNN_KS = [10, 50, *range(100, 1001, 100)]
 
 def model_sets(spark, sf) -> DataFrame:
@@ -65,23 +65,23 @@ def _split_perm(perm: DataFrame):
 # --- boosting ---------------------------------------------------------------------
 
 
-def boosting(spark, sf) -> dict:
+def boosting(spark, sf, grid_1: dict = GRID_1, grid_2: dict = GRID_2, fixed_1: dict = FIXED_1) -> dict:
     def build():
         s = model_sets(spark, sf)
         train, valid, test = s.where("split = 0"), s.where("split = 1"), s.where("split = 2")
-        g1 = M.grid_search_classifier(train, valid, FEATURES, LABEL, GRID_1, FIXED_1).cache()
-        p1 = M.best_params(g1, list(GRID_1))
+        g1 = M.grid_search_classifier(train, valid, FEATURES, LABEL, grid_1, fixed_1).cache()
+        p1 = M.best_params(g1, list(grid_1))
         p1 = {"max_depth": int(p1["max_depth"]), "min_instances": int(p1["min_instances"]),
               "subsampling": float(p1["subsampling"])}
-        g2 = M.grid_search_classifier(train, valid, FEATURES, LABEL, GRID_2, p1).cache()
-        p2 = M.best_params(g2, list(GRID_2))
+        g2 = M.grid_search_classifier(train, valid, FEATURES, LABEL, grid_2, p1).cache()
+        p2 = M.best_params(g2, list(grid_2))
         params = {**p1, "step_size": float(p2["step_size"]), "max_iter": int(p2["max_iter"])}
         model = M.fit_gbt_classifier(train, FEATURES, LABEL, **params)
         perm = cut_lineage(permutation_importance(lambda d: M.score(model, d, FEATURES), test, KEY, FEATURES, LABEL,
                                                   _groups(spark, sf)), "boost_perm")
         relinf = M.importance_table(spark, model, FEATURES)
         return {"grid1": g1, "grid2": g2, "params": params, "model": model, "perm": perm, "relinf": relinf}
-    return shared(spark, sf, "boosting", build)
+    return shared(spark, sf, f"boosting-{grid_1}-{grid_2}-{fixed_1}", build)
 
 
 def boosting_feature_ranks(spark, sf) -> DataFrame:

@@ -30,9 +30,12 @@ LABEL = "suc"
 # makes 99% of the synthetic cases successful); see FIXTURES.md
 MODEL_MIN_RATIO = 1.0
 MODEL_MIN_COUNT = 6
-# default grids of the model fills; the study's full ones are a parameter away
-RF_GRID = {"min_instances": [100, 300]}
-GBT_GRID = {"max_depth": [2, 3]}
+# the study's grids of the model fills: 25 forests of 600 to 1,000 trees, 1,000
+# boosted fits of 100 trees, then 50 of 200 to 600
+RF_GRID = {"min_instances": [*range(100, 501, 100)], "num_trees": [*range(600, 1001, 100)]}
+GBT_GRID = {"max_depth": [*range(1, 11)], "min_instances": [*range(100, 2001, 100)], "subsampling": [0.2, 0.4, 0.6, 0.8, 1.0]}
+GBT_FIXED = {"max_iter": 100, "step_size": 0.1}
+GBT_GRID_2 = {"step_size": [0.1, 0.09, 0.08, 0.07, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01], "max_iter": [*range(200, 601, 100)]}
 
 
 def decoded_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,12 +103,13 @@ def imputed_cases(spark: SparkSession, sf_dir: str, materialize: bool = True,
     return impute_dependent(c1, population_fallback=population_fallback)
 
 
-def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5):
+def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5, rf_grid: dict = RF_GRID, gbt_grid: dict = GBT_GRID,
+                        gbt_fixed: dict = GBT_FIXED, gbt_grid_2: dict = GBT_GRID_2):
     """Stage A with the study's model fills (I11, I12, I13 on top of I1-I10):
 
     * last payment amount: random forest (M8c) on complete rows, for rows whose
       DPD is known; the rest by month median (fallback);
-    * DPD: gradient-boosted regression (M8b), rounded half-even;
+    * DPD: gradient-boosted regression (M8b), grid in two stages, rounded half-even;
     * population: mean of the 5 nearest cases (min-max features, M4).
 
     Returns (imputed cases, {column: hold-out error table}).
@@ -120,17 +124,21 @@ def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5):
     # the formulas are results: the features the forests rank highest, and those that
     # influence the boosted fits by more than 2 percent on average
     lpa_all = [f for f in FEATURES if f not in ("last_payment_amount", "population")]
-    g_rf = grid_search_regressor(*hold_out(c2, KEY, "last_payment_amount", lpa_all), lpa_all, "last_payment_amount", "rf", RF_GRID, {"num_trees": 20}).cache()
-    best = best_params(g_rf, list(RF_GRID), "mean_abs_prop")
-    c3, err_lpa = fill_model(c2, "last_payment_amount", top_features(g_rf, list(RF_GRID)), "rf", where=F.col("dpd").isNotNull(),
-                             num_trees=20, min_instances=int(best["min_instances"]))
+    g_rf = grid_search_regressor(*hold_out(c2, KEY, "last_payment_amount", lpa_all), lpa_all, "last_payment_amount", "rf", rf_grid).cache()
+    best = best_params(g_rf, list(rf_grid), "mean_abs_prop")
+    c3, err_lpa = fill_model(c2, "last_payment_amount", top_features(g_rf, list(rf_grid)), "rf", where=F.col("dpd").isNotNull(),
+                             num_trees=int(best["num_trees"]), min_instances=int(best["min_instances"]))
     c3 = cut_lineage(c3, "lpa_forest")
     c3 = fill_group_stat(c3, "last_payment_amount", "m_last_payment", "median", source=c3)
     dpd_all = [f for f in FEATURES if f not in ("dpd", "population")]
-    g_gbt = grid_search_regressor(*hold_out(c3, KEY, "dpd", dpd_all), dpd_all, "dpd", "gbt", GBT_GRID, {"max_iter": 10, "min_instances": 50}).cache()
-    best = best_params(g_gbt, list(GBT_GRID), "mse")
+    parts = hold_out(c3, KEY, "dpd", dpd_all)
+    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid, gbt_fixed).cache()
+    best = best_params(g_gbt, list(gbt_grid), "mse")
+    stage_1 = {"max_depth": int(best["max_depth"]), "min_instances": int(best["min_instances"]), "subsampling": float(best["subsampling"])}
+    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid_2, stage_1).cache()
+    best = best_params(g_gbt, list(gbt_grid_2), "mse")
     gbt_feats = [r["var"] for r in select_features(g_gbt).where("selected = 1").orderBy("var").collect()]
-    c4, err_dpd = fill_model(c3, "dpd", gbt_feats, "gbt", post=F.rint, max_iter=20, max_depth=int(best["max_depth"]), min_instances=50)
+    c4, err_dpd = fill_model(c3, "dpd", gbt_feats, "gbt", post=F.rint, **stage_1, step_size=float(best["step_size"]), max_iter=int(best["max_iter"]))
     c4 = cut_lineage(c4, "dpd_boost")
     feats = [f for f in FEATURES if f != "population"]
     n = min_max(c4, feats, replace=True)
