@@ -399,8 +399,8 @@ def _coalesced(fn, rows: int = 50_000):
     return run
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component_id for every row."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text hash, set, n) of every row, and the (node, root) rows of linked sets."""
     ship_package(df.sparkSession)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     sizes, tiles = _sizes_and_tiles(docs, words, percent)
@@ -417,6 +417,24 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = stored(_exact(more, sets, percent), "verified")
     if found.limit(1).count():
         roots = stored(components(links.unionByName(found)), "roots")
+    return sizes, roots
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """id, text_hash (xxhash64) of the one row that stands for each component: the smallest
+    id, null ids last, then the smallest text hash. A row without shingles stands for itself."""
+    sizes, roots = _grouped(df, id_col, text_col, words, percent)
+    least = lambda *c: F.min(F.struct(*c)).alias("low")
+    classes = sizes.where("n > 0").groupBy("set").agg(least(F.col("_id").isNull().alias("unnamed"), "_id", "_hash"))
+    classes = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    first = classes.groupBy("root").agg(F.min("low").alias("low")).select("low._id", "low._hash")
+    alone = sizes.where("n = 0").select("_id", "_hash").distinct()
+    return first.unionByName(alone).select(F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"))
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles, component_id for every row."""
+    sizes, roots = _grouped(df, id_col, text_col, words, percent)
     # classes, then components of classes, are named by their smallest id
     classes = sizes.where("n > 0").groupBy("set").agg(F.min("_id").alias("low")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = classes.join(classes.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("set", "component_id")

@@ -5,7 +5,8 @@ as the next stage's documents.
 1. quality classifier: documents that score below the threshold go;
 2. quality rules: documents that fail the base conditions or are judged bad go;
 3. n-gram Jaccard join (words of five, similarity 0.8): of each group of near copies
-   the document of the smallest id stays; a row without an id cannot be named and stays;
+   one row stays, that of the smallest id (rows without an id last), then of the smallest
+   text hash; a row without shingles is near no other and stays once for its id and text;
 4. best-fit packing: the rest as token sequences.
 
 The first three return the columns of documents.
@@ -33,12 +34,11 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.similar_components(docs, words=SHINGLE_WORDS, percent=PERCENT)
-    stay = groups.where((F.col("doc_id") == F.col("component_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    stay = jaccard.representatives(docs, words=SHINGLE_WORDS, percent=PERCENT).select(F.col("doc_id").alias("_stay_id"), F.col("text_hash").alias("_stay_hash"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    kept = hashed.join(stay, (F.col("_text_hash") == F.col("_stay_hash")) & F.col("doc_id").eqNullSafe(F.col("_stay_id")), "left_semi")
     # rows of one id and text are one document
-    once = named.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

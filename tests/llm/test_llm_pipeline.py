@@ -45,6 +45,15 @@ def test_stages_on_edge_rows(spark):
     assert packing.pack(no_docs(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_near_copies_under_repeated_and_missing_ids(spark):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    text = lambda w, n="": " ".join([*w, n] if n else w)
+    rows = [(1, text(a)), (2, text(b)), (2, text(a, "z")), (3, text(b, "y")), (3, text(b, "x")), (None, text(a)), (None, text(c)), (None, text(c)), (None, text(c, "w"))]
+    near = cp.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    got = [(r.doc_id, r.text[0]) for r in near.collect()]
+    assert sorted(got, key=str) == [(1, "a"), (2, "b"), (None, "c")]
+
+
 def test_registered():
     import __spark_entry__ as e
 
