@@ -786,6 +786,26 @@ def q_logit_perm(spark, sf):
     return rounded(RS.logit(spark, sf)["perm"])
 
 
+@register("j5_boosting_stats_by_feature", None)
+def q_j5_boost(spark, sf):
+    return rounded(RS.boosting_feature_stats(spark, sf))
+
+
+@register("j5_boosting_stats_by_basket", None)
+def q_j5_boost_b(spark, sf):
+    return rounded(RS.boosting_basket_stats(spark, sf))
+
+
+@register("j5_logit_stats_by_feature", None)
+def q_j5_logit(spark, sf):
+    return rounded(RS.logit_feature_stats(spark, sf))
+
+
+@register("j5_logit_stats_by_basket", None)
+def q_j5_logit_b(spark, sf):
+    return rounded(RS.logit_basket_stats(spark, sf))
+
+
 @register("m6_m7_knn_model_ranks", None)
 def q_knn_ranks(spark, sf):
     return rounded(RS.knn(spark, sf)["removal"])

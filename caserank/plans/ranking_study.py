@@ -132,6 +132,40 @@ def logit_basket_ranks(spark, sf) -> DataFrame:
     return r.join(pv.select("basket_id", "logit_pvals"), "basket_id")
 
 
+# --- J5: the joined statistic tables ---------------------------------------------------
+
+RATIOS = ["class_error_ratio", "auc_ratio", "sensitivity_ratio", "specificity_ratio", "ce_greater"]
+
+
+def boosting_feature_stats(spark, sf) -> DataFrame:
+    """Permutation ratios of every feature joined to its relative influence."""
+    b = boosting(spark, sf)
+    perm = rank_importance(_split_perm(b["perm"])[0]).select(F.col("scenario").alias("var"), *RATIOS, "rank_ce", "rank_auc")
+    return b["relinf"].select("var", "rel_inf", F.col("rank").alias("rank_summary")).join(perm, "var", "left")
+
+
+def boosting_basket_stats(spark, sf) -> DataFrame:
+    """Permutation ratios of every basket joined to its mean relative influence."""
+    b = boosting(spark, sf)
+    perm = rank_importance(_split_perm(b["perm"])[1]).select("basket_id", *RATIOS, "rank_ce", "rank_auc")
+    return group_mean_rank(b["relinf"], baskets(spark, sf), "rel_inf", "rank_summary", ascending=False).join(perm, "basket_id", "left")
+
+
+def logit_feature_stats(spark, sf) -> DataFrame:
+    """Permutation ratios of every feature joined to its p-value."""
+    lg = logit(spark, sf)
+    perm = rank_importance(_split_perm(lg["perm"])[0]).select(F.col("scenario").alias("var"), *RATIOS, "rank_ce", "rank_auc")
+    pv = rank_by(lg["pvalues"], "pval", ascending=True, tiebreak=["var"], out="rank_pvals")
+    return perm.join(pv.select("var", "pval", "rank_pvals"), "var", "left")
+
+
+def logit_basket_stats(spark, sf) -> DataFrame:
+    """Permutation ratios of every basket joined to its mean p-value."""
+    lg = logit(spark, sf)
+    perm = rank_importance(_split_perm(lg["perm"])[1]).select("basket_id", *RATIOS, "rank_ce", "rank_auc")
+    return perm.join(group_mean_rank(lg["pvalues"], baskets(spark, sf), "pval", "rank_pvals", ascending=True), "basket_id", "left")
+
+
 # --- nearest neighbours ---------------------------------------------------------------
 
 
