@@ -209,7 +209,8 @@ def q_profile(spark, sf):
 
 @register("p14_schema", None)
 def q_schema(spark, sf):
-    """R ``str``: name/type/nullability of the decoded cases table."""
+    """R ``str``: name/type/nullability, rows, distinct values and an example value of
+    each column of the decoded cases table."""
     from ..operators.profile import schema_rows
     return schema_rows(_cases(spark, sf))
 
