@@ -1,7 +1,7 @@
 """Model operators on MLlib (M8, M8b-d, M9, M14-M16, I11, I12).
 
-Fits are distributed MLlib jobs; the driver only loops over grid points and
-holds model parameters (p numbers). Scoring is ``model.transform`` (map-side,
+Fits are distributed MLlib jobs; the driver submits grid points from a bounded thread pool
+(``grid``) and holds model parameters and tree nodes. Scoring is ``model.transform`` (map-side,
 no shuffle); metrics come from ``operators.metrics`` (distributed).
 
 Parameter names follow the study: depth -> ``maxDepth``, min node size ->
@@ -12,7 +12,9 @@ Parameter names follow the study: depth -> ``maxDepth``, min node size ->
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
@@ -23,12 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import u
+from .grid import WORKERS, GridStore, run_grid
 from .metrics import evaluate_binary, regression_error
 from .ranking import top_k
 from .stats import corr_matrix
+from .trees import ensemble, staged_scores
 
 SEED = 42
 MAX_BINS = 64
+#: Rows a partition of a fit holds at least.
+FIT_ROWS = 100_000
+FOREST_DEPTH = 30
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -37,32 +44,43 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(cast), outputCol=out, handleInvalid="keep").transform(df.withColumns(cast)).drop(*cast)
 
 
-def fit_gbt_classifier(train: DataFrame, features, label, max_iter=50, max_depth=3, step_size=0.1,
-                       min_instances=20, subsampling=0.8):
+def fit_frame(train: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """What a fit reads: the feature vector and the label as a double."""
+    return assemble(train, features).select("features", F.col(label).cast("double").alias(label))
+
+
+def _boosted(cls, label, max_iter=50, max_depth=3, step_size=0.1, min_instances=20, subsampling=0.8):
+    return cls(featuresCol="features", labelCol=label, maxIter=int(max_iter), maxDepth=int(max_depth), stepSize=float(step_size),
+               minInstancesPerNode=int(min_instances), subsamplingRate=float(subsampling), maxBins=MAX_BINS, seed=SEED)
+
+
+def _forest(label, num_trees=50, min_instances=100, mtry: int = 1):
+    """Trees grow until a node is too small: MLlib's deepest allowed depth, not its default."""
+    return RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=int(num_trees), minInstancesPerNode=int(min_instances),
+                                 maxDepth=FOREST_DEPTH, featureSubsetStrategy=str(mtry), maxBins=MAX_BINS, seed=SEED)
+
+
+def estimator(kind: str, label: str, n_features: int, **params):
+    """The MLlib estimator of a kind of model (``classifier``, ``gbt``, ``rf``); a
+    forest tries a third of the features at a split by default."""
+    if kind == "rf":
+        return _forest(label, **{"mtry": max(1, n_features // 3), **params})
+    return _boosted(GBTClassifier if kind == "classifier" else GBTRegressor, label, **params)
+
+
+def fit_gbt_classifier(train: DataFrame, features, label, **params):
     """M8: boosted trees for a 0/1 label (bernoulli deviance = logistic loss)."""
-    est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step_size, minInstancesPerNode=min_instances, subsamplingRate=subsampling,
-                        maxBins=MAX_BINS, seed=SEED)
-    return est.fit(assemble(train, features).withColumn(label, F.col(label).cast("double")))
+    return estimator("classifier", label, len(features), **params).fit(fit_frame(train, features, label))
 
 
-def fit_gbt_regressor(train, features, target, max_iter=50, max_depth=3, step_size=0.1, min_instances=20,
-                      subsampling=0.8):
+def fit_gbt_regressor(train, features, target, **params):
     """Boosted trees, squared loss (gaussian)."""
-    est = GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter, maxDepth=max_depth,
-                       stepSize=step_size, minInstancesPerNode=min_instances, subsamplingRate=subsampling,
-                       maxBins=MAX_BINS, seed=SEED)
-    return est.fit(assemble(train, features).withColumn(target, F.col(target).cast("double")))
+    return estimator("gbt", target, len(features), **params).fit(fit_frame(train, features, target))
 
 
-def fit_rf_regressor(train, features, target, num_trees=50, min_instances=100, mtry: int | None = None):
+def fit_rf_regressor(train, features, target, **params):
     """Random forest regression; ``mtry`` features per split (default p/3)."""
-    p = len(features)
-    strategy = str(mtry) if mtry else str(max(1, p // 3))
-    est = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees,
-                                minInstancesPerNode=min_instances, featureSubsetStrategy=strategy,
-                                maxBins=MAX_BINS, seed=SEED)
-    return est.fit(assemble(train, features).withColumn(target, F.col(target).cast("double")))
+    return estimator("rf", target, len(features), **params).fit(fit_frame(train, features, target))
 
 
 def score(model, df: DataFrame, features, out: str = "score") -> DataFrame:
@@ -89,36 +107,78 @@ def importance_table(spark, model, features, out: str = "rel_inf") -> DataFrame:
     return spark.createDataFrame(rows, f"var string, {out} double, rank int")
 
 
-def grid_search_classifier(train, valid, features, label, grid: dict[str, Sequence], fixed: dict | None = None):
-    """M14 (one stage): fit every grid point on ``train``, evaluate on ``valid``
-    (class error at the closest-top-left threshold). Returns a long table with one
-    row per (grid point, feature): params..., class_error, threshold, var, rel_inf."""
+@contextmanager
+def _held(df: DataFrame):
+    """The rows in memory (or on disk), in as few partitions as their number asks for: the
+    fits of a grid read them many times, and a job over few rows is mostly its tasks."""
+    parts = df.rdd.getNumPartitions()
+    kept = df.coalesce(max(1, min(parts, -(-df.count() // FIT_ROWS)))).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def _stages(grid: dict[str, Sequence], kind: str) -> tuple[list[dict], list[int]]:
+    """The points to fit and the numbers of rounds to read off each: a boosted model's
+    first trees are the model with fewer rounds, so only the most rounds are fitted."""
+    staged = sorted({int(v) for v in grid.get("max_iter", [])}) if kind != "rf" else []
+    names = [n for n in grid if not (staged and n == "max_iter")]
+    return [dict(zip(names, v)) for v in itertools.product(*[grid[n] for n in names])], staged
+
+
+def _grid(kind: str, train: DataFrame, hold: DataFrame, features, label, grid: dict[str, Sequence], fixed: dict | None, measure, metrics: Sequence[str],
+          state: Sequence, workers: int) -> DataFrame:
+    """Fit every point of ``grid`` and measure it: ``measure(scored)`` gives one row of
+    ``metrics`` per stage. Long table, one row per (grid point, feature): params...,
+    metrics..., var, rel_inf."""
+    features, fixed, names = list(features), dict(fixed or {}), list(grid)
     spark = train.sparkSession
-    names = list(grid)
-    rows = []
-    for values in itertools.product(*[grid[n] for n in names]):
-        params = {**(fixed or {}), **dict(zip(names, values))}
-        m = fit_gbt_classifier(train, features, label, **params)
-        ev = evaluate_binary(score(m, valid, features), "score", label).first()
-        for var, ri in importance(m, features):
-            rows.append((*[float(params[n]) for n in names], ev.class_error, ev.threshold, ev.auc, var, ri))
-    schema = ", ".join([f"{n} double" for n in names] + ["class_error double", "threshold double", "auc double",
-                                                         "var string", "rel_inf double"])
-    return spark.createDataFrame(rows, schema)
-
-
-def grid_search_regressor(train, hold, features, target, kind: str, grid: dict[str, Sequence], fixed: dict | None = None) -> DataFrame:
+    points, staged = _stages(grid, kind)
+    schema = ", ".join([f"{n} double" for n in names] + [f"{m} double" for m in metrics] + ["var string", "rel_inf double"])
+    store = GridStore(spark, f"{kind}-{label}", [kind, label, features, fixed, staged, SEED, MAX_BINS, *state], schema, None)
+    if not store.missing(points):
+        return run_grid(store, points, lambda point: [], workers)
+    vectors = fit_frame(train, features, label)
+    values = hold.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).alias("_y"))
+    with _held(vectors) as vectors, _held(values) as values:
+        def fit(point: dict) -> list[tuple]:
+            params = {**fixed, **point, **({"max_iter": staged[-1]} if staged else {})}
+            model = estimator(kind, label, len(features), **params).fit(vectors)
+            e = ensemble(spark, model, len(features))
+            stages = staged or [len(e.root)]
+            scored = staged_scores(e, values, features, stages, {"gbt": "boosted", "rf": "forest"}.get(kind, kind), ["_y"])
+            found = {r["stage"]: r for r in measure(scored).collect()}  # one row a stage
+            out = []
+            for stage in stages:
+                own = {**params, "max_iter": stage} if staged else params
+                rel = e.influence(stage)
+                out += [(*[float(own[n]) for n in names], *[found[stage][m] for m in metrics], features[j], float(rel[j]))
+                        for j in sorted(range(len(features)), key=lambda j: (-rel[j], j))]
+            return out
+
+        return run_grid(store, points, fit, workers)
+
+
+def grid_search_classifier(train, valid, features, label, grid: dict[str, Sequence], fixed: dict | None = None, state: Sequence = (),
+                           workers: int = WORKERS) -> DataFrame:
+    """M14 (one stage): fit every grid point on ``train``, evaluate on ``valid`` (class
+    error at the closest-top-left threshold). All numbers of rounds (``max_iter``) of a
+    point come from one fit. Finished points are kept by ``state``, which has to name the
+    inputs, and are not fitted again; without a state every call has a table of its own."""
+    measure = lambda scored: evaluate_binary(scored, "score", "_y", by="stage")
+    return _grid("classifier", train, valid, features, label, grid, fixed, measure, ["class_error", "threshold", "auc"], state or [uuid.uuid4().hex], workers)
+
+
+def grid_search_regressor(train, hold, features, target, kind: str, grid: dict[str, Sequence], fixed: dict | None = None, post=None,
+                          state: Sequence = (), workers: int = WORKERS) -> DataFrame:
     """M14 for regressors (``kind``: rf or gbt): fit every grid point on ``train``, measure
-    it on ``hold``. Long table, one row per (grid point, feature): params..., mse,
-    mean_abs_prop, var, rel_inf."""
-    names = list(grid)
-    rows = []
-    for values in itertools.product(*[grid[n] for n in names]):
-        m = REGRESSORS[kind](train, features, target, **{**(fixed or {}), **dict(zip(names, values))})
-        e = regression_error(score(m, hold, features, out="_pred"), "_pred", target).first()
-        rows += [(*map(float, values), e.mse, e.mean_abs_prop, var, ri) for var, ri in importance(m, features)]
-    schema = ", ".join([f"{n} double" for n in names] + ["mse double", "mean_abs_prop double", "var string", "rel_inf double"])
-    return train.sparkSession.createDataFrame(rows, schema)
+    it on ``hold``, after ``post`` (rounding, say). Long table, one row per (grid point,
+    feature): params..., mse, mean_abs_prop, var, rel_inf. Kept by ``state`` as above."""
+    def measure(scored):
+        return regression_error(scored.withColumn("score", post(F.col("score"))) if post else scored, "score", "_y", by="stage")
+
+    return _grid(kind, train, hold, features, target, grid, fixed, measure, ["mse", "mean_abs_prop"], state or [uuid.uuid4().hex], workers)
 
 
 def top_features(grid_result: DataFrame, params: Sequence[str], k: int = 6) -> list[str]:

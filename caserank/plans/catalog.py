@@ -742,27 +742,27 @@ from . import ranking_study as RS  # noqa: E402
 def q_grid1(spark, sf):
     """M14 stage 1 + M15: one row per (grid point, feature): validation class error,
     threshold, AUC, relative influence."""
-    return rounded(RS.boosting(spark, sf)["grid1"])
+    return rounded(RS.boosting_grid_1(spark, sf))
 
 
 @register("m14_gbt_grid_stage2", None)
 def q_grid2(spark, sf):
     """M14 stage 2 (stage-1 winners fixed): shrinkage x trees."""
-    return rounded(RS.boosting(spark, sf)["grid2"])
+    return rounded(RS.boosting_grid_2(spark, sf))
 
 
 @register("m16_a8_select_features", None)
 def q_select(spark, sf):
     """Mean relative influence per feature over the stage-2 grid, > 2 flag."""
     from ..operators.models import select_features
-    return rounded(select_features(RS.boosting(spark, sf)["grid2"]))
+    return rounded(select_features(RS.boosting_grid_2(spark, sf)))
 
 
 @register("m8_m17_m19_gbt_permutation_features", None)
 def q_gbt_perm(spark, sf):
     """M8 + M17 + M19: boosted model, permutation of each feature on the test set:
     class error / AUC / sensitivity / specificity and ratios to the baseline."""
-    return rounded(RS.boosting(spark, sf)["perm"])
+    return rounded(RS.boosting_permutations(spark, sf))
 
 
 @register("m18_m21_basket_ranks_boosting", None)
@@ -773,7 +773,7 @@ def q_gbt_baskets(spark, sf):
 
 @register("m15_gbt_relative_influence", None)
 def q_relinf(spark, sf):
-    return rounded(RS.boosting(spark, sf)["relinf"])
+    return rounded(RS.relative_influence(spark, sf))
 
 
 @register("m9_logit_pvalues", None)
@@ -866,7 +866,7 @@ def q_port_eval(spark, sf):
     """Boosted model AUC / class error per portfolio on the test split."""
     from ..operators import models as M
     from ..operators.metrics import evaluate_binary
-    model = RS.boosting(spark, sf)["model"]
+    model = RS.boosted_model(spark, sf)
     p = portfolios(spark, sf)[0].where("split = 2")
     return rounded(evaluate_binary(M.score(model, p, study.FEATURES), "score", study.LABEL, by="portfolio"))
 
@@ -915,7 +915,7 @@ def q_relinf_box(spark, sf):
     """J7 + A14: every grid fit's relative influence joined to the feature's basket,
     box statistics per (basket, feature)."""
     from ..operators.profile import box_stats
-    g = RS.boosting(spark, sf)["grid1"].join(F.broadcast(RS.baskets(spark, sf)), "var")
+    g = RS.boosting_grid_1(spark, sf).join(F.broadcast(RS.baskets(spark, sf)), "var")
     return rounded(box_stats(g, "rel_inf", ["basket_id", "var"]))
 
 

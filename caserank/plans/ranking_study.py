@@ -25,7 +25,7 @@ from ..operators.knn import knn_removal_importance, knn_select_k
 from ..operators.ranking import consensus_rank, rank_by
 from ..operators.sampling import min_max, split
 from ..operators.stats import correlation_baskets, target_correlation
-from ..session import cut_lineage, shared
+from ..session import cut_lineage, input_state, shared
 from . import study
 
 KEY, LABEL, FEATURES = study.KEY, study.LABEL, study.FEATURES
@@ -65,38 +65,62 @@ def _split_perm(perm: DataFrame):
 # --- boosting ---------------------------------------------------------------------
 
 
-def boosting(spark, sf, grid_1: dict = GRID_1, grid_2: dict = GRID_2, fixed_1: dict = FIXED_1) -> dict:
+def label_grid(spark, sf, grid: dict, fixed: dict) -> DataFrame:
+    """M14 + M15: one stage of the label's boosting grid on train/valid, kept by the input's
+    state: a later run or query reads the points that are there and fits the rest."""
     def build():
         s = model_sets(spark, sf)
-        train, valid, test = s.where("split = 0"), s.where("split = 1"), s.where("split = 2")
-        g1 = M.grid_search_classifier(train, valid, FEATURES, LABEL, grid_1, fixed_1).cache()
-        p1 = M.best_params(g1, list(grid_1))
-        p1 = {"max_depth": int(p1["max_depth"]), "min_instances": int(p1["min_instances"]),
-              "subsampling": float(p1["subsampling"])}
-        g2 = M.grid_search_classifier(train, valid, FEATURES, LABEL, grid_2, p1).cache()
-        p2 = M.best_params(g2, list(grid_2))
-        params = {**p1, "step_size": float(p2["step_size"]), "max_iter": int(p2["max_iter"])}
-        model = M.fit_gbt_classifier(train, FEATURES, LABEL, **params)
-        perm = cut_lineage(permutation_importance(lambda d: M.score(model, d, FEATURES), test, KEY, FEATURES, LABEL,
-                                                  _groups(spark, sf)), "boost_perm")
-        relinf = M.importance_table(spark, model, FEATURES)
-        return {"grid1": g1, "grid2": g2, "params": params, "model": model, "perm": perm, "relinf": relinf}
-    return shared(spark, sf, f"boosting-{grid_1}-{grid_2}-{fixed_1}", build)
+        return M.grid_search_classifier(s.where("split = 0"), s.where("split = 1"), FEATURES, LABEL, grid, fixed,
+                                        state=["label", *input_state(spark, sf)])
+    return shared(spark, sf, f"label-grid-{grid}-{fixed}", build)
+
+
+def boosting_grid_1(spark, sf, grid_1: dict = GRID_1, fixed_1: dict = FIXED_1) -> DataFrame:
+    return label_grid(spark, sf, grid_1, fixed_1)
+
+
+def stage_1_winner(spark, sf, grid_1: dict = GRID_1, fixed_1: dict = FIXED_1) -> dict:
+    p = M.best_params(boosting_grid_1(spark, sf, grid_1, fixed_1), list(grid_1))
+    return {"max_depth": int(p["max_depth"]), "min_instances": int(p["min_instances"]), "subsampling": float(p["subsampling"])}
+
+
+def boosting_grid_2(spark, sf, grid_1: dict = GRID_1, grid_2: dict = GRID_2, fixed_1: dict = FIXED_1) -> DataFrame:
+    return label_grid(spark, sf, grid_2, stage_1_winner(spark, sf, grid_1, fixed_1))
+
+
+def boosted_model(spark, sf, grid_1: dict = GRID_1, grid_2: dict = GRID_2, fixed_1: dict = FIXED_1):
+    """M8: the final fit with the winners of both stages."""
+    def build():
+        p2 = M.best_params(boosting_grid_2(spark, sf, grid_1, grid_2, fixed_1), list(grid_2))
+        params = {**stage_1_winner(spark, sf, grid_1, fixed_1), "step_size": float(p2["step_size"]), "max_iter": int(p2["max_iter"])}
+        return M.fit_gbt_classifier(model_sets(spark, sf).where("split = 0"), FEATURES, LABEL, **params)
+    return shared(spark, sf, f"boosted-{grid_1}-{grid_2}-{fixed_1}", build)
+
+
+def relative_influence(spark, sf, **grids) -> DataFrame:
+    """Relative influence of every feature in the final fit, ranked."""
+    return M.importance_table(spark, boosted_model(spark, sf, **grids), FEATURES)
+
+
+def boosting_permutations(spark, sf, **grids) -> DataFrame:
+    """M17 + M18: the final fit's statistics with each feature and basket shuffled."""
+    def build():
+        model, test = boosted_model(spark, sf, **grids), model_sets(spark, sf).where("split = 2")
+        return cut_lineage(permutation_importance(lambda d: M.score(model, d, FEATURES), test, KEY, FEATURES, LABEL, _groups(spark, sf)), "boost_perm")
+    return shared(spark, sf, f"boost-perm-{grids}", build)
 
 
 def boosting_feature_ranks(spark, sf) -> DataFrame:
-    b = boosting(spark, sf)
-    feat, _ = _split_perm(b["perm"])
+    feat, _ = _split_perm(boosting_permutations(spark, sf))
     r = rank_importance(feat).select(F.col("scenario").alias("var"), F.col("rank_ce").alias("boost_ce"),
                                      F.col("rank_auc").alias("boost_auc"))
-    return r.join(b["relinf"].select("var", F.col("rank").alias("boost_relinf")), "var")
+    return r.join(relative_influence(spark, sf).select("var", F.col("rank").alias("boost_relinf")), "var")
 
 
 def boosting_basket_ranks(spark, sf) -> DataFrame:
-    b = boosting(spark, sf)
-    _, bask = _split_perm(b["perm"])
+    _, bask = _split_perm(boosting_permutations(spark, sf))
     r = rank_importance(bask).select("basket_id", F.col("rank_ce").alias("boost_ce"), F.col("rank_auc").alias("boost_auc"))
-    ri = group_mean_rank(b["relinf"], baskets(spark, sf), "rel_inf", "boost_avg_relinf", ascending=False)
+    ri = group_mean_rank(relative_influence(spark, sf), baskets(spark, sf), "rel_inf", "boost_avg_relinf", ascending=False)
     return r.join(ri.select("basket_id", "boost_avg_relinf"), "basket_id")
 
 
@@ -139,16 +163,14 @@ RATIOS = ["class_error_ratio", "auc_ratio", "sensitivity_ratio", "specificity_ra
 
 def boosting_feature_stats(spark, sf) -> DataFrame:
     """Permutation ratios of every feature joined to its relative influence."""
-    b = boosting(spark, sf)
-    perm = rank_importance(_split_perm(b["perm"])[0]).select(F.col("scenario").alias("var"), *RATIOS, "rank_ce", "rank_auc")
-    return b["relinf"].select("var", "rel_inf", F.col("rank").alias("rank_summary")).join(perm, "var", "left")
+    perm = rank_importance(_split_perm(boosting_permutations(spark, sf))[0]).select(F.col("scenario").alias("var"), *RATIOS, "rank_ce", "rank_auc")
+    return relative_influence(spark, sf).select("var", "rel_inf", F.col("rank").alias("rank_summary")).join(perm, "var", "left")
 
 
 def boosting_basket_stats(spark, sf) -> DataFrame:
     """Permutation ratios of every basket joined to its mean relative influence."""
-    b = boosting(spark, sf)
-    perm = rank_importance(_split_perm(b["perm"])[1]).select("basket_id", *RATIOS, "rank_ce", "rank_auc")
-    return group_mean_rank(b["relinf"], baskets(spark, sf), "rel_inf", "rank_summary", ascending=False).join(perm, "basket_id", "left")
+    perm = rank_importance(_split_perm(boosting_permutations(spark, sf))[1]).select("basket_id", *RATIOS, "rank_ce", "rank_auc")
+    return group_mean_rank(relative_influence(spark, sf), baskets(spark, sf), "rel_inf", "rank_summary", ascending=False).join(perm, "basket_id", "left")
 
 
 def logit_feature_stats(spark, sf) -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators.impute import (
     fill_group_means, fill_group_stat, fill_stat,
 )
 from ..operators.label import attach_label, success_label
-from ..session import cut_lineage, shared
+from ..session import cut_lineage, input_state, shared
 from ..sources.fixtures import AGE_SENTINEL, FEATURES, case_amounts, cases_raw, payments_raw
 
 KEY = "case_id"
@@ -109,33 +109,38 @@ def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5, rf_gri
 
     * last payment amount: random forest (M8c) on complete rows, for rows whose
       DPD is known; the rest by month median (fallback);
-    * DPD: gradient-boosted regression (M8b), grid in two stages, rounded half-even;
+    * DPD: gradient-boosted regression (M8b), grid in two stages, measured and filled
+      rounded half-even;
     * population: mean of the 5 nearest cases (min-max features, M4).
 
-    Returns (imputed cases, {column: hold-out error table}).
+    The grids' finished points are kept by the state of the input, so a run that ends early
+    goes on where it stopped. Returns (imputed cases, {column: hold-out error table}).
     """
     from ..operators.knn import knn_regress
     from ..operators.models import best_params, fill_model, grid_search_regressor, hold_out, select_features, top_features
     from ..operators.sampling import min_max
 
+    state = ["fills", *input_state(spark, sf_dir)]
     c0 = cut_lineage(decoded_cases(spark, sf_dir), "decoded")
     c1 = cut_lineage(impute_observed(c0, dpd_median=False), "phase1")
-    c2 = impute_dependent(c1, fallbacks=False)
+    c2 = cut_lineage(impute_dependent(c1, fallbacks=False), "phase2")
     # the formulas are results: the features the forests rank highest, and those that
     # influence the boosted fits by more than 2 percent on average
     lpa_all = [f for f in FEATURES if f not in ("last_payment_amount", "population")]
-    g_rf = grid_search_regressor(*hold_out(c2, KEY, "last_payment_amount", lpa_all), lpa_all, "last_payment_amount", "rf", rf_grid).cache()
+    g_rf = grid_search_regressor(*hold_out(c2, KEY, "last_payment_amount", lpa_all), lpa_all, "last_payment_amount", "rf", rf_grid, state=state)
     best = best_params(g_rf, list(rf_grid), "mean_abs_prop")
     c3, err_lpa = fill_model(c2, "last_payment_amount", top_features(g_rf, list(rf_grid)), "rf", where=F.col("dpd").isNotNull(),
                              num_trees=int(best["num_trees"]), min_instances=int(best["min_instances"]))
     c3 = cut_lineage(c3, "lpa_forest")
-    c3 = fill_group_stat(c3, "last_payment_amount", "m_last_payment", "median", source=c3)
+    c3 = cut_lineage(fill_group_stat(c3, "last_payment_amount", "m_last_payment", "median", source=c3), "lpa_filled")
     dpd_all = [f for f in FEATURES if f not in ("dpd", "population")]
     parts = hold_out(c3, KEY, "dpd", dpd_all)
-    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid, gbt_fixed).cache()
+    # the rows of the second step depend on the forest's winner
+    won = [*state, *map(str, best.values())]
+    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid, gbt_fixed, post=F.rint, state=won)
     best = best_params(g_gbt, list(gbt_grid), "mse")
     stage_1 = {"max_depth": int(best["max_depth"]), "min_instances": int(best["min_instances"]), "subsampling": float(best["subsampling"])}
-    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid_2, stage_1).cache()
+    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid_2, stage_1, post=F.rint, state=won)
     best = best_params(g_gbt, list(gbt_grid_2), "mse")
     gbt_feats = [r["var"] for r in select_features(g_gbt).where("selected = 1").orderBy("var").collect()]
     c4, err_dpd = fill_model(c3, "dpd", gbt_feats, "gbt", post=F.rint, **stage_1, step_size=float(best["step_size"]), max_iter=int(best["max_iter"]))

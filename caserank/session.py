@@ -27,6 +27,7 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
+    "spark.scheduler.mode": "FAIR",  # the fits of a grid run side by side
 }
 
 
@@ -63,18 +64,28 @@ _SHARED: dict = {}
 _INPUTS = ("orders", "lineitem", "customer", "nation")
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> list:
+    """What names the study's input tables and their present content: path and time of change."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in _INPUTS]
+    return [sf_dir, *[p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths]]
+
+
 def shared(spark: SparkSession, sf_dir: str, name: str, build):
     """``build()`` once per application, input folder and state of its tables: queries of
     one run share their stage tables; a new application or changed input builds anew."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in _INPUTS]
-    changed = tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
-    key = (spark.sparkContext.applicationId, sf_dir, changed, name)
+    key = (spark.sparkContext.applicationId, *input_state(spark, sf_dir), name)
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote and has read for the last time."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df, name: str = "stage"):
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and
     read it back: one computation (an RDD checkpoint would compute twice), a

@@ -20,7 +20,7 @@ class Stop(Exception):
 def test_boosting_runs_both_stages_in_full(spark, monkeypatch):
     seen = []
 
-    def grid_search(train, valid, features, label, grid, fixed):
+    def grid_search(train, valid, features, label, grid, fixed, state):
         seen.append((grid, fixed))
         if len(seen) == 2:
             raise Stop
@@ -29,7 +29,7 @@ def test_boosting_runs_both_stages_in_full(spark, monkeypatch):
     monkeypatch.setattr(M, "grid_search_classifier", grid_search)
     monkeypatch.setattr(RS, "model_sets", lambda spark, sf: spark.range(3).withColumnRenamed("id", "split"))
     with pytest.raises(Stop):
-        RS.boosting(spark, SF001)
+        RS.boosting_grid_2(spark, SF001)
     (one, fixed), (two, won) = seen
     assert points(one) == 500 and fixed == {"max_iter": 100, "step_size": 0.1}
     assert points(two) == 81 and min(two["max_iter"]) == 200 and max(two["max_iter"]) == 1000
@@ -40,7 +40,7 @@ def test_fills_run_their_grids_in_full(spark, monkeypatch):
     seen, fits = [], []
     fill = M.fill_model
 
-    def grid_search(train, hold, features, target, kind, grid, fixed=None):
+    def grid_search(train, hold, features, target, kind, grid, fixed=None, post=None, state=()):
         seen.append((kind, points(grid), grid, fixed))
         best = {n: 2.0 if n in ("num_trees", "max_iter") else float(v[0]) for n, v in grid.items()}
         rows = [(*best.values(), 1.0, 1.0, v, 50.0) for v in ("principal", "interest")]
