@@ -48,7 +48,10 @@ HOT = 2_000
 NULL_ID = (1 << 63) - 1
 #: Bytes of text or of fragments that a task works on at once.
 SEGMENT = 4 << 20
+#: Bytes whose anchors are found at once: the arrays of so many stay in a core's cache.
+CACHED = 1 << 17
 PLACE = np.uint64((1 << 31) - 1)
+FACTORS = mix64(np.arange(1, GRAM // 8 + 1, dtype=np.uint64)) | np.uint64(1)
 COLD_PIECE, HOT_PIECE, GONE = 0, 1, 2
 PIECE = "kind byte, name long, stretch long, _i long, _h long, start int, stop int, bytes binary"
 
@@ -62,15 +65,23 @@ def eights(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def hashed(eight: np.ndarray, at: np.ndarray | slice, offsets: list[int]) -> np.ndarray:
+def hashed(eight: np.ndarray, at: np.ndarray, offsets: list[int]) -> np.ndarray:
     """A 64-bit hash of the bytes from each place on that ``offsets`` cover by eights."""
-    h = None
+    h = np.zeros(len(at), np.uint64)
     for o in offsets:
-        v = eight[at.start + o:at.stop + o] if isinstance(at, slice) else eight[at + o]
-        h = mix64(v) if h is None else mix64(h * np.uint64(0x9E3779B97F4A7C15) + v)
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + eight[at + o])
     return h
 
 
+def grams(eight: np.ndarray) -> np.ndarray:
+    """Names of the grams from each place on: the gram's eights times odd numbers, mixed. Two
+    grams may share a name, which only makes their stretches meet in vain."""
+    h = eight[:len(eight) - GRAM + 8] * FACTORS[0]
+    for j in range(1, GRAM // 8):
+        h += eight[8 * j:8 * j + len(h)] * FACTORS[j]
+    return mix64(h)
+
+
 def covering(width: int) -> list[int]:
     """Offsets of eights that cover ``width`` bytes."""
     return [*range(0, width - 8, 8), width - 8]
@@ -80,32 +91,35 @@ def fragments(data: np.ndarray, ends: np.ndarray, width: int):
     """(text number, start in the text, stretches, name) of the fragments of the texts
     that lie in ``data`` one after another, text k from ``ends[k]`` to ``ends[k + 1]``."""
     span = width - GRAM + 1
-    found = [[], [], [], []]
-    for low in range(0, max(1, len(data)), SEGMENT):
-        part = data[low:low + SEGMENT + width - 1]
+    # where a stretch can start: a text's places but its last width - 1
+    edge = np.zeros(len(data) + 1, np.int8)
+    long = np.flatnonzero(np.diff(ends) >= width)
+    np.add.at(edge, ends[long], 1)
+    np.add.at(edge, ends[long + 1] - width + 1, -1)
+    starts = np.cumsum(edge, dtype=np.int8)
+    found = [[], [], []]
+    for low in range(0, len(data), CACHED):
+        part = data[low:low + CACHED + width - 1]
         count = len(part) - width + 1
         if count <= 0:
             break
-        eight = eights(part)
-        gram = hashed(eight, slice(0, len(part) - GRAM + 1), covering(GRAM))
+        place = np.flatnonzero(starts[low:low + count])
+        if not len(place):
+            continue
+        gram = grams(eights(part))
         least = (gram & ~PLACE) | np.arange(len(gram), dtype=np.uint64)
         done = 1
         while done < span:
             step = min(done, span - done)
             least = np.minimum(least[:-step], least[step:])
             done += step
-        anchor = (least & PLACE).astype(np.int64)
-        # a stretch starts where its text still has width bytes
-        place = np.arange(low, low + count)
-        text = np.searchsorted(ends, place, "right") - 1
-        inside = place + width <= ends[text + 1]
-        place, text, anchor = place[inside], text[inside], anchor[inside]
-        if not len(place):
-            continue
-        new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))))
-        for out, x in zip(found, (text[new], place[new] - ends[text[new]], np.diff(np.append(new, len(place))), gram[anchor[new]].view(np.int64))):
+        anchor = (least[place] & PLACE).astype(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1] + 1))))
+        for out, x in zip(found, (low + place[new], np.diff(np.append(new, len(place))), gram[anchor[new]].view(np.int64))):
             out.append(x)
-    return [np.concatenate(x) if x else np.empty(0, np.int64) for x in found]
+    place, n, name = [np.concatenate(x) if x else np.empty(0, np.int64) for x in found]
+    text = np.searchsorted(ends, place, "right") - 1
+    return text, place - ends[text], n, name
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -65,7 +65,7 @@ def test_fragments_partition_the_stretches(monkeypatch):
             covered.append((k, j))
             assert names.setdefault(texts[k][j:j + 100], name) == name  # equal stretches, equal names
     assert covered == [(k, j) for k, t in enumerate(texts) for j in range(len(t) - 99)]
-    monkeypatch.setattr(sd, "SEGMENT", 257)  # the borders of segments change no name
+    monkeypatch.setattr(sd, "CACHED", 257)  # the borders of segments change no name
     for k, s, n, name in zip(*[x.tolist() for x in sd.fragments(data, ends, 100)]):
         assert all(names[texts[k][j:j + 100]] == name for j in range(s, s + n))
 
