@@ -46,8 +46,8 @@ GRAM = 32
 #: A name of more fragments is compared stretch by stretch; bounds a group's bytes at 2,000 * 2 * width.
 HOT = 2_000
 NULL_ID = (1 << 63) - 1
-#: Bytes of text or of fragments that a task works on at once.
-SEGMENT = 4 << 20
+#: Bytes of fragments that a task sorts at once; each stretch takes ``width`` bytes there.
+SEGMENT = 1 << 20
 #: Bytes whose anchors are found at once: the arrays of so many stay in a core's cache.
 CACHED = 1 << 17
 PLACE = np.uint64((1 << 31) - 1)
@@ -265,8 +265,22 @@ def cold_ranges(cold: DataFrame, width: int) -> DataFrame:
             i, h, start = i[new], h[new], start[new]  # rows of one document and place are one
             texts = pa.compute.take(t.column(4), pa.array(key[new])).to_pylist()
             size = np.fromiter(map(len, texts), np.int64, len(texts))
-            data = np.frombuffer(b"".join(texts), np.uint8)
             n = size - width + 1
+            # fragments are in place order, so an equal one before removes the whole of it
+            seen: dict[bytes, int] = {}
+            first_equal = np.fromiter((seen.setdefault(x, k) for k, x in enumerate(texts)), np.int64, len(texts))
+            copy = first_equal < np.arange(len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(i[copy]), pa.array(h[copy]), pa.array(start[copy].astype(np.int32)),
+                                              pa.array((start + size)[copy].astype(np.int32))], ["_i", "_h", "start", "stop"])
+            # a name that has one fragment left has no stretch twice
+            names = t.column(0).to_numpy()[key[new]]
+            one = ~copy
+            values, times = np.unique(names[one], return_counts=True)
+            some = one & np.isin(names, values[times > 1])
+            i, h, start, n, size = i[some], h[some], start[some], n[some], size[some]
+            if not len(i):
+                continue
+            data = np.frombuffer(b"".join(x for x, s in zip(texts, some.tolist()) if s), np.uint8)
             place = counted(np.cumsum(size) - size, n)  # ascending, as the fragments are in place order
             suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[place]).view(f"V{width}").reshape(-1)
             gone = repeated(suffixes, np.arange(len(place)))
