@@ -12,6 +12,7 @@ Parameter names follow the study: depth -> ``maxDepth``, min node size ->
 from __future__ import annotations
 
 import itertools
+import math
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
@@ -21,7 +22,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import u
@@ -36,28 +37,62 @@ MAX_BINS = 64
 #: Rows a partition of a fit holds at least.
 FIT_ROWS = 100_000
 FOREST_DEPTH = 30
+#: Levels up to which a factor is split by sets of levels.
+MAX_LEVELS = 256
+
+
+def nominal_levels(train: DataFrame, columns: Sequence[str]) -> dict[str, list]:
+    """The levels of factor columns, as the training rows have them, in value order. A
+    column of more than ``MAX_LEVELS`` stays an ordered number and is left out."""
+    out = {}
+    for c in columns:
+        found = [r[0] for r in train.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
+        if found and len(found) <= MAX_LEVELS:
+            out[c] = sorted(found)
+    return out
+
+
+def feature(name: str, levels: dict[str, list] | None = None) -> Column:
+    """A feature as a double; a factor as the number of its level, one more for a level or
+    NULL that training did not have."""
+    own = (levels or {}).get(name)
+    if own is None:
+        return F.col(name).cast("double")
+    text = isinstance(own[0], str)
+    place = F.array_position(F.array(*[F.lit(v if text else float(v)) for v in own]), F.col(name).cast("string" if text else "double"))
+    return F.when(place > 0, place - 1).otherwise(F.lit(len(own))).cast("double")
+
+
+def assemble(df: DataFrame, features: Sequence[str], out: str = "features", levels: dict[str, list] | None = None) -> DataFrame:
+    """Add the feature vector; the feature columns keep their own types. Factors (``levels``)
+    carry their nominal attribute into the vector's schema."""
+    columns = []
+    for f in features:
+        own = (levels or {}).get(f)
+        nominal = own and {"ml_attr": {"type": "nominal", "name": f, "vals": [*map(str, own), "other level"]}}
+        columns.append(feature(f, levels).alias(f"_a_{f}", metadata=nominal) if own else feature(f).alias(f"_a_{f}"))
+    names = [f"_a_{f}" for f in features]
+    return VectorAssembler(inputCols=names, outputCol=out, handleInvalid="keep").transform(df.select("*", *columns)).drop(*names)
 
 
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    """Add the feature vector; the feature columns keep their own types."""
-    cast = {f"_a_{f}": F.col(f).cast("double") for f in features}
-    return VectorAssembler(inputCols=list(cast), outputCol=out, handleInvalid="keep").transform(df.withColumns(cast)).drop(*cast)
+def fit_frame(train: DataFrame, features: Sequence[str], label: str, levels: dict[str, list] | None = None, *keep: str) -> DataFrame:
+    """What a fit reads: the feature vector and the label as a double."""
+    return assemble(train, features, levels=levels).select(*keep, "features", F.col(label).cast("double").alias(label))
 
 
-def fit_frame(train: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """What a fit reads: the feature vector and the label as a double."""
-    return assemble(train, features).select("features", F.col(label).cast("double").alias(label))
+def max_bins(levels: dict[str, list] | None) -> int:
+    return max([MAX_BINS, *[len(v) + 1 for v in (levels or {}).values()]])
 
 
-def _boosted(cls, label, max_iter=50, max_depth=3, step_size=0.1, min_instances=20, subsampling=0.8):
+def _boosted(cls, label, max_iter=50, max_depth=3, step_size=0.1, min_instances=20, subsampling=0.8, bins=MAX_BINS):
     return cls(featuresCol="features", labelCol=label, maxIter=int(max_iter), maxDepth=int(max_depth), stepSize=float(step_size),
-               minInstancesPerNode=int(min_instances), subsamplingRate=float(subsampling), maxBins=MAX_BINS, seed=SEED)
+               minInstancesPerNode=int(min_instances), subsamplingRate=float(subsampling), maxBins=bins, seed=SEED)
 
 
-def _forest(label, num_trees=50, min_instances=100, mtry: int = 1):
+def _forest(label, num_trees=50, min_instances=100, mtry: int = 1, bins=MAX_BINS):
     """Trees grow until a node is too small: MLlib's deepest allowed depth, not its default."""
     return RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=int(num_trees), minInstancesPerNode=int(min_instances),
-                                 maxDepth=FOREST_DEPTH, featureSubsetStrategy=str(mtry), maxBins=MAX_BINS, seed=SEED)
+                                 maxDepth=FOREST_DEPTH, featureSubsetStrategy=str(mtry), maxBins=bins, seed=SEED)
 
 
 def estimator(kind: str, label: str, n_features: int, **params):
@@ -68,25 +103,25 @@ def estimator(kind: str, label: str, n_features: int, **params):
     return _boosted(GBTClassifier if kind == "classifier" else GBTRegressor, label, **params)
 
 
-def fit_gbt_classifier(train: DataFrame, features, label, **params):
+def fit_gbt_classifier(train: DataFrame, features, label, levels: dict | None = None, **params):
     """M8: boosted trees for a 0/1 label (bernoulli deviance = logistic loss)."""
-    return estimator("classifier", label, len(features), **params).fit(fit_frame(train, features, label))
+    return estimator("classifier", label, len(features), bins=max_bins(levels), **params).fit(fit_frame(train, features, label, levels))
 
 
-def fit_gbt_regressor(train, features, target, **params):
+def fit_gbt_regressor(train, features, target, levels: dict | None = None, **params):
     """Boosted trees, squared loss (gaussian)."""
-    return estimator("gbt", target, len(features), **params).fit(fit_frame(train, features, target))
+    return estimator("gbt", target, len(features), bins=max_bins(levels), **params).fit(fit_frame(train, features, target, levels))
 
 
-def fit_rf_regressor(train, features, target, **params):
+def fit_rf_regressor(train, features, target, levels: dict | None = None, **params):
     """Random forest regression; ``mtry`` features per split (default p/3)."""
-    return estimator("rf", target, len(features), **params).fit(fit_frame(train, features, target))
+    return estimator("rf", target, len(features), bins=max_bins(levels), **params).fit(fit_frame(train, features, target, levels))
 
 
-def score(model, df: DataFrame, features, out: str = "score") -> DataFrame:
+def score(model, df: DataFrame, features, out: str = "score", levels: dict | None = None) -> DataFrame:
     """M8d: ``predict(type="response")``: positive-class probability for a
     classifier, the fitted value for a regressor. Keeps the input columns."""
-    t = model.transform(assemble(df, features))
+    t = model.transform(assemble(df, features, levels=levels))
     if "probability" in t.columns:
         t = t.withColumn(out, vector_to_array("probability")[1])
     else:
@@ -128,7 +163,7 @@ def _stages(grid: dict[str, Sequence], kind: str) -> tuple[list[dict], list[int]
 
 
 def _grid(kind: str, train: DataFrame, hold: DataFrame, features, label, grid: dict[str, Sequence], fixed: dict | None, measure, metrics: Sequence[str],
-          state: Sequence, workers: int) -> DataFrame:
+          state: Sequence, workers: int, levels: dict | None) -> DataFrame:
     """Fit every point of ``grid`` and measure it: ``measure(scored)`` gives one row of
     ``metrics`` per stage. Long table, one row per (grid point, feature): params...,
     metrics..., var, rel_inf."""
@@ -136,15 +171,15 @@ def _grid(kind: str, train: DataFrame, hold: DataFrame, features, label, grid: d
     spark = train.sparkSession
     points, staged = _stages(grid, kind)
     schema = ", ".join([f"{n} double" for n in names] + [f"{m} double" for m in metrics] + ["var string", "rel_inf double"])
-    store = GridStore(spark, f"{kind}-{label}", [kind, label, features, fixed, staged, SEED, MAX_BINS, *state], schema, None)
+    store = GridStore(spark, f"{kind}-{label}", [kind, label, features, fixed, staged, levels, SEED, MAX_BINS, *state], schema)
     if not store.missing(points):
         return run_grid(store, points, lambda point: [], workers)
-    vectors = fit_frame(train, features, label)
-    values = hold.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).alias("_y"))
+    vectors = fit_frame(train, features, label, levels)
+    values = hold.select(*[feature(f, levels).alias(f) for f in features], F.col(label).alias("_y"))
     with _held(vectors) as vectors, _held(values) as values:
         def fit(point: dict) -> list[tuple]:
             params = {**fixed, **point, **({"max_iter": staged[-1]} if staged else {})}
-            model = estimator(kind, label, len(features), **params).fit(vectors)
+            model = estimator(kind, label, len(features), bins=max_bins(levels), **params).fit(vectors)
             e = ensemble(spark, model, len(features))
             stages = staged or [len(e.root)]
             scored = staged_scores(e, values, features, stages, {"gbt": "boosted", "rf": "forest"}.get(kind, kind), ["_y"])
@@ -161,24 +196,84 @@ def _grid(kind: str, train: DataFrame, hold: DataFrame, features, label, grid: d
 
 
 def grid_search_classifier(train, valid, features, label, grid: dict[str, Sequence], fixed: dict | None = None, state: Sequence = (),
-                           workers: int = WORKERS) -> DataFrame:
+                           workers: int = WORKERS, levels: dict | None = None) -> DataFrame:
     """M14 (one stage): fit every grid point on ``train``, evaluate on ``valid`` (class
     error at the closest-top-left threshold). All numbers of rounds (``max_iter``) of a
     point come from one fit. Finished points are kept by ``state``, which has to name the
     inputs, and are not fitted again; without a state every call has a table of its own."""
     measure = lambda scored: evaluate_binary(scored, "score", "_y", by="stage")
-    return _grid("classifier", train, valid, features, label, grid, fixed, measure, ["class_error", "threshold", "auc"], state or [uuid.uuid4().hex], workers)
+    return _grid("classifier", train, valid, features, label, grid, fixed, measure, ["class_error", "threshold", "auc"], state or [uuid.uuid4().hex], workers,
+                 levels)
 
 
 def grid_search_regressor(train, hold, features, target, kind: str, grid: dict[str, Sequence], fixed: dict | None = None, post=None,
-                          state: Sequence = (), workers: int = WORKERS) -> DataFrame:
+                          state: Sequence = (), workers: int = WORKERS, levels: dict | None = None) -> DataFrame:
     """M14 for regressors (``kind``: rf or gbt): fit every grid point on ``train``, measure
     it on ``hold``, after ``post`` (rounding, say). Long table, one row per (grid point,
     feature): params..., mse, mean_abs_prop, var, rel_inf. Kept by ``state`` as above."""
     def measure(scored):
         return regression_error(scored.withColumn("score", post(F.col("score"))) if post else scored, "score", "_y", by="stage")
 
-    return _grid(kind, train, hold, features, target, grid, fixed, measure, ["mse", "mean_abs_prop"], state or [uuid.uuid4().hex], workers)
+    return _grid(kind, train, hold, features, target, grid, fixed, measure, ["mse", "mean_abs_prop"], state or [uuid.uuid4().hex], workers, levels)
+
+
+def bag_weight(key: str, bag: int) -> Column:
+    """How often a row is drawn into a bag, by hash of (row, bag): a Poisson(1) count, the limit
+    of drawing as many rows as there are with replacement. 0 in 36.8 percent of the rows."""
+    draw, below, term = u(key, f"bag:{bag}"), 0.0, math.exp(-1.0)
+    bounds = []
+    for n in range(1, 12):
+        below += term
+        bounds.append(below)
+        term /= n
+    return sum((draw >= F.lit(b)).cast("int") for b in bounds).cast("double")
+
+
+def fit_bagged_forest(rows: DataFrame, key: str, label: str, n_features: int, num_trees: int, min_instances: int, mtry: int | None = None,
+                      bags: int = 20, bins: int = MAX_BINS) -> list:
+    """M8c with known bags: the trees are dealt to ``bags`` forests, each fitted on the rows of
+    its own bag (``bag_weight``), so which trees have not seen a row can be told."""
+    bags = min(int(bags), int(num_trees))
+    out = []
+    for b in range(bags):
+        share = int(num_trees) // bags + (b < int(num_trees) % bags)
+        est = estimator("rf", label, n_features, num_trees=share, min_instances=min_instances, bins=bins, **({"mtry": mtry} if mtry else {}))
+        est = est.setBootstrap(False).setWeightCol("_w").setSeed(SEED + b).setPredictionCol(f"_p{b}")
+        out.append(est.fit(rows.withColumn("_w", bag_weight(key, b)).where("_w > 0")))
+    return out
+
+
+def out_of_bag(models: list, rows: DataFrame, key: str, out: str = "score") -> DataFrame:
+    """Every row's mean over the trees whose bag has not seen it (NULL if all have)."""
+    total, trees = F.lit(0.0), F.lit(0)
+    for b, m in enumerate(models):
+        unseen = bag_weight(key, b) == 0
+        rows = m.transform(rows)
+        total = total + F.when(unseen, F.col(f"_p{b}") * m.getNumTrees).otherwise(0.0)
+        trees = trees + F.when(unseen, m.getNumTrees).otherwise(0)
+    return rows.withColumn(out, F.try_divide(total, trees)).drop(*[f"_p{b}" for b in range(len(models))])
+
+
+def grid_search_forest(train: DataFrame, key: str, features, target: str, grid: dict[str, Sequence], bags: int = 20, state: Sequence = (),
+                       workers: int = WORKERS, levels: dict | None = None) -> DataFrame:
+    """M14 for forests as the study measures them: on the out-of-bag predictions of the rows
+    that were fitted. Long table, one row per (grid point, feature): params..., mse,
+    mean_abs_prop, var, rel_inf (the share of IncNodePurity), inc_node_purity."""
+    features, names = list(features), list(grid)
+    spark = train.sparkSession
+    points = [dict(zip(names, v)) for v in itertools.product(*[grid[n] for n in names])]
+    schema = ", ".join([f"{n} double" for n in names] + ["mse double", "mean_abs_prop double", "var string", "rel_inf double", "inc_node_purity double"])
+    store = GridStore(spark, f"oob-{target}", [target, features, bags, levels, SEED, MAX_BINS, *(state or [uuid.uuid4().hex])], schema)
+    with _held(fit_frame(train, features, target, levels, key)) as rows:
+        def fit(point: dict) -> list[tuple]:
+            models = fit_bagged_forest(rows, key, target, len(features), bags=bags, bins=max_bins(levels), **point)
+            e = regression_error(out_of_bag(models, rows, key).where("score is not null"), "score", target).first()
+            purity = sum(ensemble(spark, m, len(features)).decrease.sum(0) for m in models) / sum(m.getNumTrees for m in models)
+            share = 100.0 * purity / (purity.sum() or 1.0)
+            return [(*map(float, point.values()), e.mse, e.mean_abs_prop, features[j], float(share[j]), float(purity[j]))
+                    for j in sorted(range(len(features)), key=lambda j: (-share[j], j))]
+
+        return run_grid(store, points, fit, workers)
 
 
 def top_features(grid_result: DataFrame, params: Sequence[str], k: int = 6) -> list[str]:
@@ -279,19 +374,20 @@ def hold_out(df: DataFrame, key: str, target: str, features: Sequence[str], frac
 
 
 def fill_model(df: DataFrame, target: str, features, model_kind: str, where=None, key: str = "case_id",
-               post=None, train_fraction: float = 0.6, **params):
+               post=None, train_fraction: float = 0.6, levels: dict | None = None, **params):
     """Fit a regressor on a ``train_fraction`` of the complete rows, and predict
     ``target`` where it is NULL (and ``where`` holds) in place: rows are scored where they
     are, without a join. Returns (filled df, hold-out errors (mse, mean_abs_prop))."""
     train, test = hold_out(df, key, target, features, train_fraction)
-    m = REGRESSORS[model_kind](train, features, target, **params)
-    err = regression_error(score(m, test, features, out="_pred"), "_pred", target)
+    m = REGRESSORS[model_kind](train, features, target, levels, **params)
+    fitted = score(m, test, features, out="_pred", levels=levels)
+    err = regression_error(fitted.withColumn("_pred", post(F.col("_pred"))) if post else fitted, "_pred", target)
     need = F.col(target).isNull()
     if where is not None:
         need = need & where
     for f in features:
         need = need & F.col(f).isNotNull()
     pred = F.col("_pred") if post is None else post(F.col("_pred"))
-    out = score(m, df, features, out="_pred").withColumn(
+    out = score(m, df, features, out="_pred", levels=levels).withColumn(
         target, F.when(need, pred.cast(df.schema[target].dataType)).otherwise(F.col(target)))
     return out.select(*df.columns), err

@@ -8,15 +8,17 @@ order, at every size alike, into *buckets* that are monotone in the sort order a
 branches of one plan):
 
 * uniform orders (by the hash uniform ``u``): bucket = ``floor(u * B)``;
-* value orders: bucket = number of approximate-quantile boundaries below the
-  value (``percentile_approx`` sketches are mergeable, so this is one
-  distributed aggregate).
-
-Per-bucket counts form a table of at most groups x B rows; its prefix sums give
-each bucket's offset. Rows are numbered inside their bucket by a window
-partitioned by (group, bucket), so every task holds about n/B rows. Equal values
-always share a bucket, and quantile work first collapses rows to distinct
-(group, value, count), so a hot value costs one row.
+* value orders: digits. A range of values is cut into ``DIGITS`` equal parts, alternately
+  on the plain and on a logarithmic scale; a part with more than ``RANGE_ROWS`` rows is a
+  range of its own, between its least and its greatest value, and is cut again. One
+  aggregate counts a level for all columns and groups at once, combined map-side. No
+  sketch is needed and no task's share grows with the data: more rows mean more
+  levels, of which each makes a part up to ``DIGITS`` times smaller.
+
+Quantiles descend only into the parts that hold a wanted rank, so after the first level
+they read little more than counts; ranks and running sums cut every part that is too
+large, number rows inside each by a window, and add offsets from the small table of
+parts. A value that a third of all rows share is a part of its own, however many rows.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from pyspark.sql import functions as F
 
 #: Buckets of uniform orders: no sketch is needed, so many of them cost little.
 UNIFORM_BUCKETS = 4096
-#: Buckets of value orders. Every size takes this one path; a task orders the distinct
-#: values of one bucket and spills, so more data needs no other algorithm. Raise it with
-#: the cluster; a sketch of 4 x buckets entries per group and map task pays for it.
-VALUE_BUCKETS = 64
+#: Parts that a level cuts a range into, and rows that a range may hold uncut.
+DIGITS, RANGE_ROWS = 1024, 8192
+_HUGE = 1.7976931348623157e308
 
 
 def _cols(xs) -> list[str]:
@@ -62,30 +63,29 @@ def _bucket_offsets(df: DataFrame, by: list[str], bucket: str, weight: str | Non
     )
 
 
-def _stride(max_len: int) -> int:
-    k = 1
-    while k * k < max_len:
-        k *= 2
-    return k
+def _digit(x: str, lo: str, hi: str, level: int) -> Column:
+    """0 .. DIGITS - 1: which part of [lo, hi], lo < hi, a value inside lies in; non-decreasing
+    in the value, 0 at lo and the last at hi."""
+    x_, lo_, hi_ = (F.greatest(F.least(F.col(c), F.lit(_HUGE)), F.lit(-_HUGE)) for c in (x, lo, hi))
+    finite = hi_ - lo_ <= F.lit(_HUGE)  # halves keep the difference of two huge values finite
+    rise, span = F.when(finite, x_ - lo_).otherwise(x_ / 2 - lo_ / 2), F.when(finite, hi_ - lo_).otherwise(hi_ / 2 - lo_ / 2)
+    share = F.try_divide(F.log1p(rise), F.log1p(span)) if level % 2 else F.try_divide(rise, span)
+    return F.least(F.floor(share * DIGITS), F.lit(DIGITS - 1)).cast("int")
 
 
-def with_coarse(bounds_df: DataFrame, bounds: str, max_len: int = VALUE_BUCKETS) -> DataFrame:
-    """Add ``<bounds>_coarse``: every k-th boundary (k = sqrt(len)); computed once per
-    group on the small boundary table."""
-    k = _stride(max_len)
-    return bounds_df.withColumn(f"{bounds}_coarse", F.filter(F.col(bounds), lambda t, i: (i + 1) % k == 0))
+def _same(a: DataFrame, b: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """A join on columns of equal names where NULL equals NULL; keeps ``a``'s copies."""
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & a[c].eqNullSafe(b[c])
+    j = a.join(b, cond, how)
+    return j if how == "left_semi" else j.drop(*[b[c] for c in on])
 
 
-def bucket_of(df: DataFrame, bounds: str, x: str, out: str = "_bkt", max_len: int = VALUE_BUCKETS) -> DataFrame:
-    """``out`` = number of elements of the sorted array ``bounds`` that are < ``x``.
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    from ..session import cut_lineage
 
-    Two-level search over ``<bounds>_coarse`` (from ``with_coarse``) then one
-    k-slice: about 2*sqrt(len) comparisons per row instead of len."""
-    k = _stride(max_len)
-    coarse = F.size(F.filter(F.col(f"{bounds}_coarse"), lambda t: t < F.col(x)))
-    df = df.withColumn("_coarse", coarse)
-    fine = F.filter(F.slice(F.col(bounds), F.col("_coarse") * k + 1, k), lambda t: t < F.col(x))
-    return df.withColumn(out, F.col("_coarse") * k + F.size(fine)).drop("_coarse", f"{bounds}_coarse")
+    return cut_lineage(df, name)
 
 
 def with_positions(
@@ -149,50 +149,55 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     by: Sequence[str] | str | None = None,
-    buckets: int = VALUE_BUCKETS,
 ) -> DataFrame:
     """Type-7 (R default, Spark ``percentile``, DuckDB ``quantile_cont``) quantiles.
 
     Returns one row per (by..., p) with columns ``p``, ``q`` and ``n`` (non-null
-    count). NULL values are skipped; an all-NULL group yields no row.
+    count). NULL and NaN values are skipped; a group without others yields no row.
     """
-    by = _cols(by)
-    out_by = by
-    if not by:  # one global group: a constant key keeps every step an equi-join
-        df = df.withColumn("_g", F.lit(0))
-        by = ["_g"]
-    probs = [float(p) for p in probs]
-    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    # 1. distinct values with multiplicity: a hot value becomes one row
-    d = base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_w"))
-    pr = F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
-    frac = F.col("_h") - F.floor("_h")
-    # 2. approximate boundaries per group (mergeable sketch), then monotone bucket
-    db = value_buckets(d, by, "_x", buckets)
-    offs = _bucket_offsets(db, by, "_bkt", "_w")
-    # 3. target 0-based ranks per prob: floor(h), ceil(h) with h = (n-1)p
-    tgt = (
-        offs.select(*by, "_btotal").distinct()
-        .select(*by, F.col("_btotal").alias("n"), pr)
-        .withColumn("_h", (F.col("n") - 1) * F.col("p"))
-        .withColumn("_r", F.explode(F.array(F.floor("_h"), F.ceil("_h"))))
-    )
-    tb = tgt.join(offs, on=by, how="inner").where(
-        (F.col("_r") >= F.col("_bstart")) & (F.col("_r") < F.col("_bstart") + F.col("_bcount"))
-    ).select(*by, "p", "n", "_h", "_r", "_bkt", "_bstart")
-    # 4. only the target buckets are ordered, by distinct value
-    cand = db.join(tb.select(*by, "_bkt").distinct(), on=[*by, "_bkt"], how="left_semi")
-    win = Window.partitionBy(*by, "_bkt").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.withColumn("_cend", F.sum("_w").over(win)).withColumn("_cstart", F.col("_cend") - F.col("_w"))
-    hit = tb.join(cand, on=[*by, "_bkt"], how="inner").where(
-        (F.col("_r") >= F.col("_bstart") + F.col("_cstart")) & (F.col("_r") < F.col("_bstart") + F.col("_cend"))
-    )
-    res = hit.groupBy(*by, "p", "n", "_h").agg(
-        F.min_by("_x", "_r").alias("_lo"), F.max_by("_x", "_r").alias("_hi")
-    )
-    return res.select(
-        *out_by, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("q"), F.col("n").cast("long").alias("n")
-    )
+    return quantiles_of(df, [value], probs, by).drop("column")
+
+
+def quantiles_of(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str] | str | None = None) -> DataFrame:
+    """``exact_quantiles`` of several columns in the same passes: (by..., column, p, q, n)."""
+    by, values = _cols(by), list(values)
+    x = F.explode(F.array(*[F.struct(F.lit(v).alias("column"), F.col(v).cast("double").alias("_x")) for v in values])).alias("_v")
+    base = df.select(*by, x).select(*by, "_v.*").where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    key = [*by, "column"]
+    ranges = base.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    h = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(v), F.ceil(v)) for v in h])))
+    nodes = _kept(ranges.withColumns({"n": F.col("_n"), "_before": F.lit(0).cast("long"), "_ranks": ranks}), "digits")
+    groups, found, level = nodes.select(*key, "n"), [], 0
+    while True:
+        # ranges of one value answer at once, small ones by their values, the others are cut
+        one, few = F.col("_lo") == F.col("_hi"), F.col("_n") <= RANGE_ROWS
+        found.append(nodes.where(one).select(*key, F.explode("_ranks").alias("_r"), F.col("_lo").alias("_q")))
+        inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
+        small = nodes.where(~one & few).select(*key, "_lo", "_hi", "_before", "_ranks")
+        held = _same(base, small, key, "inner").where(inside).groupBy(*key, "_lo", "_before", "_ranks").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+        found.append(held.select(*key, F.explode("_ranks").alias("_r"), "_xs", "_before").select(
+            *key, "_r", F.get("_xs", (F.col("_r") - F.col("_before")).cast("int")).alias("_q")))
+        big = nodes.where(~one & ~few).select(*key, "_lo", "_hi", "_before", "_ranks")
+        if big.isEmpty():
+            break
+        parts = _same(base, big, key, "inner").where(inside).withColumn("_d", _digit("_x", "_lo", "_hi", level)).groupBy(
+            *key, F.col("_lo").alias("_from"), "_before", "_ranks", "_d").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        w = Window.partitionBy(*key, "_from").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)  # DIGITS rows
+        parts = parts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        own = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+        nodes = _kept(parts.withColumn("_ranks", own).where(F.size("_ranks") > 0).drop("_from", "_d"), "digits")
+        level += 1
+    hits = found[0]
+    for f in found[1:]:
+        hits = hits.unionByName(f)
+    each = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p")) for p in probs])).alias("_p")
+    want = groups.select(*key, "n", each).select(*key, "n", "_p.p").withColumn("_h", (F.col("n") - 1) * F.col("p")).withColumn(
+        "_r", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))))
+    got = _same(want, hits, [*key, "_r"], "inner").groupBy(*key, "p", "n", "_h").agg(F.min_by("_q", "_r").alias("_a"), F.max_by("_q", "_r").alias("_b"))
+    # equal ends need no difference, which infinite ones do not have
+    q = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_b") - F.col("_a")))
+    return got.select(*key, "p", q.alias("q"), F.col("n").cast("long").alias("n"))
 
 
 def exact_median(df: DataFrame, value: str, by=None, out: str = "median") -> DataFrame:
@@ -200,15 +205,23 @@ def exact_median(df: DataFrame, value: str, by=None, out: str = "median") -> Dat
     return exact_quantiles(df, value, [0.5], by).select(*_cols(by), F.col("q").alias(out))
 
 
-def value_buckets(d: DataFrame, by: list[str], x: str, buckets: int) -> DataFrame:
-    """Add ``_bkt``: a bucket monotone in ``x`` within each ``by`` group, from
-    approximate-quantile boundaries (one mergeable-sketch aggregate). One bucket
-    needs no sketch."""
-    if buckets <= 1:
-        return d.withColumn("_bkt", F.lit(0))
-    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = with_coarse(d.groupBy(*by).agg(F.percentile_approx(x, grid, 4 * buckets).alias("_bounds")), "_bounds", buckets)
-    return bucket_of(d.join(bounds, on=by, how="inner"), "_bounds", x, max_len=buckets).drop("_bounds")
+def value_parts(d: DataFrame, by: Sequence[str], x: str, rows: int | None = None) -> DataFrame:
+    """``d`` with ``_part``: arrays of digits that are ordered as ``x`` within each ``by`` group;
+    rows of one part are at most ``rows`` (``RANGE_ROWS``), or of one value."""
+    rows, by, level = rows or RANGE_ROWS, list(by), 0
+    d = d.withColumn("_part", F.array().cast("array<int>")).withColumn("_dx", F.col(x).cast("double"))
+    key = [*by, "_part"]
+    counted = lambda t: _kept(t.groupBy(*key).agg(F.count(F.lit(1)).alias("_dn"), F.min("_dx").alias("_dlo"), F.max("_dx").alias("_dhi")), "parts")
+    nodes = counted(d)
+    while True:
+        big = nodes.where((F.col("_dn") > rows) & (F.col("_dlo") < F.col("_dhi"))).select(*key, "_dlo", "_dhi")
+        if big.isEmpty():
+            break
+        d = _same(d, big, key, "left").withColumn("_part", F.when(F.col("_dlo").isNotNull(), F.concat("_part", F.array(_digit("_dx", "_dlo", "_dhi", level)))).otherwise(F.col("_part")))
+        d = d.drop("_dlo", "_dhi")
+        level += 1
+        nodes = counted(d.where(F.size("_part") == level))
+    return d.drop("_dx")
 
 
 def cumulative_before(
@@ -216,31 +229,30 @@ def cumulative_before(
     x: str,
     weights: Sequence[str],
     by: Sequence[str] | str | None = None,
-    buckets: int = VALUE_BUCKETS,
 ) -> DataFrame:
     """For a table with one row per distinct (by..., x), add ``<w>_before``: the sum
     of weight ``w`` over rows of the same group with a strictly smaller ``x``, and
-    ``<w>_total``. Distributed: bucket prefix sums + a window inside each bucket."""
+    ``<w>_total``. Distributed: prefix sums over parts + a window inside each part."""
     by = _cols(by)
     out_by = by
     if not by:
         d = d.withColumn("_g", F.lit(0))
         by = ["_g"]
-    db = value_buckets(d, by, x, buckets)
-    tot = db.groupBy(*by, "_bkt").agg(*[F.sum(w).alias(f"_bt_{w}") for w in weights])
-    wb = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    db = value_parts(_kept(d, "distinct"), by, x)  # an aggregate; read once a level
+    tot = db.groupBy(*by, "_part").agg(*[F.sum(w).alias(f"_bt_{w}") for w in weights])
+    wb = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wall = Window.partitionBy(*by)
     for w in weights:
         tot = tot.withColumn(f"_bs_{w}", F.sum(f"_bt_{w}").over(wb) - F.col(f"_bt_{w}")).withColumn(
             f"{w}_total", F.sum(f"_bt_{w}").over(wall)
         )
-    win = Window.partitionBy(*by, "_bkt").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    win = Window.partitionBy(*by, "_part").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for w in weights:
         db = db.withColumn(f"_in_{w}", F.sum(w).over(win) - F.col(w))
-    j = db.join(tot, on=[*by, "_bkt"], how="inner")
+    j = _same(db, tot, [*by, "_part"], "inner")
     for w in weights:
         j = j.withColumn(f"{w}_before", F.col(f"_bs_{w}") + F.col(f"_in_{w}"))
-    drop = ["_bkt", *[f"_{p}_{w}" for w in weights for p in ("bt", "bs", "in")]]
+    drop = ["_part", *[f"_{p}_{w}" for w in weights for p in ("bt", "bs", "in")]]
     j = j.drop(*drop)
     return j.drop("_g") if not out_by else j
 

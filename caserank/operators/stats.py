@@ -1,10 +1,10 @@
 """Correlation operators.
 
-Pearson is ``covar_samp / (stddev_samp * stddev_samp)``: central-moment
+Pearson with one target is ``covar_samp / (stddev_samp * stddev_samp)``: central-moment
 aggregates merge stably across partitions, and a constant column gives NULL via
 ``try_divide`` (Spark's ``corr`` raises DIVIDE_BY_ZERO under ANSI). A p x p
-matrix is one aggregate pass with p(p+1)/2 moment triples; only those p^2 numbers
-are small enough to reach the driver (for the basket clustering, M3).
+matrix is a blocked product, one p x p set of sums a partition; only those p^2 numbers
+reach the driver (for the basket clustering, M3).
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, ship_package
 from .positions import cumulative_before
 
 
@@ -30,25 +32,47 @@ def _pearson(a, b):
 def corr_matrix(df: DataFrame, cols: Sequence[str], complete_only: bool = False) -> DataFrame:
     """Long-form Pearson matrix ``(var_a, var_b, corr)``, p^2 rows.
 
-    Each row is expanded to its p(p+1)/2 column pairs and the pairs are
-    aggregated by pair id: a three-aggregate, code-generated hash aggregate that
-    combines map-side, instead of one aggregate with ~p^2 buffers (which exceeds
-    the codegen field limit). ``complete_only`` drops rows with a NULL in any of
-    ``cols`` first (R ``use="complete.obs"``); otherwise NULLs are skipped pairwise.
+    Each partition multiplies its rows' blocks, centred by the column means, into one
+    p x p set of sums (rows, sums, squares and products where both columns are there), so
+    a row costs a matrix product and the shuffle is p(p+1)/2 rows a partition, summed with
+    map-side combine, whatever p is. ``complete_only`` drops rows with a NULL in any of
+    ``cols`` first (R ``use="complete.obs"``); otherwise NULLs are skipped pairwise. A
+    column whose spread over a pair's rows is no more than rounding gives NULL (R: NA).
     """
+    ship_package(df.sparkSession)
     cols = list(cols)
-    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    p = len(cols)
+    src = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
     if complete_only:
         src = src.dropna(how="any")
-    pairs = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(a).alias("xa"), F.col(b).alias("xb"))
-        for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i
-    ]
-    long = src.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
-    agg = long.groupBy("i", "j").agg(_pearson("xa", "xb").alias("corr"))
-    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "k int, var string")
-    na = names.select(F.col("k").alias("i"), F.col("var").alias("var_a"))
-    nb = names.select(F.col("k").alias("j"), F.col("var").alias("var_b"))
+    means = src.select(F.array(*[F.coalesce(F.avg(f"c{k}"), F.lit(0.0)) for k in range(p)])).first()[0]  # p numbers
+    i, j = np.triu_indices(p)
+
+    def run(batches):
+        total = np.zeros((6, p, p))
+        centre = np.array(means)
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1).astype(np.float64) - centre if b.num_rows else np.zeros((0, p))
+            here = ~np.isnan(x)
+            x, m = np.where(here, x, 0.0), here.astype(np.float64)
+            sums, squares = x.T @ m, (x * x).T @ m
+            total += np.stack([m.T @ m, sums, sums.T, squares, squares.T, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]], names)
+
+    names = ["i", "j", "n", "sx", "sy", "qx", "qy", "xy"]
+    parts = src.mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in names[2:]))
+    agg = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+    def spread(q, s):
+        v = F.col(q) - F.col(s) * F.try_divide(F.col(s), F.col("n"))
+        return F.when(v > 1e-13 * F.col(q), v)
+
+    cov = F.col("xy") - F.col("sx") * F.try_divide(F.col("sy"), F.col("n"))
+    corr = F.try_divide(cov, F.sqrt(spread("qx", "sx")) * F.sqrt(spread("qy", "sy")))
+    agg = agg.select("i", "j", corr.alias("corr"))
+    names_ = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "k int, var string")
+    na = names_.select(F.col("k").alias("i"), F.col("var").alias("var_a"))
+    nb = names_.select(F.col("k").alias("j"), F.col("var").alias("var_b"))
     upper = agg.join(F.broadcast(na), "i").join(F.broadcast(nb), "j")  # p-row name tables
     # the diagonal is 1 unless the column is constant (R: NA)
     upper = upper.withColumn("corr", F.when(F.col("i") == F.col("j"),
@@ -81,7 +105,7 @@ def target_correlation(
     base = df.select(key, F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
     long = base.unpivot([key, "_y"], features, "var", "_x").where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     # equal pairs become one row; ranks are centred, so their product sums need no means
-    pairs = long.groupBy("var", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = cut_lineage(long.groupBy("var", "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "rank_pairs")
 
     def centred_ranks(col: str, out: str) -> DataFrame:
         d = cumulative_before(pairs.groupBy("var", col).agg(F.sum("_n").alias("_w")), col, ["_w"], "var")
@@ -123,33 +147,37 @@ def row_distances(corr_long: DataFrame) -> DataFrame:
 
 
 def complete_linkage(dist: np.ndarray) -> list[tuple[int, int, float]]:
-    """Agglomerative clustering with complete linkage on a p x p distance matrix.
+    """Agglomerative clustering with complete linkage on a p x p distance matrix, by the
+    nearest-neighbour chain: p^2 steps, on p points only.
 
-    Returns the merge list (cluster a, cluster b, height); clusters are frozensets
-    of observation indices encoded by their smallest member. Ties merge the pair
-    with the smallest (min index) first. Runs on p points only.
-    """
+    Returns the merge list (cluster a, cluster b, height) by height, a cluster named by its
+    smallest member and a < b. A chain goes from a cluster to its nearest (ties: the one
+    before on the chain, then the smallest) until two are each other's nearest; under complete
+    linkage such a pair merges in the greedy order as well."""
     p = dist.shape[0]
-    clusters = {i: [i] for i in range(p)}
-    merges = []
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    active = list(range(p))
-    while len(active) > 1:
-        best = None
-        for ia, a in enumerate(active):
-            for b in active[ia + 1:]:
-                v = d[a, b]
-                if best is None or v < best[0] - 1e-15:
-                    best = (v, a, b)
-        v, a, b = best
-        merges.append((a, b, float(v)))
-        clusters[a] = clusters[a] + clusters.pop(b)
-        for c in active:
-            if c not in (a, b):
-                d[a, c] = d[c, a] = max(d[a, c], d[b, c])
-        active.remove(b)
-    return merges
+    least = list(range(p))  # the smallest member of the cluster kept in a row
+    active = np.ones(p, bool)
+    merges, chain = [], []
+    while len(merges) < p - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(active)[0])]
+        here = chain[-1]
+        row = np.where(active, d[here], np.inf)
+        row[here] = np.inf
+        near = int(np.argmin(row))
+        if len(chain) > 1 and row[chain[-2]] <= row[near]:
+            near = chain[-2]
+            chain = chain[:-2]
+            a, b = sorted((here, near), key=lambda c: least[c])
+            merges.append((least[a], least[b], float(d[a, b])))
+            d[a] = d[:, a] = np.maximum(d[a], d[b])
+            d[a, a] = np.inf
+            active[b] = False
+        else:
+            chain.append(near)
+    return sorted(merges, key=lambda m: m[2])
 
 
 def cut_tree(p: int, merges: list[tuple[int, int, float]], k: int) -> list[int]:
@@ -175,16 +203,30 @@ def cut_tree(p: int, merges: list[tuple[int, int, float]], k: int) -> list[int]:
     return out
 
 
-def correlation_baskets(df: DataFrame, features: Sequence[str], k: int = 4) -> DataFrame:
-    """M3: group features into ``k`` baskets by complete-linkage clustering of the
-    rows of their correlation matrix. Returns ``(var, basket_id)``."""
-    features = list(features)
-    cm = corr_matrix(df, features)
-    dist = row_distances(cm.fillna(0.0, subset=["corr"]))
+def _feature_distances(df: DataFrame, features: list[str]) -> np.ndarray:
+    dist = row_distances(corr_matrix(df, features).fillna(0.0, subset=["corr"]))
     pos = {f: i for i, f in enumerate(features)}
     m = np.zeros((len(features), len(features)))
     for r in dist.collect():  # p^2 numbers
         m[pos[r.var_a], pos[r.var_b]] = r.dist
-    ids = cut_tree(len(features), complete_linkage(m), k)
-    spark = df.sparkSession
-    return spark.createDataFrame([(f, int(i)) for f, i in zip(features, ids)], "var string, basket_id int")
+    return m
+
+
+def correlation_baskets(df: DataFrame, features: Sequence[str], k: int = 4) -> DataFrame:
+    """M3: group features into ``k`` baskets by complete-linkage clustering of the
+    rows of their correlation matrix. Returns ``(var, basket_id)``."""
+    features = list(features)
+    ids = cut_tree(len(features), complete_linkage(_feature_distances(df, features)), k)
+    return df.sparkSession.createDataFrame([(f, int(i)) for f, i in zip(features, ids)], "var string, basket_id int")
+
+
+def merge_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """M3: the feature tree behind the baskets: ``(step, var_a, var_b, size, height)``, one
+    row per merge by height, a cluster named by its first feature; ``size`` after the merge."""
+    features = list(features)
+    size = [1] * len(features)
+    rows = []
+    for step, (a, b, height) in enumerate(complete_linkage(_feature_distances(df, features)), 1):
+        size[a] += size[b]
+        rows.append((step, features[a], features[b], size[a], height))
+    return df.sparkSession.createDataFrame(rows, "step int, var_a string, var_b string, size int, height double")

@@ -98,7 +98,8 @@ _FEATS = ", ".join(O.FEATURES)
 
 
 def _cases(spark, sf):
-    return study.decoded_cases(spark, sf)
+    """The decoded cases as a stage table: order statistics read it once a level."""
+    return shared(spark, sf, "decoded", lambda: cut_lineage(study.decoded_cases(spark, sf), "decoded"))
 
 
 def _rsel(cols):
@@ -625,6 +626,13 @@ def q_baskets(spark, sf):
     return correlation_baskets(study.labelled_cases(spark, sf), study.FEATURES, k=4)
 
 
+@register("m3_merge_heights", None)
+def q_merges(spark, sf):
+    """M3: the merges of the feature tree with their heights."""
+    from ..operators.stats import merge_table
+    return rounded(merge_table(study.labelled_cases(spark, sf), study.FEATURES))
+
+
 # --- M4-M7, I13: nearest neighbours ----------------------------------------------
 
 POP_FEATURES = [f for f in O.FEATURES if f != "population"]
@@ -868,7 +876,7 @@ def q_port_eval(spark, sf):
     from ..operators.metrics import evaluate_binary
     model = RS.boosted_model(spark, sf)
     p = portfolios(spark, sf)[0].where("split = 2")
-    return rounded(evaluate_binary(M.score(model, p, study.FEATURES), "score", study.LABEL, by="portfolio"))
+    return rounded(evaluate_binary(M.score(model, p, study.FEATURES, levels=RS.factor_levels(spark, sf)), "score", study.LABEL, by="portfolio"))
 
 
 @register("w5_top6_features", None)

@@ -65,13 +65,18 @@ def _split_perm(perm: DataFrame):
 # --- boosting ---------------------------------------------------------------------
 
 
+def factor_levels(spark, sf) -> dict:
+    """The levels of the factor columns in the training rows."""
+    return shared(spark, sf, "levels", lambda: M.nominal_levels(model_sets(spark, sf).where("split = 0"), study.FACTORS))
+
+
 def label_grid(spark, sf, grid: dict, fixed: dict) -> DataFrame:
     """M14 + M15: one stage of the label's boosting grid on train/valid, kept by the input's
     state: a later run or query reads the points that are there and fits the rest."""
     def build():
         s = model_sets(spark, sf)
         return M.grid_search_classifier(s.where("split = 0"), s.where("split = 1"), FEATURES, LABEL, grid, fixed,
-                                        state=["label", *input_state(spark, sf)])
+                                        state=["label", *input_state(spark, sf)], levels=factor_levels(spark, sf))
     return shared(spark, sf, f"label-grid-{grid}-{fixed}", build)
 
 
@@ -93,7 +98,7 @@ def boosted_model(spark, sf, grid_1: dict = GRID_1, grid_2: dict = GRID_2, fixed
     def build():
         p2 = M.best_params(boosting_grid_2(spark, sf, grid_1, grid_2, fixed_1), list(grid_2))
         params = {**stage_1_winner(spark, sf, grid_1, fixed_1), "step_size": float(p2["step_size"]), "max_iter": int(p2["max_iter"])}
-        return M.fit_gbt_classifier(model_sets(spark, sf).where("split = 0"), FEATURES, LABEL, **params)
+        return M.fit_gbt_classifier(model_sets(spark, sf).where("split = 0"), FEATURES, LABEL, factor_levels(spark, sf), **params)
     return shared(spark, sf, f"boosted-{grid_1}-{grid_2}-{fixed_1}", build)
 
 
@@ -105,8 +110,8 @@ def relative_influence(spark, sf, **grids) -> DataFrame:
 def boosting_permutations(spark, sf, **grids) -> DataFrame:
     """M17 + M18: the final fit's statistics with each feature and basket shuffled."""
     def build():
-        model, test = boosted_model(spark, sf, **grids), model_sets(spark, sf).where("split = 2")
-        return cut_lineage(permutation_importance(lambda d: M.score(model, d, FEATURES), test, KEY, FEATURES, LABEL, _groups(spark, sf)), "boost_perm")
+        model, test, levels = boosted_model(spark, sf, **grids), model_sets(spark, sf).where("split = 2"), factor_levels(spark, sf)
+        return cut_lineage(permutation_importance(lambda d: M.score(model, d, FEATURES, levels=levels), test, KEY, FEATURES, LABEL, _groups(spark, sf)), "boost_perm")
     return shared(spark, sf, f"boost-perm-{grids}", build)
 
 

@@ -26,6 +26,8 @@ from ..sources.fixtures import AGE_SENTINEL, FEATURES, case_amounts, cases_raw,
 
 KEY = "case_id"
 LABEL = "suc"
+# the study's factors (P11); all but land have two levels, which a threshold splits as well
+FACTORS = ["land"]
 # label thresholds used for the model stages on this data (the study's 0.05 / 2
 # makes 99% of the synthetic cases successful); see FIXTURES.md
 MODEL_MIN_RATIO = 1.0
@@ -107,8 +109,8 @@ def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5, rf_gri
                         gbt_fixed: dict = GBT_FIXED, gbt_grid_2: dict = GBT_GRID_2):
     """Stage A with the study's model fills (I11, I12, I13 on top of I1-I10):
 
-    * last payment amount: random forest (M8c) on complete rows, for rows whose
-      DPD is known; the rest by month median (fallback);
+    * last payment amount: random forest (M8c) on complete rows, chosen by its out-of-bag
+      error, for rows whose DPD is known; the rest by month median (fallback);
     * DPD: gradient-boosted regression (M8b), grid in two stages, measured and filled
       rounded half-even;
     * population: mean of the 5 nearest cases (min-max features, M4).
@@ -117,7 +119,7 @@ def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5, rf_gri
     goes on where it stopped. Returns (imputed cases, {column: hold-out error table}).
     """
     from ..operators.knn import knn_regress
-    from ..operators.models import best_params, fill_model, grid_search_regressor, hold_out, select_features, top_features
+    from ..operators.models import best_params, fill_model, grid_search_forest, grid_search_regressor, hold_out, nominal_levels, select_features, top_features
     from ..operators.sampling import min_max
 
     state = ["fills", *input_state(spark, sf_dir)]
@@ -127,9 +129,10 @@ def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5, rf_gri
     # the formulas are results: the features the forests rank highest, and those that
     # influence the boosted fits by more than 2 percent on average
     lpa_all = [f for f in FEATURES if f not in ("last_payment_amount", "population")]
-    g_rf = grid_search_regressor(*hold_out(c2, KEY, "last_payment_amount", lpa_all), lpa_all, "last_payment_amount", "rf", rf_grid, state=state)
+    levels = nominal_levels(c2, FACTORS)
+    g_rf = grid_search_forest(hold_out(c2, KEY, "last_payment_amount", lpa_all)[0], KEY, lpa_all, "last_payment_amount", rf_grid, state=state, levels=levels)
     best = best_params(g_rf, list(rf_grid), "mean_abs_prop")
-    c3, err_lpa = fill_model(c2, "last_payment_amount", top_features(g_rf, list(rf_grid)), "rf", where=F.col("dpd").isNotNull(),
+    c3, err_lpa = fill_model(c2, "last_payment_amount", top_features(g_rf, list(rf_grid)), "rf", where=F.col("dpd").isNotNull(), levels=levels,
                              num_trees=int(best["num_trees"]), min_instances=int(best["min_instances"]))
     c3 = cut_lineage(c3, "lpa_forest")
     c3 = cut_lineage(fill_group_stat(c3, "last_payment_amount", "m_last_payment", "median", source=c3), "lpa_filled")
@@ -137,13 +140,13 @@ def model_imputed_cases(spark: SparkSession, sf_dir: str, knn_k: int = 5, rf_gri
     parts = hold_out(c3, KEY, "dpd", dpd_all)
     # the rows of the second step depend on the forest's winner
     won = [*state, *map(str, best.values())]
-    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid, gbt_fixed, post=F.rint, state=won)
+    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid, gbt_fixed, post=F.rint, state=won, levels=levels)
     best = best_params(g_gbt, list(gbt_grid), "mse")
     stage_1 = {"max_depth": int(best["max_depth"]), "min_instances": int(best["min_instances"]), "subsampling": float(best["subsampling"])}
-    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid_2, stage_1, post=F.rint, state=won)
+    g_gbt = grid_search_regressor(*parts, dpd_all, "dpd", "gbt", gbt_grid_2, stage_1, post=F.rint, state=won, levels=levels)
     best = best_params(g_gbt, list(gbt_grid_2), "mse")
     gbt_feats = [r["var"] for r in select_features(g_gbt).where("selected = 1").orderBy("var").collect()]
-    c4, err_dpd = fill_model(c3, "dpd", gbt_feats, "gbt", post=F.rint, **stage_1, step_size=float(best["step_size"]), max_iter=int(best["max_iter"]))
+    c4, err_dpd = fill_model(c3, "dpd", gbt_feats, "gbt", post=F.rint, levels=levels, **stage_1, step_size=float(best["step_size"]), max_iter=int(best["max_iter"]))
     c4 = cut_lineage(c4, "dpd_boost")
     feats = [f for f in FEATURES if f != "population"]
     n = min_max(c4, feats, replace=True)

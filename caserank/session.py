@@ -13,6 +13,7 @@ import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -99,6 +100,7 @@ def cut_lineage(df, name: str = "stage"):
 
 
 _SHIPPED: set = set()
+_SHIPPING = threading.Lock()  # fits of a grid run in threads
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -106,11 +108,12 @@ def ship_package(spark: SparkSession) -> None:
     pandas functions of kNN and CLARA are pickled by reference). On a cluster the
     package is deployed with the job (``--py-files`` or an installed wheel)."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED or not sc.master.startswith("local"):
-        return
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    base = tempfile.mkdtemp(prefix="caserank-pkg-")
-    archive = shutil.make_archive(os.path.join(base, "caserank"), "zip", root_dir=os.path.dirname(pkg_dir),
-                                  base_dir="caserank")
-    sc.addPyFile(archive)
-    _SHIPPED.add(id(sc))
+    with _SHIPPING:
+        if id(sc) in _SHIPPED or not sc.master.startswith("local"):
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        base = tempfile.mkdtemp(prefix="caserank-pkg-")
+        archive = shutil.make_archive(os.path.join(base, "caserank"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                      base_dir="caserank")
+        sc.addPyFile(archive)
+        _SHIPPED.add(id(sc))

@@ -126,3 +126,43 @@ def test_split_by_category_is_followed(spark):
     got = e.stages(np.arange(6.0)[:, None], [2], False)[:, 0]
     want = {r["g"]: r["prediction"] for r in model.transform(frame).select("g", "prediction").distinct().collect()}
     assert got == pytest.approx([want[float(k)] for k in range(6)])
+
+
+def test_factors_carry_their_levels_into_the_fit(spark):
+    """Only a set of levels separates the classes; the numbers of the levels are in no order."""
+    rows = [(k, k % 9, float(k % 4), int(k % 9 in (0, 4, 5, 8))) for k in range(360)]
+    df = spark.createDataFrame(rows, "id long, land int, x double, y int")
+    levels = M.nominal_levels(df, ["land", "id"])
+    assert levels == {"land": list(range(9))}  # too many ids to be a factor
+    frame = M.fit_frame(df, ["land", "x"], "y", levels)
+    attrs = frame.schema["features"].metadata["ml_attr"]["attrs"]
+    assert [a["name"] for a in attrs["nominal"]] == ["_a_land"] and len(attrs["nominal"][0]["vals"]) == 10
+    stump = {"max_iter": 1, "max_depth": 1, "min_instances": 5, "subsampling": 1.0}
+    one = M.fit_gbt_classifier(df, ["land", "x"], "y", levels, **stump)
+    scored = M.score(one, df, ["land", "x"], levels=levels)
+    assert evaluate_binary(scored, "score", "y").first().auc == 1.0 and scored.schema["land"] == df.schema["land"]
+    plain = M.fit_gbt_classifier(df, ["land", "x"], "y", **stump)
+    assert evaluate_binary(M.score(plain, df, ["land", "x"]), "score", "y").first().auc < 0.9
+    new = spark.createDataFrame([(1, 77, 0.0), (2, None, 0.0)], "id long, land int, x double")
+    assert M.score(one, new, ["land", "x"], levels=levels).count() == 2  # levels that training did not have
+    got = M.grid_search_classifier(df, df, ["land", "x"], "y", {"max_iter": [1, 2]}, {**stump}, levels=levels)
+    assert {r.auc for r in got.collect()} == {1.0}
+
+
+def test_out_of_bag_means_by_hand(spark, rows):
+    frame = M.fit_frame(rows, X, "z", None, "id").cache()
+    models = M.fit_bagged_forest(frame, "id", "z", 3, num_trees=7, min_instances=20, bags=3)
+    assert [m.getNumTrees for m in models] == [3, 2, 2]
+    weights = {r.id: [r.w0, r.w1, r.w2] for r in rows.select("id", *[M.bag_weight("id", b).alias(f"w{b}") for b in range(3)]).collect()}
+    share = np.mean([w[0] == 0 for w in weights.values()])
+    assert 0.3 < share < 0.44 and 0.9 < np.mean([w[0] for w in weights.values()]) < 1.1
+    each = {r.id: [r._p0, r._p1, r._p2] for r in models[2].transform(models[1].transform(models[0].transform(frame))).collect()}
+    for r in M.out_of_bag(models, frame, "id").collect():
+        parts = [(p * t, t) for p, t, w in zip(each[r.id], [3, 2, 2], weights[r.id]) if w == 0]
+        want = sum(p for p, _ in parts) / sum(t for _, t in parts) if parts else None
+        assert r.score == (None if want is None else pytest.approx(want))
+    got = M.grid_search_forest(rows, "id", X, "z", {"min_instances": [20], "num_trees": [4, 7]}, bags=3).collect()
+    assert len(got) == 6
+    own = M.out_of_bag(models, frame, "id").where("score is not null")
+    assert {r.mse for r in got if r.num_trees == 7}.pop() == pytest.approx(regression_error(own, "score", "z").first().mse)
+    assert sum(r.rel_inf for r in got if r.num_trees == 7) == pytest.approx(100)

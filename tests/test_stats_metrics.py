@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 
 from caserank.operators.metrics import evaluate_binary, roc_points
-from caserank.operators.stats import complete_linkage, corr_matrix, cut_tree, target_correlation
+from caserank.operators.stats import complete_linkage, corr_matrix, cut_tree, merge_table, target_correlation
 
 
 def test_corr_matrix_numpy_and_constant(spark):
@@ -79,3 +79,43 @@ def test_auc_and_threshold_brute_force(spark):
                 best = (d, t, (pred != (part.y == 1)).mean())
         assert ev[g].threshold == best[1] and abs(ev[g].class_error - best[2]) < 1e-12
     assert roc_points(spark.createDataFrame(pdf), "s", "y", "g").count() == pdf.groupby(["g", "s"]).ngroups
+
+
+def test_corr_matrix_skips_missing_values_in_pairs_at_any_width(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 60)) @ rng.normal(size=(60, 60)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 0.1  # constant
+    cols = [f"v{k}" for k in range(60)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in cols)).repartition(3)
+    for complete in (False, True):
+        some = 60 if not complete else 8
+        ref = pd.DataFrame(x[:, :some], columns=cols[:some])
+        ref = (ref.dropna() if complete else ref).corr()
+        got = {(r.var_a, r.var_b): r.corr for r in corr_matrix(df, cols[:some], complete_only=complete).collect()}
+        assert len(got) == some * some
+        for (a, b), v in got.items():
+            assert v is None if "v7" in (a, b) else abs(v - ref.loc[a, b]) < 1e-9
+
+
+def test_nearest_neighbour_chain_gives_greedy_merges():
+    for seed in range(20):
+        x = np.random.default_rng(seed).normal(size=(12, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        groups, heights = [{k} for k in range(12)], []
+        merges = complete_linkage(d)
+        while len(groups) > 1:
+            h, a, b = min((max(d[i, j] for i in groups[a] for j in groups[b]), a, b) for a, b in itertools.combinations(range(len(groups)), 2))
+            step = merges[len(heights)]
+            assert {step[0], step[1]} == {min(groups[a]), min(groups[b])} and step[0] < step[1]
+            heights.append(h)
+            groups[a] |= groups.pop(b)
+        assert np.allclose([m[2] for m in merges], heights)
+
+
+def test_merge_table(spark):
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=400)
+    pdf = pd.DataFrame({"a": a, "b": a + 0.01 * rng.normal(size=400), "c": rng.normal(size=400)})
+    rows = merge_table(spark.createDataFrame(pdf), ["a", "b", "c"]).orderBy("step").collect()
+    assert [(r.step, r.var_a, r.var_b, r["size"]) for r in rows] == [(1, "a", "b", 2), (2, "a", "c", 3)] and rows[0].height < rows[1].height

@@ -20,7 +20,7 @@ class Stop(Exception):
 def test_boosting_runs_both_stages_in_full(spark, monkeypatch):
     seen = []
 
-    def grid_search(train, valid, features, label, grid, fixed, state):
+    def grid_search(train, valid, features, label, grid, fixed, state, levels):
         seen.append((grid, fixed))
         if len(seen) == 2:
             raise Stop
@@ -28,6 +28,7 @@ def test_boosting_runs_both_stages_in_full(spark, monkeypatch):
 
     monkeypatch.setattr(M, "grid_search_classifier", grid_search)
     monkeypatch.setattr(RS, "model_sets", lambda spark, sf: spark.range(3).withColumnRenamed("id", "split"))
+    monkeypatch.setattr(RS, "factor_levels", lambda spark, sf: {})
     with pytest.raises(Stop):
         RS.boosting_grid_2(spark, SF001)
     (one, fixed), (two, won) = seen
@@ -40,7 +41,10 @@ def test_fills_run_their_grids_in_full(spark, monkeypatch):
     seen, fits = [], []
     fill = M.fill_model
 
-    def grid_search(train, hold, features, target, kind, grid, fixed=None, post=None, state=()):
+    def forest(train, key, features, target, grid, state, levels):
+        return grid_search(train, None, features, target, "rf", grid)
+
+    def grid_search(train, hold, features, target, kind, grid, fixed=None, post=None, state=(), levels=None):
         seen.append((kind, points(grid), grid, fixed))
         best = {n: 2.0 if n in ("num_trees", "max_iter") else float(v[0]) for n, v in grid.items()}
         rows = [(*best.values(), 1.0, 1.0, v, 50.0) for v in ("principal", "interest")]
@@ -51,6 +55,7 @@ def test_fills_run_their_grids_in_full(spark, monkeypatch):
         return fill(*a, **k)
 
     monkeypatch.setattr(M, "grid_search_regressor", grid_search)
+    monkeypatch.setattr(M, "grid_search_forest", forest)
     monkeypatch.setattr(M, "fill_model", fill_model)
     study.model_imputed_cases(spark, SF001)
     assert [(kind, n) for kind, n, *_ in seen] == [("rf", 25), ("gbt", 1000), ("gbt", 50)]
