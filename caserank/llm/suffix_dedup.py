@@ -16,12 +16,13 @@ far have to meet.
    whole groups are put in place order, their stretches sorted as suffixes, and inside each run of
    neighbours that share ``width`` bytes the place order gives the previous smaller place.
 4. *Hot names* (more than ``HOT`` fragments: a passage that a third of all documents
-   share, say) would fill one task. Their stretches are compared one by one instead: within
-   a batch first, and a batch's first ones by (anchor name, stretch hash) with map-side
-   minima, so a stretch arrives once a batch and no group is gathered anywhere.
+   share, say) would fill one task. Of equal fragments a batch sends the first, and minima
+   by (anchor name, fragment hash), combined map-side, find the first of all; what differs
+   from all others, at the ends of a passage, is compared stretch by stretch in the same
+   way. No group is gathered anywhere.
 
-Names and hashes of hot stretches are 64-bit each, 128 together; the other comparisons
-are of the bytes. Work and disk grow with the input; a task holds a batch of texts or the
+Names and hashes of hot fragments and stretches are 64-bit each, 128 together; the other
+comparisons are of the bytes. Work and disk grow with the input; a task holds a batch of texts or the
 groups of one batch of fragments.
 
 Edge cases: a null text is an empty one (nothing to remove); null ids come after all ids;
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,7 +187,7 @@ def anchor_rows(docs: DataFrame, width: int, counts: bool) -> DataFrame:
 
 def pieces_of(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
     """What the marked fragments of each text send on: cold fragments with their bytes, the
-    stretches of hot ones that are the first in their batch, and the ranges that are not."""
+    hot ones that are the first in their batch, and the ranges of those that are not."""
     def run(batches):
         for b in text_batches(batches, "_text"):
             i, h = (b.column(k).to_numpy().astype(np.int64) for k in (0, 1))
@@ -198,25 +200,18 @@ def pieces_of(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
             out = [pa.array(c, k) for c, k in zip(zip(*rows), TYPES)] if rows else None
             if out:
                 yield pa.RecordBatch.from_arrays(out, NAMES)
-            if not hot.any():
-                continue
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            ends = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            of, at = np.repeat(text[hot], n[hot]), counted(start[hot].astype(np.int64), n[hot])
-            names = np.repeat(name[hot], n[hot])
-            stretch = hashed(eights(data), at + ends[of], covering(width)).view(np.int64)
-            # texts of one key are one document, so places compare by the key's rank
-            rank = np.unique(np.stack([i, h], 1), axis=0, return_inverse=True)[1].reshape(-1)
-            place = rank[of].astype(np.int64) << 32 | at
-            gone = repeated(stretch, place)
-            stay = np.flatnonzero(~gone)
-            stay = stay[np.unique(place[stay], return_index=True)[1]]
-            yield pieces(HOT_PIECE, names[stay], stretch[stay], i[of[stay]], h[of[stay]], at[stay], at[stay] + width)
-            later = np.flatnonzero(gone)
-            later = later[np.lexsort((at[later], of[later]))]
-            first, stop = ranges(of[later], at[later], width)
-            first = later[first]
-            yield pieces(GONE, names[first], stretch[first], i[of[first]], h[of[first]], at[first], stop)
+            text, name, start, n = (x[hot] for x in (text, name, start, n))
+            order = np.lexsort((start, h[text], i[text]))
+            first: dict[bytes, int] = {}
+            rows = []
+            for t, m, s, c in zip(*(x[order].tolist() for x in (text, name, start, n))):
+                piece = texts[t][s:s + c + width - 1]
+                # equal rows have equal places, of which none is earlier
+                here = first.setdefault(piece, (i[t], h[t], s))
+                kind = HOT_PIECE if here == (i[t], h[t], s) else GONE
+                rows.append((kind, m, digest(piece), i[t], h[t], s, s + len(piece), piece if kind == HOT_PIECE else None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), TYPES)], NAMES)
 
     both = docs.select("_i", "_h", "_text").join(marks, ["_i", "_h"])
     return mapped(both.select("_i", "_h", "_text", "marks"), run, PIECE)
@@ -226,9 +221,8 @@ NAMES = ["kind", "name", "stretch", "_i", "_h", "start", "stop", "bytes"]
 TYPES = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def pieces(kind: int, name, stretch, i, h, start, stop) -> pa.RecordBatch:
-    columns = [np.full(len(name), kind), name, stretch, i, h, start, stop]
-    return pa.RecordBatch.from_arrays([*[pa.array(c).cast(t) for c, t in zip(columns, TYPES)], pa.nulls(len(name), pa.binary())], NAMES)
+def digest(piece: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(piece) - (1 << 63)
 
 
 def whole_groups(batches):
@@ -295,13 +289,60 @@ def cold_ranges(cold: DataFrame, width: int) -> DataFrame:
     return mapped(grouped, run, "_i long, _h long, start int, stop int")
 
 
+def stretches_of(rows: DataFrame, width: int) -> DataFrame:
+    """``name, stretch, _i, _h, start, stop, gone``: the stretches of fragments by hash; of the
+    equal ones of a batch the first alone, and the others as gone."""
+    def run(batches):
+        for b in text_batches(batches, "bytes", SEGMENT):
+            name, i, h, start = (b.column(k).to_numpy() for k in range(4))
+            texts = b.column(4).to_pylist()
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            begin, n = np.cumsum(size) - size, size - width + 1
+            of = np.repeat(np.arange(len(n)), n)
+            at = counted(np.zeros(len(n), np.int64), n)
+            stretch = hashed(eights(np.frombuffer(b"".join(texts), np.uint8)), begin[of] + at, covering(width)).view(np.int64)
+            at += start[of]
+            # rows of one key are one document, so places compare by the key's rank
+            rank = np.unique(np.stack([i, h], 1), axis=0, return_inverse=True)[1].reshape(-1)
+            place = rank[of].astype(np.int64) << 32 | at
+            gone = repeated(stretch, place)
+            stay = np.flatnonzero(~gone)
+            stay = stay[np.unique(place[stay], return_index=True)[1]]
+            later = np.flatnonzero(gone)
+            later = later[np.lexsort((at[later], of[later]))]
+            chain, stop = ranges(of[later], at[later], width)
+            rows_ = np.concatenate((stay, later[chain]))
+            columns = [name[of[rows_]], stretch[rows_], i[of[rows_]], h[of[rows_]], at[rows_].astype(np.int32),
+                       np.concatenate((at[stay] + width, stop)).astype(np.int32), np.arange(len(rows_)) >= len(stay)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "stretch", "_i", "_h", "start", "stop", "gone"])
+
+    return mapped(rows.select("name", "_i", "_h", "start", "bytes"), run, "name long, stretch long, _i long, _h long, start int, stop int, gone boolean")
+
+
+KEY = ["_i", "_h", "start", "stop"]
+
+
+def firsts_of(rows: DataFrame, name: str, *carried: str) -> DataFrame:
+    """``name, stretch, first, n``: of the equal rows the one with the least place (its place
+    and the columns ``carried``), found by minima that combine map-side. Written, so that a
+    join with it has an exchange of its own on both sides."""
+    first = F.min(F.struct("_i", "_h", "start", *carried)).alias("first")
+    return stored(rows.groupBy("name", "stretch").agg(first, F.count(F.lit(1)).alias("n")), name)
+
+
+def later_than(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Ranges of the rows that are equal to one at an earlier place."""
+    least = firsts.where("n > 1").select("name", "stretch", F.struct("first._i", "first._h", "first.start").alias("least"))
+    return rows.select("name", "stretch", *KEY).join(least, ["name", "stretch"]).where(F.struct("_i", "_h", "start") > F.col("least")).select(*KEY)
+
+
 def hot_ranges(hot: DataFrame, width: int) -> DataFrame:
-    """Step 4: of the batches' first stretches, those that start earlier elsewhere."""
-    place = F.struct("_i", "_h", "start")
-    least = hot.groupBy("name", "stretch").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    # written, so that both sides of the join have an exchange of their own
-    both = hot.join(stored(least.drop("_n"), "dedup-least"), ["name", "stretch"])
-    return both.where(place > F.col("least")).select("_i", "_h", "start", "stop")
+    """Step 4: ranges of the fragments that are equal to an earlier one, then of the
+    others' stretches that start earlier elsewhere."""
+    whole = firsts_of(hot, "dedup-hot", "bytes")
+    each = stored(stretches_of(whole.select("name", "first.*"), width), "dedup-stretches")
+    some = each.where(~F.col("gone"))
+    return later_than(hot, whole).unionByName(each.where("gone").select(*KEY)).unionByName(later_than(some, firsts_of(some, "dedup-first")))
 
 
 def removed_ranges(docs: DataFrame, width: int) -> DataFrame:
