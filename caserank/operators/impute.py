@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import u
-from .positions import UNIFORM_BUCKETS, cumulative_before, exact_median, exact_quantiles, uniform_bucket, with_positions
+from .positions import UNIFORM_BUCKETS, cumulative_before, exact_median, quantiles_of, uniform_bucket, with_positions
 
 
 def _flagged(df: DataFrame, col: str, new: Column, flag: bool) -> DataFrame:
@@ -55,10 +55,17 @@ def global_stat(df: DataFrame, col: str, stat: str) -> Column:
     return df.select(fn(col)).scalar()
 
 
+def global_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """The medians of several columns from the same passes, as scalar subquery columns."""
+    q = quantiles_of(df, cols, [0.5])
+    return {c: q.where(F.col("column") == c).select("q").scalar() for c in cols}
+
+
 def fill_stat(df: DataFrame, col: str, stat: str = "median", flag: bool = False, post=None,
-              source: DataFrame | None = None) -> DataFrame:
-    """I4: NULL -> global mean/median of the observed values (of ``source``, default ``df``)."""
-    v = global_stat(source if source is not None else df, col, stat)
+              source: DataFrame | None = None, value: Column | None = None) -> DataFrame:
+    """I4: NULL -> global mean/median of the observed values (of ``source``, default ``df``), or
+    the ``value`` found with others'."""
+    v = value if value is not None else global_stat(source if source is not None else df, col, stat)
     return _flagged(df, col, post(v) if post else v, flag)
 
 

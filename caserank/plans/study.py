@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.columns import decode_flags
 from ..operators.impute import (
     bernoulli_probs, clip, fill_bernoulli, fill_constant, fill_donor, fill_empirical, fill_expr,
-    fill_group_means, fill_group_stat, fill_stat,
+    fill_group_means, fill_group_stat, fill_stat, global_medians,
 )
 from ..operators.label import attach_label, success_label
 from ..session import cut_lineage, input_state, shared
@@ -58,7 +58,8 @@ def impute_observed(c0: DataFrame, flag: bool = False, dpd_median: bool = True)
     so the plan is one pass over ``c0`` plus one small aggregate per statistic,
     and the result equals the study's sequential order."""
     c = fill_expr(c0, "other", F.col("toa") - (F.col("principal") + F.col("interest")), flag=flag)
-    c = fill_stat(c, "contract_days", "median", flag=flag, post=F.floor, source=c0)
+    medians = global_medians(c0, ["contract_days", *(["dpd"] if dpd_median else [])])
+    c = fill_stat(c, "contract_days", flag=flag, post=F.floor, value=medians["contract_days"])
     probs = bernoulli_probs(c0, ["bailiff", "closed_execution", "external_agency"])  # before any draw
     c = fill_bernoulli(c, "bailiff", KEY, probs.getField("bailiff"), flag=flag)
     c = fill_expr(c, "closed_execution", F.lit(0), where=F.col("bailiff") == 0, flag=flag)
@@ -69,7 +70,7 @@ def impute_observed(c0: DataFrame, flag: bool = False, dpd_median: bool = True)
     c = fill_group_stat(c, "loan_amount", "is_cash_loan", "median", flag=flag, source=c0)
     c = fill_empirical(c, "m_last_payment", KEY, flag=flag, source=c0)
     if dpd_median:
-        c = fill_stat(c, "dpd", "median", flag=flag, post=F.rint, source=c0)
+        c = fill_stat(c, "dpd", flag=flag, post=F.rint, value=medians["dpd"])
     return c
 
 

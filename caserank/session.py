@@ -96,7 +96,16 @@ def cut_lineage(df, name: str = "stage"):
     d = ensure_checkpoint_dir(spark)
     path = os.path.join(d, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stage_folder = path  # for ``drop_stage``
+    return out
+
+
+def drop_stage(*tables) -> None:
+    """Delete stage tables (results of ``cut_lineage``) after their last reader has run and
+    its own result is written; nothing computed from them lazily may be read afterwards."""
+    for df in tables:
+        remove_folder(df.sparkSession, df.stage_folder)
 
 
 _SHIPPED: set = set()
