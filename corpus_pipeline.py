@@ -9,7 +9,13 @@ as the next stage's documents.
    text hash; a row without shingles is near no other and stays once for its id and text;
 4. best-fit packing: the rest as token sequences.
 
-The first three return the columns of documents.
+The first three return the columns of documents, whatever further columns there are and
+however they are named. Null and empty texts: the classifier scores them like any text and
+the rules drop them (fewer than 50 words), so neither the join nor the packing needs to
+see them; where a stage is used alone, its operator's docstring says what it does. Rows of
+one id and text are one document from the third stage on: the row with the least hash
+over all columns stays, so the choice does not change between runs. An empty table passes
+through every stage.
 """
 
 from __future__ import annotations
@@ -35,10 +41,14 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = jaccard.representatives(docs, words=SHINGLE_WORDS, percent=PERCENT).select(F.col("doc_id").alias("_stay_id"), F.col("text_hash").alias("_stay_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = hashed.join(stay, (F.col("_text_hash") == F.col("_stay_hash")) & F.col("doc_id").eqNullSafe(F.col("_stay_id")), "left_semi")
-    # rows of one id and text are one document
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    mark = "_text_hash"
+    while mark in docs.columns:
+        mark += "_"
+    hashed = docs.withColumn(mark, F.xxhash64("text"))
+    kept = hashed.join(stay, (F.col(mark) == F.col("_stay_hash")) & F.col("doc_id").eqNullSafe(F.col("_stay_id")), "left_semi")
+    # rows of one id and text are one document: the one with the least hash of all columns stays
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.groupBy("doc_id", mark).agg(F.min_by(F.struct(*row), F.xxhash64(*row)).alias("_row")).select("_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
