@@ -147,6 +147,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where(
         F.col("_text").isNotNull() & F.col("_lang").isNotNull())
     part = _sample(rows, sample_docs).select("_lang", "_text", (F.pmod(F.xxhash64("_text"), F.lit(CALIBRATE)) == 0).alias("_aside"))
+    # a language whose rows would all be kept aside gives them to the counts instead
+    unseen = [r["_lang"] for r in part.groupBy("_lang").agg(F.count_if(~F.col("_aside")).alias("n")).where("n = 0").collect()]
+    part = part.withColumn("_aside", F.col("_aside") & ~F.col("_lang").isin(unseen)) if unseen else part
     used = part.where(~F.col("_aside"))
 
     def count_words(batches):
@@ -178,7 +181,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         counts[lang] = dict(zip(distinct.tolist(), np.bincount(inverse, np.repeat(own.n.to_numpy(), n)).astype(int).tolist()))
     models = CharModels(sorted(counts), counts, ids)
     aside = _scored(part.where("_aside").select(F.col("_lang").alias("_id"), "_text"), models, "string").toPandas()
-    aside = aside[aside.n > 0]
+    aside = aside[(aside.n > 0) & aside.lang.isin(models.langs)]  # a language may have had no letter
     temperature, limits = 20.0, {}
     if len(aside):
         per_char = np.vstack(aside.loglik.to_numpy()) / aside.n.to_numpy()[:, None]

@@ -51,3 +51,15 @@ def test_edges(spark):
         assert (r.lang_pred == "und") == (not has) and (r.lang_pred in ("en", "de", "und")) and 0 <= r.score <= 1
     assert {r.lang_pred for r in langid.identify(docs, no_docs(spark)).collect()} == {"und"}
     assert langid.identify(no_docs(spark), docs).count() == 0
+
+
+def test_no_language_is_lost(spark):
+    """A language of few rows is learned, wherever the hash of its texts puts them."""
+    base = [(k, " ".join(f"the{(k + j) % 7} cat{j}" for j in range(20)), "en") for k in range(40)]
+    for seed in range(9):
+        rows = base + [(100, f"zażółć gęślą jaźń {'żźć' * (seed + 1)}", "pl")] * 3 + [(200, "12 34", "xx")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        models, _, _ = langid.fit(df)
+        assert sorted(models.langs) == ["en", "pl"]
+        if seed == 0:
+            assert [r.lang_pred for r in langid.identify(df.where("doc_id = 100"), df).collect()] == ["pl"] * 3
