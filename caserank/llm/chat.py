@@ -267,7 +267,7 @@ def parse(source: str) -> list:
 _OPS: dict[str, Callable] = {
     "+": lambda a, b: a + b if isinstance(a, int) and isinstance(b, int) else f"{_text(a)}{_text(b)}",
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b,
-    "<": lambda a, b: a < b, ">": lambda a, b: a > b, "in": lambda a, b: _text(a) in _text(b), "not": lambda a: not a,
+    "<": lambda a, b: _ordered(a, b) < 0, ">": lambda a, b: _ordered(a, b) > 0, "in": lambda a, b: _text(a) in _text(b), "not": lambda a: not a,
 }
 
 
@@ -275,6 +275,13 @@ def _text(v) -> str:
     return "" if v is None else str(v)
 
 
+def _ordered(a, b) -> int:
+    """-1, 0 or 1 for two numbers or two texts; other pairs have no order."""
+    if isinstance(a, str) != isinstance(b, str) or a is None or b is None:
+        raise TemplateError(f"cannot order {_text(a)!r} and {_text(b)!r}")
+    return (a > b) - (a < b)
+
+
 def fold(node):
     """Evaluate what is constant; choose constant branches; join neighbouring texts."""
     if isinstance(node, list):

@@ -76,3 +76,15 @@ def test_edge_rows(spark):
     assert got[1].n_turns == 3 and got[1].loss_chars == 20 and got[1].turns_sha256 == _digest([("", ""), ("assistant", "a<|end|>\nb"), ("assistant", "a<|end|>\nb")])
     assert got[None].n_turns == 1 and got[2].turns_sha256 == _digest([("user", "x" * 300_000 + "|")])
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_values_without_an_order_are_refused():
+    import pytest
+
+    from caserank.llm import chat
+
+    assert chat._OPS["<"](1, 2) and chat._OPS[">"]("b", "a") and not chat._OPS["<"]("a", "a")
+    for a, b in ((1, "1"), ("x", None), (None, 2), (None, None)):
+        for op in "<>":
+            with pytest.raises(chat.TemplateError):
+                chat._OPS[op](a, b)
