@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import drop_stage, ship_package
 from .common import WordIndex, mapped, mix64, stored, table, text_batches, word_hashes, words_of
 
 WORDS, PERCENT = 4, 85
@@ -272,14 +272,16 @@ def _connected(tried: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     bounded = stored(_bounded(tried, sets, percent), "bounded-pairs")
     one = stored(bounded.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first-pairs")
     links = stored(_exact(one, sets, percent), "links-first")
-    roots = stored(components(links), "roots")
+    roots = components(links)
     rx, ry = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("x", "y"))
     apart = F.coalesce("rx", "x") != F.coalesce("ry", "y")
     rest = stored(bounded.join(one, ["x", "y"], "left_anti").join(rx, "x", "left").join(ry, "y", "left").where(apart).select("x", "y"), "other-pairs")
     more = stored(_exact(rest, sets, percent), "links-other")
+    drop_stage(bounded, one, rest)
     if more.limit(1).count():
-        links = links.unionByName(more)
-        roots = stored(components(links), "roots")
+        before, links = (links, more), stored(links.unionByName(more), "links-both")
+        drop_stage(roots, *before)
+        roots = components(links)
     return links, roots
 
 
@@ -295,17 +297,21 @@ def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u")
-        edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        last, edges = edges, stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        drop_stage(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
         mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    drop_stage(edges)
+    return roots
 
 
-def _open_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(x, y) pairs of different components that share a tile and pass the bit-count bound.
+def _open_pairs(sets: DataFrame, roots: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """(x, y) pairs of different components that share a tile, pass the bit-count bound and are
+    not ``tried`` yet.
     A pair is looked at in the band of its smaller set, where a link must share a tile, and
     reported by the first tile that both share there."""
     def tiles(batches):
@@ -319,7 +325,7 @@ def _open_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
                                                  ["tile", "band", "at", "set", "n"])
 
     member = mapped(sets, _coalesced(tiles), "tile long, band int, at int, set long, n long").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    member = stored(member, "tile-members")
+    members = member = stored(member, "tile-members")
     # a tile of two sets was tried whole; of a band's tiles with the same members the first is enough
     mixed = (member.groupBy("tile", "band").agg(F.min("at").alias("at"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"),
                                                 *[F.sum(F.xxhash64("set", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (0, 1)])
@@ -331,7 +337,10 @@ def _open_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
               .select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "n", "root", "band", "at"))
     member = member.join(_bitmaps(sets, percent), ["set", "band"]).select(
         "tile", "i", "j", "block", "set", "n", "root", "bits", F.expr("substring(keys, 1, 8 * at)").alias("earlier"), "band")
-    return mapped(member.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "block"), _coalesced(_compared(percent)), "x long, y long").distinct()
+    pairs = mapped(member.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "block"), _coalesced(_compared(percent)), "x long, y long").distinct()
+    pairs = stored(pairs.join(tried, ["x", "y"], "left_anti"), "open-pairs")
+    drop_stage(members)
+    return pairs
 
 
 def _compared(percent: int):
@@ -412,11 +421,15 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     tried = stored(tried.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "tile-pairs")
     involved = stored(tried.select(F.col("x").alias("set")).unionByName(tried.select(F.col("y").alias("set"))).distinct(), "involved")
     sets = stored(_involved_sets(docs, sizes, involved, words), "sets")
+    drop_stage(involved)
     links, roots = _connected(tried, sets, percent)
-    more = stored(_open_pairs(sets, roots, percent).join(tried, ["x", "y"], "left_anti"), "open-pairs")
+    more = _open_pairs(sets, roots, tried, percent)
     found = stored(_exact(more, sets, percent), "verified")
+    drop_stage(tried, sets, more)
     if found.limit(1).count():
-        roots = stored(components(links.unionByName(found)), "roots")
+        drop_stage(roots)
+        roots = components(links.unionByName(found))
+    drop_stage(links, found)
     return sizes, roots
 
 

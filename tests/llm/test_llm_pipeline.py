@@ -58,4 +58,17 @@ def test_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert sum(n.startswith("op") and n.split("_")[0][2:].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n.split("_")[0][2:].isdigit() for n in names) == 13 and "pipeline" in names
+
+
+def test_rows_of_one_id_and_text_leave_one_whatever_the_other_columns(spark):
+    """The same row stays at any partitioning, and a column of the stage's own name is kept."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, lang, src, f"own{k}") for k, (lang, src) in enumerate([("en", "a"), ("de", "b"), (None, "c"), ("fr", None)])]
+    got = set()
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _text_hash string").repartition(parts)
+        out = cp.near_duplicates_stage(spark, docs, SF).collect()
+        assert len(out) == 1 and tuple(out[0]) in {tuple(r) for r in rows}
+        got.add(tuple(out[0]))
+    assert len(got) == 1
