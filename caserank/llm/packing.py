@@ -4,11 +4,13 @@ swap-based local search.
 Documents are tokenised where they are read; only (row, piece, length, checksum) rows go
 on. Full pieces are sequences of their own. The others are dealt at random to
 groups of bounded size, and each group packs itself: best fit in descending length, then
-local search between underfull bins. A step moves a document, exchanges one for one, or
-two for one, always towards the fuller bin, so the sum of squared fills grows with
-every step; an emptiest bin that loses its last document is saved. Bins that stay loose
-in their group are dealt anew and packed once more, so the loss from grouping is a
-few bins however many groups there are.
+local search between underfull bins. A step moves a document, exchanges one for one,
+two for one or one for two, always towards the fuller bin, so the sum of squared fills grows
+with every step and the search ends by itself; all documents of all open bins take
+part, by their lengths, of which a bin has few. An emptiest bin that loses its last
+document is saved. Bins that stay loose in their group are dealt anew and packed once
+more, until that leaves as many loose bins, so the loss from grouping is a few bins
+however many groups there are.
 
 Edge cases: a null or empty text is its end token alone; a document longer than a sequence
 is cut from the end into full pieces, so only its first piece may be shorter; ties are
@@ -32,9 +34,9 @@ from ..session import ship_package
 from .common import mapped, one_thread, stored, table, text_batches
 
 CAPACITY = 2048
-#: Pieces to a group; and search steps spent on one group.
-GROUP, STEPS = 8192, 4000
-#: A bin below this share of its capacity is dealt anew after the first round.
+#: Pieces to a group.
+GROUP = 8192
+#: A bin below this share of its capacity is dealt anew.
 LOOSE = 0.95
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _MARKS = frozenset(",.;:!?")
@@ -201,79 +203,85 @@ class Bins:
             self.fill[frm] -= int(self.size[d])
             self.fill[to] += int(self.size[d])
 
-    def improve(self, steps: int) -> None:
+    def improve(self) -> None:
         """Local search: the emptiest bin gives to fuller ones until it is empty or no
-        step raises the squared fill; then the next. Stops at the lower bound."""
+        step raises the squared fill; then the next. All bins give again, since their
+        partners have changed, until a round changes nothing. Stops at the lower bound."""
         least = -(-int(self.size.sum()) // self.capacity)
-        done: set[int] = set()
-        n_bins = sum(bool(m) for m in self.members)
-        while steps > 0 and n_bins > least:
-            open_ = [b for b, m in enumerate(self.members) if m and self.fill[b] < self.capacity]
-            givers = [b for b in open_ if b not in done]
-            if len(open_) < 2 or not givers:
-                return
-            giver = min(givers, key=lambda b: self.fill[b])
-            is_open = np.zeros(len(self.members), bool)
-            is_open[open_] = True
-            is_open[giver] = False
+        changed = True
+        while changed and sum(map(bool, self.members)) > least:
+            changed = False
             free = self.capacity - np.array(self.fill)
-            while steps > 0 and self.members[giver]:
-                steps -= 1
-                changed = self._step(giver, is_open, free)
-                if not changed:
-                    break
-                for b in (giver, changed[0]):
-                    free[b] = self.capacity - self.fill[b]
-                is_open[changed[0]] = free[changed[0]] > 0
-            if self.members[giver]:
-                done.add(giver)
-            else:
-                n_bins -= 1
+            is_open = (free > 0) & np.array([bool(m) for m in self.members])
+            for giver in sorted(np.flatnonzero(is_open).tolist(), key=lambda b: self.fill[b]):
+                while self.members[giver] and free[giver] > 0:
+                    is_open[giver] = False
+                    to = self._step(giver, is_open, free)
+                    is_open[giver] = True
+                    if to is None:
+                        break
+                    changed = True
+                    for b in (giver, to):
+                        free[b] = self.capacity - self.fill[b]
+                        is_open[b] = free[b] > 0 and bool(self.members[b])
+                if not self.members[giver] and sum(map(bool, self.members)) <= least:
+                    return
+
+    def _by_size(self, bin_: int) -> dict[int, list[int]]:
+        """A bin's documents by length. Lengths in a bin are few: their sum is its capacity."""
+        out: dict[int, list[int]] = {}
+        for d in self.members[bin_]:
+            out.setdefault(int(self.size[d]), []).append(d)
+        return out
+
+    @staticmethod
+    def _pairs(sizes: dict[int, list[int]]) -> list[tuple[int, int]]:
+        """Pairs of lengths that two documents of a bin have."""
+        each = sorted(sizes)
+        return [(x, y) for i, x in enumerate(each) for y in each[i:] if x != y or len(sizes[x]) > 1]
 
     def _step(self, giver: int, is_open: np.ndarray, free: np.ndarray):
-        """One improving step; the bin that gained, or None."""
-        own = sorted(self.members[giver], key=lambda d: -self.size[d])
-        is_open = is_open & (np.array(self.fill) >= self.fill[giver])
-        bins = np.flatnonzero(is_open)
+        """One improving step towards a bin at least as full; the bin that gained, or None."""
+        bins = np.flatnonzero(is_open & (free <= free[giver]))
         if not len(bins):
             return None
-        for d in own:  # move: into the fullest bin with room
-            fits = bins[free[bins] >= self.size[d]]
+        own = self._by_size(giver)
+        for n in sorted(own, reverse=True):  # move: into the fullest bin with room
+            fits = bins[free[bins] >= n]
             if len(fits):
                 to = int(fits[np.argmin(free[fits])])
-                self._put([d], giver, to)
-                return (to,)
-        docs = np.flatnonzero(is_open[self.of])
-        size, room = self.size[docs], free[self.of[docs]]
+                self._put([own[n][0]], giver, to)
+                return to
+        partner = np.zeros(len(self.members), bool)
+        partner[bins] = True
+        docs = np.flatnonzero(partner[self.of])
+        # equal lengths in equally full bins are one choice
+        kind, at = np.unique(self.size[docs] * (self.capacity + 1) + free[self.of[docs]], return_index=True)
+        docs, size, room = docs[at], kind // (self.capacity + 1), kind % (self.capacity + 1)
         best = (0, None, None)
-        for give in [[d] for d in own] + [[x, y] for i, x in enumerate(own[:8]) for y in own[i + 1:8]]:
-            gain = int(self.size[give].sum()) - size  # one or two for one
+        for give in [(n,) for n in own] + self._pairs(own):
+            gain = sum(give) - size  # one or two for one
             ok = (gain > best[0]) & (gain <= room)
             if ok.any():
                 i = int(np.argmax(np.where(ok, gain, 0)))
                 best = (int(gain[i]), give, [int(docs[i])])
-        if best[1] is None:  # one for two
-            one, two, both, spare = [], [], [], []
+        if best[1] is None:  # one for two, of one bin
+            longest = max(own)
             for b in bins.tolist():
-                m = self.members[b]
-                if len(m) > 1:
-                    for i, x in enumerate(m[:12]):
-                        for y in m[i + 1:12]:
-                            one.append(x), two.append(y), both.append(int(self.size[x] + self.size[y])), spare.append(int(free[b]))
-            if both:
-                both_, spare_ = np.array(both), np.array(spare)
-                for d in own:
-                    gain = int(self.size[d]) - both_
-                    ok = (gain > best[0]) & (gain <= spare_)
-                    if ok.any():
-                        i = int(np.argmax(np.where(ok, gain, 0)))
-                        best = (int(gain[i]), [d], [one[i], two[i]])
+                theirs = self._by_size(b)
+                for x, y in self._pairs(theirs):
+                    if x + y >= longest:
+                        continue
+                    fits = [n for n in own if best[0] < n - x - y <= free[b]]
+                    if fits:
+                        best = (max(fits) - x - y, (max(fits),), [theirs[x][0], theirs[y][-1]])
         if best[1] is None:
             return None
+        give = [own[n].pop() for n in best[1]]
         to = int(self.of[best[2][0]])
         self._put(best[2], to, giver)
-        self._put(best[1], giver, to)
-        return (to,)
+        self._put(give, giver, to)
+        return to
 
     def places(self):
         """Bin number, offset and bin fill of each document."""
@@ -286,10 +294,10 @@ class Bins:
         return self.of, off, np.array(self.fill, np.int64)[self.of] if len(self.of) else self.of
 
 
-def pack_group(size: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS):
+def pack_group(size: np.ndarray, capacity: int = CAPACITY):
     bins = Bins(size, capacity)
     bins.best_fit()
-    bins.improve(steps)
+    bins.improve()
     return bins.places()
 
 
@@ -302,7 +310,7 @@ def _pack_round(pieces: DataFrame, n: int, round_no: int, capacity: int) -> Data
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_row", "piece"], kind="stable", ignore_index=True)
         bin_, off, fill = pack_group(pdf["length"].to_numpy(), capacity)
-        return pdf[PIECE].assign(sequence_id=(round_no << 60) + (int(key[0]) << 24) + bin_, offset=off, fill=fill)
+        return pdf[PIECE].assign(sequence_id=(round_no << 54) + (int(key[0]) << 16) + bin_, offset=off, fill=fill)
 
     return (pieces.select(*PIECE, F.pmod(F.xxhash64("_row", "piece", F.lit(round_no)), F.lit(groups)).alias("_group"))
             .groupBy("_group").applyInPandas(run, ", ".join(schema) + ", sequence_id long, offset long, fill long"))
@@ -312,12 +320,19 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: i
     """id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     pieces = stored(tokenised_pieces(df, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     short = pieces.where(F.col("sequence_id").isNull())
-    first = stored(_pack_round(short, short.count(), 1, capacity), "packed")
-    loose = F.col("fill") < int(LOOSE * capacity)
-    again = first.where(loose)
-    second = _pack_round(again, again.count(), 2, capacity)
-    full = pieces.where(F.col("sequence_id").isNotNull()).withColumn("offset", F.lit(0).cast("long"))
-    out = full.unionByName(first.where(~loose).drop("fill")).unionByName(second.drop("fill"))
+    loose, done, before, round_no = short, [], None, 1
+    while True:  # until dealing anew leaves as many loose bins
+        packed = stored(_pack_round(loose, loose.count(), round_no, capacity), "packed")
+        free = F.col("fill") < int(LOOSE * capacity)
+        bins = packed.where(free).select("sequence_id").distinct().count()
+        if bins <= 1 or (before is not None and bins >= before):
+            done.append(packed)
+            break
+        done.append(packed.where(~free))
+        loose, before, round_no = packed.where(free), bins, round_no + 1
+    out = pieces.where(F.col("sequence_id").isNotNull()).withColumn("offset", F.lit(0).cast("long"))
+    for packed in done:
+        out = out.unionByName(packed.drop("fill"))
     return out.select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
