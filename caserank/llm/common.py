@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage, remove_folder, ship_package
 
 #: The separators of a word: space and the ASCII controls 9 to 13.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
@@ -50,6 +50,21 @@ def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+#: Folders of all tables written so far, in order.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written() -> int:
+    """The number of tables written so far, to name those of a step by."""
+    return len(_WRITTEN)
+
+
+def release(low: int, high: int) -> None:
+    """Delete the tables written from number ``low`` up to ``high``, whose readers have all run."""
+    for spark, folder in _WRITTEN[low:high]:
+        remove_folder(spark, folder)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back. Shuffle files
     of the finished statement are released at its end, when Spark offers that."""
@@ -59,7 +74,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         before = spark.conf.get(CLEANUP)
         spark.conf.set(CLEANUP, "true")
     try:
-        return cut_lineage(df, name)
+        out = cut_lineage(df, name)
+        _WRITTEN.append((spark, out.stage_folder))
+        return out
     finally:
         if before is not None:
             spark.conf.set(CLEANUP, before)

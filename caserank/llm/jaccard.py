@@ -41,7 +41,9 @@ from .common import WordIndex, mapped, mix64, stored, table, text_batches, word_
 WORDS, PERCENT = 4, 85
 BITS = 2048
 TILE_BLOCK = 512
-FILTER_BITS = 24
+FILTER_BITS = 27
+#: Pairs are compared exactly in so many rounds at least, and so many to a round at most.
+ROUNDS, ROUND_PAIRS = 8, 4_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
                  0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _SET, _TILE, _SHORT = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)
@@ -191,24 +193,26 @@ def _only_text(fn):
     return run
 
 
-def _bit_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A fixed bit filter (2 MB, whatever the data) of a column of 64-bit hashes."""
-    slot = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def _bit_filter(keys: DataFrame, column: str, n: int) -> np.ndarray:
+    """A bit filter of a column of ``n`` 64-bit hashes, of 16 bits a key within
+    ``FILTER_BITS`` (16 MB at most; beyond, it only lets more through)."""
+    size = min(FILTER_BITS, max(16, (16 * n).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit((1 << size) - 1))
     rows = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(`{column}` & 63 AS INT))")).alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits = np.zeros(1 << (size - 6), np.int64)
     bits[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return bits
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> pa.Array:
-    return pa.array((bits[(keys & ((1 << FILTER_BITS) - 1)) >> 6] >> (keys & 63) & 1).astype(bool))
+    return pa.array((bits[(keys & (64 * len(bits) - 1)) >> 6] >> (keys & 63) & 1).astype(bool))
 
 
 def _involved_sets(docs: DataFrame, sizes: DataFrame, involved: DataFrame, size: int) -> DataFrame:
     """(set, arr) of the sets in ``involved`` (one column ``set``), read again from the texts.
     A bit filter of the hashes of their texts spares the other texts; those it lets
     through wrongly are dropped by the semi-join."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_filter(sizes.join(involved, "set", "left_semi"), "_hash"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_filter(sizes.join(involved, "set", "left_semi"), "_hash", involved.count()))
 
     def run(batches):
         words = WordIndex(word_hashes, words_of)
@@ -245,8 +249,10 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(both, bound, "x long, y long")
 
 
-def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the (x, y) pairs that link. Only sets that occur in pairs are sent."""
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """Those of the (x, y) pairs that link, as a table. Pairs go in rounds by a hash of y, so
+    the shuffle files of a round hold one part of the sets and are gone before the next;
+    of the other parts only sets that occur as x are sent."""
     def exact(batches):
         for b in batches:
             ok, last, a = [], None, None
@@ -257,12 +263,24 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             b = b.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"])
 
-    needed = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set")))
-    shared = pairs.sparkSession.sparkContext.broadcast(_bit_filter(needed, "set"))
-    some = mapped(sets, lambda batches: (b.filter(_passes(shared.value, b.column(0).to_numpy())) for b in batches), "set long, arr binary")
-    full = (pairs.join(some.select(F.col("set").alias("y"), F.col("arr").alias("ya")), "y")
-            .join(some.select(F.col("set").alias("x"), F.col("arr").alias("xa")), "x").select("x", "y", "xa", "ya"))
-    return mapped(full, exact, "x long, y long")
+    def one_round(part: DataFrame, own: DataFrame, n: int) -> DataFrame:
+        shared = pairs.sparkSession.sparkContext.broadcast(_bit_filter(part, "x", n))
+        some = mapped(sets, lambda batches: (b.filter(_passes(shared.value, b.column(0).to_numpy())) for b in batches), "set long, arr binary")
+        full = (part.join(own.select(F.col("set").alias("y"), F.col("arr").alias("ya")), "y")
+                .join(some.select(F.col("set").alias("x"), F.col("arr").alias("xa")), "x").select("x", "y", "xa", "ya"))
+        return mapped(full, exact, "x long, y long")
+
+    n = pairs.count()
+    rounds = max(ROUNDS, -(-n // ROUND_PAIRS))
+    found = []
+    for k in range(rounds if n else 0):
+        of = lambda c: F.pmod(F.xxhash64(c), F.lit(rounds)) == k  # noqa: B023, E731
+        found.append(stored(one_round(pairs.where(of("y")), sets.where(of("set")), -(-n // rounds)), name))
+    if not found:
+        return stored(pairs.select("x", "y").limit(0), name)
+    all_ = stored(functools.reduce(DataFrame.unionByName, found).coalesce(max(1, n // 1_000_000)), name)
+    drop_stage(*found)
+    return all_
 
 
 def _connected(tried: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -271,12 +289,12 @@ def _connected(tried: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     those are compared that this left in different components."""
     bounded = stored(_bounded(tried, sets, percent), "bounded-pairs")
     one = stored(bounded.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "first-pairs")
-    links = stored(_exact(one, sets, percent), "links-first")
+    links = _exact(one, sets, percent, "links-first")
     roots = components(links)
     rx, ry = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("x", "y"))
     apart = F.coalesce("rx", "x") != F.coalesce("ry", "y")
     rest = stored(bounded.join(one, ["x", "y"], "left_anti").join(rx, "x", "left").join(ry, "y", "left").where(apart).select("x", "y"), "other-pairs")
-    more = stored(_exact(rest, sets, percent), "links-other")
+    more = _exact(rest, sets, percent, "links-other")
     drop_stage(bounded, one, rest)
     if more.limit(1).count():
         before, links = (links, more), stored(links.unionByName(more), "links-both")
@@ -314,22 +332,33 @@ def _open_pairs(sets: DataFrame, roots: DataFrame, tried: DataFrame, percent: in
     not ``tried`` yet.
     A pair is looked at in the band of its smaller set, where a link must share a tile, and
     reported by the first tile that both share there."""
-    def tiles(batches):
+    rooted = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "arr", F.coalesce("root", "set").alias("root"))
+
+    def tiles(batches, names, keep=None):
         for b in batches:
-            for i, arr in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, arr, root in zip(*(c.to_pylist() for c in b.columns)):
                 s = np.frombuffer(arr, np.uint64)
                 k, place = tile_places(s, percent)
                 band, n = place >> 32, len(k)
                 at = np.arange(n) - np.searchsorted(band, band)  # place in the band's list of keys
-                yield pa.RecordBatch.from_arrays([_signed(k), pa.array(band.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(n, i)), pa.array(np.full(n, len(s)))],
-                                                 ["tile", "band", "at", "set", "n"])
-
-    member = mapped(sets, _coalesced(tiles), "tile long, band int, at int, set long, n long").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    members = member = stored(member, "tile-members")
-    # a tile of two sets was tried whole; of a band's tiles with the same members the first is enough
-    mixed = (member.groupBy("tile", "band").agg(F.min("at").alias("at"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"),
+                of = {"tile": _signed(k), "band": pa.array(band.astype(np.int32)), "at": pa.array(at.astype(np.int32)), "set": pa.array(np.full(n, i)),
+                      "n": pa.array(np.full(n, len(s))), "root": pa.array(np.full(n, root))}
+                rows = pa.RecordBatch.from_arrays([of[c] for c in names], names)
+                yield rows.filter(_passes(keep.value, k.view(np.int64))) if keep is not None else rows
+
+    # only tiles of several components matter, and one of two sets was tried whole
+    light = mapped(rooted, _coalesced(lambda batches: tiles(batches, ["tile", "root"])), "tile long, root long")
+    many = light.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 <> r1 AND size > 2")
+    many = stored(many.select("tile"), "mixed-tiles")
+    keep = sets.sparkSession.sparkContext.broadcast(_bit_filter(many, "tile", many.count()))
+    names = ["tile", "band", "at", "set", "n", "root"]
+    member = mapped(rooted, _coalesced(lambda batches: tiles(batches, names, keep)), "tile long, band int, at int, set long, n long, root long")
+    members = member = stored(member.join(many, "tile", "left_semi"), "tile-members")
+    drop_stage(many)
+    # of a band's tiles with the same members the first is enough
+    mixed = (member.groupBy("tile", "band").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("size"),
                                                 *[F.sum(F.xxhash64("set", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (0, 1)])
-             .where("r0 <> r1 AND size > 2").groupBy("band", "size", "h0", "h1").agg(F.min_by("tile", "at").alias("tile")).select("tile", "size"))
+             .groupBy("band", "size", "h0", "h1").agg(F.min_by("tile", "at").alias("tile")).select("tile", "size"))
     within = Window.partitionBy("tile").orderBy("n", "set")
     member = member.join(mixed, "tile").withColumn("block", F.floor((F.row_number().over(within) - 1) / TILE_BLOCK))
     n_blocks = F.ceil(F.col("size") / TILE_BLOCK)
@@ -424,7 +453,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     drop_stage(involved)
     links, roots = _connected(tried, sets, percent)
     more = _open_pairs(sets, roots, tried, percent)
-    found = stored(_exact(more, sets, percent), "verified")
+    found = _exact(more, sets, percent, "verified")
     drop_stage(tried, sets, more)
     if found.limit(1).count():
         drop_stage(roots)
