@@ -20,25 +20,47 @@ through every stage.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caserank.llm import jaccard, mil, packing, quality_rules
-from caserank.llm.common import stored, table
+from caserank.llm.common import release, stored, table, written
 
 SHINGLE_WORDS, PERCENT = 5, 80
+#: By application and input: the stage tables that the stage before has left.
+_LEFT: dict[tuple, tuple[int, int]] = {}
+
+
+def _stage(function):
+    """A stage's result is written before the next stage begins, so its own stage tables
+    have no reader left then and are deleted."""
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        release(*_LEFT.pop(key, (0, 0)))
+        low = written()
+        out = function(spark, docs, sf_dir)
+        _LEFT[key] = (low, written())
+        return out
+
+    return run
 
 
+@_stage
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = mil.train_default(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return mil.accepted(docs, model, mil.THRESHOLD)
 
 
+@_stage
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.passing(docs)
 
 
+@_stage
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = jaccard.representatives(docs, words=SHINGLE_WORDS, percent=PERCENT).select(F.col("doc_id").alias("_stay_id"), F.col("text_hash").alias("_stay_hash"))
     mark = "_text_hash"
@@ -51,6 +73,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.groupBy("doc_id", mark).agg(F.min_by(F.struct(*row), F.xxhash64(*row)).alias("_row")).select("_row.*")
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
