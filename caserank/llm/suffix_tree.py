@@ -1,7 +1,7 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Contexts are the last words before a token, up to ``DEPTH`` of them, and grow one word
-at a time. A context is kept when a divergence test passes: over its training
+Contexts are the last one or two words before a token; the second word extends a context
+of one. A context is kept when a divergence test passes: over its training
 tokens, the left-out log likelihood under the context must beat that under its
 shorter suffix by ``TAU`` nats in all (each token is scored as if it had not been
 counted, so a context seen once, or whose followers look like its suffix's, fails).
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .common import WordIndex, held_out_py, mapped, mix64, stored, sums_by_text, table, text_batches, word_hashes, words_of
 
-DEPTH = 2
 MU = (10.0, 2.0)
 MIN_COUNT = 2
 TAU = float(np.log(10))
@@ -46,7 +45,7 @@ WORDS, PAIRS, TRIPLES, GAIN1, GAIN2 = range(5)
 def squeeze(a: np.ndarray) -> bytes:
     """Compressed bytes of an array, by byte planes (high bytes are mostly alike)."""
     a = np.ascontiguousarray(a)
-    return a.dtype.str.encode() + b":" + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
+    return a.dtype.str.encode() + b":" + zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
 
 
 def unsqueeze(b: bytes) -> np.ndarray:
@@ -186,6 +185,7 @@ class Scorer:
         n2[block.first] = 0  # a document's start has no second word before it
         self.n2 = n2
         self.asked = np.flatnonzero(n2 >= MIN_COUNT)
+        self._c3 = None
 
     def p0(self, out: int) -> np.ndarray:
         return np.maximum(self.c1 + 1 - out, 1) / max(self.total + self.known + 1 - out, 1)
@@ -202,8 +202,18 @@ class Scorer:
         key = mix64(b.pair[at - 1] * _K[1] + b.w[at])
         return np.unique(key, return_inverse=True)
 
+    def c3(self) -> np.ndarray:
+        if self._c3 is None:
+            self._c3 = self.got[TRIPLES].astype(np.float64)[self.triples()[1]]
+        return self._c3
+
+    def open2(self) -> np.ndarray:
+        """Which of the asked places have a context of two words that may be kept. One seen
+        twice before different tokens has lost at both, so nobody needs to ask for it."""
+        return ~((self.n2[self.asked] == 2) & (self.c3() == 1))
+
     def contexts2(self):
-        return np.unique(self.b.pair[self.asked - 1], return_inverse=True)
+        return np.unique(self.b.pair[self.asked[self.open2()] - 1], return_inverse=True)
 
     def gains1(self):
         keys, of = self.contexts1()
@@ -218,23 +228,21 @@ class Scorer:
         return np.where(kept, self.p1(out), self.p0(out))
 
     def p2(self, out: int, parent: np.ndarray) -> np.ndarray:
-        _, of = self.triples()
-        c3 = self.got[TRIPLES].astype(np.float64)[of]
         at = self.asked
-        return (np.maximum(c3 - out, 0) + MU[1] * parent[at]) / (np.maximum(self.n2[at] - out, 0) + MU[1])
+        return (np.maximum(self.c3() - out, 0) + MU[1] * parent[at]) / (np.maximum(self.n2[at] - out, 0) + MU[1])
 
     def gains2(self):
         keys, of = self.contexts2()
-        parent = self.parents(1)
-        gain = np.log(self.p2(1, parent)) - np.log(parent[self.asked])
-        t = self.b.train[self.asked]
+        parent, some = self.parents(1), self.open2()
+        gain = (np.log(self.p2(1, parent)) - np.log(parent[self.asked]))[some]
+        t = self.b.train[self.asked[some]]
         return keys, np.bincount(of[t], gain[t], len(keys)).astype(np.float32)
 
     def log10(self) -> np.ndarray:
         p = self.parents(0)
         if len(self.asked):
-            _, of = self.contexts2()
-            kept = (self.got[GAIN2] > TAU)[of]
+            kept = self.open2()
+            kept[kept] = (self.got[GAIN2] > TAU)[self.contexts2()[1]]
             p[self.asked] = np.where(kept, self.p2(0, p), p[self.asked])
         return np.log10(p)
 
