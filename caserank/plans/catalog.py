@@ -887,7 +887,8 @@ def q_top6(spark, sf):
         "var", "place", "avg_place")
 
 
-@register("w4_best_k_knn", None)
+# the k grid of m6 on the model sets' split, its best row
+@register("w4_best_k_knn", "SELECT * FROM (" + ORACLE["m6_knn_select_k"].replace("knn-split", "model-split") + ") ORDER BY class_error, k LIMIT 1")
 def q_bestk(spark, sf):
     """Argmin row of the kNN k grid (best k)."""
     from ..operators.ranking import best_row
