@@ -15,7 +15,8 @@ and other marks. A file without a decoder joins its token strings with spaces.
 
 Edge cases: a null or empty text has no ids and decodes to an empty text; special
 token strings inside a text become their ids; very long texts are ordinary texts; ids
-appear in text order; repeated rows each keep their row.
+appear in text order; repeated rows each keep their row; an empty table gives no rows;
+only the id and text columns are read, so clashing extra names do not matter.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ backslashes, so texts can hold any control string and be read back exactly.
 Edge cases: a null role or text is empty; rows of equal turn go by role, then text;
 repeated rows are turns of their own; a null turn comes first; a null conversation id
 is a conversation; an empty table gives no rows; only the four named columns are read.
+An id of a type other than an integer is returned as its text.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ blocks; each task keeps a running top k per query, and one window merges them.
 Edge cases: vectors that are null, empty or hold null or non-finite components take no
 part, nor do rows without an id; a query meets only vectors of its own length; rows
 that repeat an id are candidates for other queries, and a repeated query id is answered
-once (from its smallest vector); ties go to the smaller id; an empty table gives no rows.
+once (from its smallest vector); ties go to the smaller id; an empty table gives no rows;
+only the id and vector columns are read, so clashing extra names do not matter.
 """
 
 from __future__ import annotations

@@ -14,7 +14,11 @@ bounded cache holds the scores of words.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; rows without a
 language or text teach nothing; without any training row every text is ``und``; ties go to
-the language that sorts first; repeated rows each keep their row.
+the language that sorts first; repeated rows each keep their row; an empty table gives no
+rows; only the named columns are read, so clashing extra names do not matter. Of the
+sample's characters the 4,094 most frequent have a symbol of their own and the others share
+one; a language whose sampled rows would all be kept aside for calibration is learned
+from them instead.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ reads every text as a whole, passage by passage, in one pass without a shuffle.
 Edge cases: a null or empty text is a bag of one empty passage and gets a score;
 documents without a label, or with a null one, teach nothing; several labels of an id
 count each; without labelled rows, or with one class only, every score is the share
-of label 1 (0.5 without rows); repeated rows each keep their row.
+of label 1 (0.5 without rows); repeated rows each keep their row; an empty table gives no
+rows; of the tables only the id, text and label columns take part, so clashing extra names
+do not matter.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ Names and hashes of hot fragments and stretches are 64-bit each, 128 together; t
 comparisons are of the bytes. Work and disk grow with the input; a task holds a batch of texts or the
 groups of one batch of fragments.
 
-Edge cases: a null text is an empty one (nothing to remove); null ids come after all ids;
+Edge cases: ids are integers; a null text is an empty one (nothing to remove); null ids come after all ids;
 rows of one id are ordered by a hash of their text, and equal rows are one document: each
 keeps its row and none removes from the other; texts shorter than ``width`` stay whole; an
 empty table gives no rows; only the id and text columns are read, so clashing extra

@@ -16,7 +16,8 @@ rather than being dropped.
 Edge cases: a null URL or one without ``://`` has empty host and path; an empty path
 fits only rules with an empty path; without rules every verdict is the default;
 repeated rules collapse, and a key listed with both actions is an error; other columns
-of the input are left alone (only the id and URL columns are read).
+of the input are left alone (only the id and URL columns are read); an empty table gives
+no rows.
 """
 
 from __future__ import annotations
