@@ -41,9 +41,9 @@ from .common import WordIndex, mapped, mix64, stored, table, text_batches, word_
 WORDS, PERCENT = 4, 85
 BITS = 2048
 TILE_BLOCK = 512
-FILTER_BITS = 27
+FILTER_BITS = 24
 #: Pairs are compared exactly in so many rounds at least, and so many to a round at most.
-ROUNDS, ROUND_PAIRS = 8, 4_000_000
+ROUNDS, ROUND_PAIRS = 3, 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
                  0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _SET, _TILE, _SHORT = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)
@@ -148,8 +148,8 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def _local_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int):
-    """(tile, a, b) rows of a batch of distinct sets: of each tile its first set (a = b),
-    and the others as pairs to try (a < b under a tile of their own)."""
+    """Of a batch of distinct sets: (set, its tiles) where it is the tile's first set, and the
+    (first, other) pairs to try."""
     keys = [tile_keys(s, percent) for s in sets]
     owner = np.repeat(ids, [len(k) for k in keys])
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -160,42 +160,79 @@ def _local_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int):
     head = owner[new][np.cumsum(new) - 1] if len(key) else owner
     rest = ~new & (head != owner)
     pairs = np.unique(np.column_stack([head[rest], owner[rest]]), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
-    alone = mix64(pairs[:, 0].view(np.uint64) * _ODD[1] + np.ascontiguousarray(pairs[:, 1]).view(np.uint64)) if len(pairs) else np.zeros(0, np.uint64)
-    tile = np.concatenate([key[new], alone])
-    return tile, np.concatenate([owner[new], pairs[:, 0]]), np.concatenate([owner[new], pairs[:, 1]])
+    tile, of = key[new], owner[new]
+    order = np.argsort(of, kind="stable")
+    tile, of = tile[order], of[order]
+    cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+    own = [t.tobytes() for t in np.split(tile, cuts[1:])] if len(of) else []
+    return of[cuts], own, pairs
 
 
-def _sizes_and_tiles(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, text hash, set, n) of every document, and the (tile, a, b) rows of every batch."""
+_DOC, _TILES, _PAIR = 0, 1, 2
+
+
+def _scanned(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One scan of the texts. By ``kind``: (id, text hash, set, n) of every document; (set,
+    tiles) of the first sets of a batch's tiles; (set, other) pairs of the others."""
     kind = docs.schema["_id"].dataType.simpleString()
+    names = ["kind", "_id", "_hash", "set", "n", "tiles", "other"]
 
-    def sizes(batches):
+    def run(batches):
         words = WordIndex(word_hashes, words_of)
-        for b in text_batches(batches, "_text"):
+        for b in text_batches(batches, "_text", 8 << 20):
             sets = shingle_sets(words, b.column(1).to_pylist(), size)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["_id", "_hash", "set", "n"])
+            ids = [set_id(s) for s in sets]
 
-    def tiles(batches):
-        words = WordIndex(word_hashes, words_of)
-        for b in text_batches(batches, "_text", 8 << 20):
-            own = {set_id(s): s for s in shingle_sets(words, b.column(1).to_pylist(), size) if len(s)}
-            tile, a, c = _local_stars(np.array(list(own), np.int64), list(own.values()), percent)
-            for lo in range(0, len(tile), 100_000):
-                yield pa.RecordBatch.from_arrays([_signed(x[lo:lo + 100_000]) for x in (tile, a, c)], ["tile", "a", "b"])
+            def rows(what, count, /, **columns):
+                nulls = {"_id": b.column(0).type, "tiles": pa.binary()}
+                own = {"kind": pa.array(np.full(count, what, np.int8)), **columns}
+                return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(count, nulls.get(c, pa.int64())) for c in names], names)
 
-    return mapped(docs, sizes, f"_id {kind}, _hash long, set long, n long"), mapped(docs.select("_text"), _only_text(tiles), "tile long, a long, b long")
+            yield rows(_DOC, len(ids), _id=b.column(0), _hash=b.column(2), set=pa.array(ids, pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()))
+            distinct = {i: s for i, s in zip(ids, sets) if len(s)}
+            first, own, pairs = _local_stars(np.array(list(distinct), np.int64), list(distinct.values()), percent)
+            for lo in range(0, len(own), 500):
+                yield rows(_TILES, len(own[lo:lo + 500]), set=pa.array(first[lo:lo + 500]), tiles=pa.array(own[lo:lo + 500], pa.binary()))
+            if len(pairs):
+                yield rows(_PAIR, len(pairs), set=pa.array(np.ascontiguousarray(pairs[:, 0])), other=pa.array(np.ascontiguousarray(pairs[:, 1])))
 
+    return mapped(docs, run, f"kind byte, _id {kind}, _hash long, set long, n long, tiles binary, other long")
 
-def _only_text(fn):
-    """``fn`` reads the text from the second column; give it one."""
-    def run(batches):
-        return fn(pa.RecordBatch.from_arrays([b.column(0), b.column(0)], ["_id", "_text"]) for b in batches)
-    return run
+
+def _first_pairs(scanned: DataFrame) -> DataFrame:
+    """(x, y) pairs to try: those found within batches, and each tile's smallest set with its
+    others. Tiles are counted first, and only rows of tiles that occur again are sent on."""
+    tiles = scanned.where(F.col("kind") == _TILES)
+
+    def each(batches, keep=None):
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                own = b.slice(lo, 500)
+                keys = [np.frombuffer(t, np.uint64) for t in own.column(1).to_pylist()]
+                tile, of = np.concatenate(keys), np.repeat(own.column(0).to_numpy(), [len(k) for k in keys])
+                if keep is None:
+                    yield pa.RecordBatch.from_arrays([_signed(tile)], ["tile"])
+                else:
+                    rows = pa.RecordBatch.from_arrays([_signed(tile), pa.array(of)], ["tile", "a"])
+                    yield rows.filter(_passes(keep.value, tile.view(np.int64)))
+
+    tiles = tiles.select("set", "tiles")
+    again = stored(mapped(tiles, each, "tile long").groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile"), "tiles-again")
+    keep = scanned.sparkSession.sparkContext.broadcast(_bit_filter(again, "tile", again.count()))
+    rows = mapped(tiles, _coalesced(lambda batches: each(batches, keep)), "tile long, a long")
+    members = stored(rows.join(again, "tile", "left_semi"), "tile-rows")
+    least = stored(members.groupBy("tile").agg(F.min("a").alias("x")), "tile-least")
+    found = members.join(least, "tile").where("x <> a").select("x", F.col("a").alias("y"))
+    local = scanned.where(F.col("kind") == _PAIR).select(F.col("set").alias("x"), F.col("other").alias("y"))
+    both = found.unionByName(local).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    both = stored(both, "tile-pairs")
+    drop_stage(again, members, least)
+    return both
 
 
 def _bit_filter(keys: DataFrame, column: str, n: int) -> np.ndarray:
     """A bit filter of a column of ``n`` 64-bit hashes, of 16 bits a key within
-    ``FILTER_BITS`` (16 MB at most; beyond, it only lets more through)."""
+    ``FILTER_BITS`` (2 MB at most; beyond, it only lets more through)."""
     size = min(FILTER_BITS, max(16, (16 * n).bit_length()))
     slot = F.col(column).bitwiseAND(F.lit((1 << size) - 1))
     rows = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(`{column}` & 63 AS INT))")).alias("bits")).toPandas()
@@ -441,13 +478,10 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     """(id, text hash, set, n) of every row, and the (node, root) rows of linked sets."""
     ship_package(df.sparkSession)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
-    sizes, tiles = _sizes_and_tiles(docs, words, percent)
-    sizes = stored(sizes, "set-sizes")
-    # of each tile, the smallest set against the others; pairs found within batches pass through
-    first = F.min("a").over(Window.partitionBy("tile"))
-    local = F.col("a") != F.col("b")
-    tried = tiles.select(F.when(local, F.col("a")).otherwise(first).alias("x"), F.when(local, F.col("b")).otherwise(F.col("a")).alias("y"))
-    tried = stored(tried.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "tile-pairs")
+    scanned = stored(_scanned(docs, words, percent), "set-tiles")
+    sizes = stored(scanned.where(F.col("kind") == _DOC).select("_id", "_hash", "set", "n"), "set-sizes")
+    tried = _first_pairs(scanned)
+    drop_stage(scanned)
     involved = stored(tried.select(F.col("x").alias("set")).unionByName(tried.select(F.col("y").alias("set"))).distinct(), "involved")
     sets = stored(_involved_sets(docs, sizes, involved, words), "sets")
     drop_stage(involved)
