@@ -14,7 +14,8 @@ however many groups there are.
 
 Edge cases: a null or empty text is its end token alone; a document longer than a sequence
 is cut from the end into full pieces, so only its first piece may be shorter; ties are
-broken by row; repeated rows are packed each; an empty table gives no rows.
+broken by row; repeated rows are packed each; an empty table gives no rows; only the id
+and text columns are read, so clashing extra names do not matter.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ _WHITE = r"\t-\r \x85\xa0  -     　"
 _MARKS = frozenset(",.;:!?")
 _TWO_SPACES = re.compile(r"\s\s")
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-CACHE = 1_000_000
+#: Chunks that a cache takes before it becomes the older of two.
+CACHE = 250_000
 PIECE = ["_id", "_row", "piece", "start", "length", "ids_crc32"]
 
 
@@ -61,9 +63,11 @@ class ChunkTokenizer:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        # chunks as they are, and chunks that stand behind one space
+        # chunks as they are, and chunks that stand behind one space; what a full cache knew
+        # stays for one more filling, so common chunks are never encoded again
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -74,6 +78,10 @@ class ChunkTokenizer:
     def _learn(self, cache: dict[str, bytes], chunks: set[str], before: str) -> None:
         """Add ``chunks`` to a cache. One mark after a letter is a token piece of its own,
         so such chunks are put together from two."""
+        older = self.older[bool(before)]
+        known = {c: older[c] for c in chunks if c in older}
+        cache.update(known)
+        chunks = chunks.difference(known)
         two = [c for c in chunks if len(c) > 1 and c[-1] in _MARKS and c[-2].isalpha()]
         one = list(chunks.difference(two).union([c[:-1] for c in two]).difference(cache))
         cache.update(zip(one, self._encode([before + c for c in one])))
@@ -83,7 +91,7 @@ class ChunkTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
         if len(self.plain) + len(self.spaced) > CACHE:
-            self.plain, self.spaced = {}, {}
+            self.older, self.plain, self.spaced = (self.plain, self.spaced), {}, {}
         found: list[tuple] = []  # first chunk, the others, their cache, their ids as far as known
         new_plain: set[str] = set()
         new_spaced: set[str] = set()

@@ -28,6 +28,17 @@ def test_chunks_tokenise_as_the_library_does(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_full_caches_change_no_ids(monkeypatch):
+    lib, tok = Tokenizer.from_file(PATH), packing.ChunkTokenizer(PATH)
+    monkeypatch.setattr(packing, "CACHE", 20)
+    r = np.random.default_rng(2)
+    words = [f"w{k}{'ab,'[k % 3]}" for k in range(40)]
+    for _ in range(30):
+        texts = [" ".join(r.choice(words, 12)), "  ".join(r.choice(words, 3))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(tok.plain) + len(tok.spaced) <= 20 + 30 and any(tok.older)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=120))
 def test_search_never_needs_more_bins_and_raises_squared_fill(sizes):
