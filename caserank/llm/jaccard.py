@@ -199,6 +199,16 @@ def _scanned(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return mapped(docs, run, f"kind byte, _id {kind}, _hash long, set long, n long, tiles binary, other long")
 
 
+def _repeats(batches):
+    """Tiles that a partition of all rows of its tiles holds more than once, each once. A
+    batch of texts sends a tile once, so few rows are equal before and a partition is eight
+    bytes a row here."""
+    tile = np.sort(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)]))
+    again = np.unique(tile[1:][tile[1:] == tile[:-1]])
+    for lo in range(0, len(again), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(again[lo:lo + 100_000])], ["tile"])
+
+
 def _first_pairs(scanned: DataFrame) -> DataFrame:
     """(x, y) pairs to try: those found within batches, and each tile's smallest set with its
     others. Tiles are counted first, and only rows of tiles that occur again are sent on."""
@@ -217,7 +227,7 @@ def _first_pairs(scanned: DataFrame) -> DataFrame:
                     yield rows.filter(_passes(keep.value, tile.view(np.int64)))
 
     tiles = tiles.select("set", "tiles")
-    again = stored(mapped(tiles, each, "tile long").groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile"), "tiles-again")
+    again = stored(mapped(mapped(tiles, each, "tile long").repartition("tile"), _repeats, "tile long"), "tiles-again")
     keep = scanned.sparkSession.sparkContext.broadcast(_bit_filter(again, "tile", again.count()))
     rows = mapped(tiles, _coalesced(lambda batches: each(batches, keep)), "tile long, a long")
     members = stored(rows.join(again, "tile", "left_semi"), "tile-rows")
