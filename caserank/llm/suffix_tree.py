@@ -18,7 +18,8 @@ is learned from all training documents; nothing is capped or sampled.
 
 Edge cases: a null text is empty and has its end token only; a null id is never held
 out; without training documents the base probability is 1/(V+1) with V = 0; repeated
-rows count and are scored each; extra columns are not read. Keys are 64-bit hashes.
+rows count and are scored each; an empty table gives no rows; extra columns, however they
+are named, are not read. Keys are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import drop_stage, ship_package
 from .common import WordIndex, held_out_py, mapped, mix64, stored, sums_by_text, table, text_batches, word_hashes, words_of
 
 MU = (10.0, 2.0)
 MIN_COUNT = 2
 TAU = float(np.log(10))
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _K = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F))
 WORDS, PAIRS, TRIPLES, GAIN1, GAIN2 = range(5)
@@ -304,7 +305,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
         return left.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(fn, schema)
 
     answers = answers.unionByName(answered(with_answers(second, _MESSAGE), "pst-triples"))
-    answers = answers.unionByName(answered(with_answers(third, _MESSAGE), "pst-gains"))
+    # written first, so that the shuffle files of asking and of adding up are not there at once
+    gains = stored(with_answers(third, _MESSAGE), "pst-gain-parts")
+    answers = answers.unionByName(answered(gains, "pst-gains"))
+    drop_stage(gains)
     out = with_answers(last, f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
                        blocks.select("block", "ids", "held", "sizes", "vocab", "codes"))
     return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
