@@ -9,7 +9,8 @@ def test_joined_tables_by_feature_and_basket(spark, monkeypatch):
                                  "scenario string, class_error_ratio double, auc_ratio double, sensitivity_ratio double, specificity_ratio double, ce_greater int")
     relinf = spark.createDataFrame([("a", 20.0, 2), ("b", 70.0, 1), ("c", 10.0, 3)], "var string, rel_inf double, rank int")
     pvalues = spark.createDataFrame([("a", 0.5), ("b", 0.1), ("c", 0.2)], "var string, pval double")
-    monkeypatch.setattr(RS, "boosting", lambda *_: {"perm": perm, "relinf": relinf})
+    monkeypatch.setattr(RS, "boosting_permutations", lambda *_: perm)
+    monkeypatch.setattr(RS, "relative_influence", lambda *_: relinf)
     monkeypatch.setattr(RS, "logit", lambda *_: {"perm": perm, "pvalues": pvalues})
     monkeypatch.setattr(RS, "baskets", lambda *_: spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "var string, basket_id int"))
     q = E.queries()
