@@ -300,7 +300,8 @@ def q_box(spark, sf):
 @register("i3_formula_fill", _CASES + f"\nSELECT case_id, {R('COALESCE(other, toa - (principal + interest))')} AS other FROM cases")
 def q_i3(spark, sf):
     from ..operators.impute import fill_expr
-    c = fill_expr(_cases(spark, sf), "other", F.col("toa") - (F.col("principal") + F.col("interest")))
+    # one reader of a few columns: no stage table, and the other columns are pruned
+    c = fill_expr(study.decoded_cases(spark, sf), "other", F.col("toa") - (F.col("principal") + F.col("interest")))
     return rounded(c.select("case_id", "other"))
 
 
@@ -787,7 +788,7 @@ def q_relinf(spark, sf):
 @register("m9_logit_pvalues", None)
 def q_logit_p(spark, sf):
     """M9: Wald p-values of the logistic regression (aliased features NULL)."""
-    return rounded(RS.logit(spark, sf)["pvalues"])
+    return rounded(RS.logit_fit(spark, sf)["pvalues"])
 
 
 @register("m9_m17_logit_permutation", None)

@@ -132,15 +132,21 @@ def boosting_basket_ranks(spark, sf) -> DataFrame:
 # --- logistic regression ------------------------------------------------------------
 
 
+def logit_fit(spark, sf) -> dict:
+    """M9: the fit and its p-values, without the permutations of ``logit``."""
+    def build():
+        fitted = M.fit_logit(model_sets(spark, sf).where("split = 0"), FEATURES, LABEL)
+        return {"fitted": fitted, "pvalues": M.logit_pvalues(spark, fitted, FEATURES).cache()}
+    return shared(spark, sf, "logit-fit", build)
+
+
 def logit(spark, sf) -> dict:
     def build():
-        s = model_sets(spark, sf)
-        train, test = s.where("split = 0"), s.where("split <> 0")  # 60/40 as in the study
-        fitted = M.fit_logit(train, FEATURES, LABEL)
-        pv = M.logit_pvalues(spark, fitted, FEATURES).cache()
-        perm = cut_lineage(permutation_importance(lambda d: M.score_logit(fitted, d), test, KEY, FEATURES, LABEL,
+        own = logit_fit(spark, sf)
+        test = model_sets(spark, sf).where("split <> 0")  # 60/40 as in the study
+        perm = cut_lineage(permutation_importance(lambda d: M.score_logit(own["fitted"], d), test, KEY, FEATURES, LABEL,
                                                   _groups(spark, sf), salt="logit-perm"), "logit_perm")
-        return {"fitted": fitted, "pvalues": pv, "perm": perm}
+        return {**own, "perm": perm}
     return shared(spark, sf, "logit", build)
 
 
