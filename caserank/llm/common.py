@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import itertools
 import os
 import zlib
@@ -44,10 +45,31 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package shipped to local workers."""
+#: What a Python worker keeps for its later tasks, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def forget(keep: str | None = None) -> None:
+    """Drop what this worker keeps for operators other than ``keep``, and give the memory back:
+    a worker runs the tasks of all operators in turn."""
+    for name, kept in KEPT.items():
+        if name != keep:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, fn, schema: str, keep: str | None = None) -> DataFrame:
+    """``mapInArrow`` with this package shipped to local workers, which ``forget`` first what
+    operators other than ``keep`` left in them."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        forget(keep)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 #: Folders of all tables written so far, in order.

@@ -21,6 +21,7 @@ and text columns are read, so clashing extra names do not matter.
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import mapped, one_thread, stored, table, text_batches
+from .common import KEPT, mapped, one_thread, stored, table, text_batches
 
 CAPACITY = 2048
 #: Pieces to a group.
@@ -40,31 +41,54 @@ GROUP = 8192
 #: A bin below this share of its capacity is dealt anew.
 LOOSE = 0.95
 _WHITE = r"\t-\r \x85\xa0  -     　"
-_MARKS = frozenset(",.;:!?")
+#: ASCII marks but the apostrophe, which takes letters into its piece.
+_MARKS = r"!-&(-/:-@\[-`{-~"
+#: Letters that every Unicode version knows as such.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
+#: A word, marks, a line end and a word with marks, all but the first as they may be missing.
+_WORDS = re.compile(f"({_LETTERS})([{_MARKS}]*)(?:(\n)({_LETTERS})([{_MARKS}]*))?").fullmatch
 _TWO_SPACES = re.compile(r"\s\s")
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 #: Chunks that a cache takes before it becomes the older of two.
-CACHE = 250_000
+CACHE = 500_000
 PIECE = ["_id", "_row", "piece", "start", "length", "ids_crc32"]
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign that a byte-level vocabulary writes for each byte."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class ChunkTokenizer:
     """Ids of texts from a byte-level BPE file, by a cache over chunks.
 
     The tokenizer never joins a character with white space that follows it, so a text may
     be cut before every run of white space and its chunks encoded one by one; the
-    library encodes each distinct chunk once."""
+    library encodes each distinct chunk of a batch once. Most chunks are words with at most
+    marks or a line end behind them, which are token pieces of their own: such words go
+    to the library's BPE many to a call, without the search for pieces, and only they
+    and the remaining chunks are kept; their combinations are put together anew."""
 
     def __init__(self, path: str):
         one_thread()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        # chunks as they are, and chunks that stand behind one space; what a full cache knew
-        # stays for one more filling, so common chunks are never encoded again
+        model = json.loads(self.lib.to_str())["model"]
+        # a word comes once, so the library's own cache would only cost time
+        plain = {k: model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k) is not None}
+        self.words = Tokenizer(models.BPE(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], cache_capacity=0, **plain))
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.signs = _byte_signs()
+        self.begins = np.zeros(self.lib.get_vocab_size(), bool)  # tokens that begin with a space
+        self.begins[[i for t, i in self.lib.get_vocab().items() if t.startswith(self.signs[32])]] = True
+        # words and chunks as they are, and those that stand behind one space; what a full cache
+        # knew stays for one more filling, so common ones are never encoded again
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
@@ -75,59 +99,97 @@ class ChunkTokenizer:
             out += [array.array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts[lo:lo + 4096], add_special_tokens=False)]
         return out
 
-    def _learn(self, cache: dict[str, bytes], chunks: set[str], before: str) -> None:
-        """Add ``chunks`` to a cache. One mark after a letter is a token piece of its own,
-        so such chunks are put together from two."""
-        older = self.older[bool(before)]
-        known = {c: older[c] for c in chunks if c in older}
-        cache.update(known)
-        chunks = chunks.difference(known)
-        two = [c for c in chunks if len(c) > 1 and c[-1] in _MARKS and c[-2].isalpha()]
-        one = list(chunks.difference(two).union([c[:-1] for c in two]).difference(cache))
-        cache.update(zip(one, self._encode([before + c for c in one])))
-        marks = {m: self._encode([m])[0] for m in {c[-1] for c in two}}
-        cache.update([(c, cache[c[:-1]] + marks[c[-1]]) for c in two])
+    def _encode_words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words (``_LETTERS`` only), each a token piece with what stands ``before`` it."""
+        if not words:
+            return []
+        signs = [before + w if w.isascii() else before + w.encode().decode("latin-1").translate(self.signs) for w in words]
+        texts = [" ".join(signs[lo:lo + 1024]) for lo in range(0, len(signs), 1024)]
+        if before:  # and nowhere else a space
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.words.encode_batch_fast(texts, add_special_tokens=False)])
+            starts = np.flatnonzero(self.begins[ids])
+        else:
+            found = self.words.encode_batch(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+            starts = np.flatnonzero(np.concatenate([np.diff(e.word_ids, prepend=-1) for e in found]))
+        starts, ids = (4 * starts).tolist(), ids.tobytes()
+        return [ids[x:y] for x, y in zip(starts, [*starts[1:], len(ids)])]
+
+    def _known(self, keys, spaced: bool) -> tuple[dict[str, bytes], set[str]]:
+        """The ids of those that the caches have, and the others."""
+        cache, older = (self.spaced if spaced else self.plain), self.older[spaced]
+        found = {c: x for c in keys if (x := cache.get(c))}
+        others = set(keys).difference(found)
+        again = {c: x for c in others if (x := older.get(c))}
+        cache.update(again)
+        return found | again, others.difference(again)
+
+    def _learn(self, keys: set[str], spaced: bool, words: bool) -> dict[str, bytes]:
+        """The ids of words or of whole chunks, by the caches or the library."""
+        found, others = self._known(keys, spaced)
+        new = list(others)
+        ids = self._encode_words(new, self.signs[32] if spaced else "") if words else self._encode([" " + c for c in new] if spaced else new)
+        own = dict(zip(new, ids))
+        (self.spaced if spaced else self.plain).update(own)
+        return found | own
+
+    def _ids(self, plain: set[str], spaced: set[str]) -> list[dict[str, bytes]]:
+        """The ids of chunks that stand at the start of a text or of a cut, and behind a space."""
+        found, parts, odd, words = [], ([], []), ([], []), (set(), set())
+        marks: set[str] = set()
+        for of, chunks in enumerate((plain, spaced)):
+            known, others = self._known(chunks, bool(of))
+            found.append(known)
+            for c in others:
+                if c.isalpha() and c.isascii():
+                    words[of].add(c)
+                elif m := _WORDS(c):
+                    w, n, line, v, k = m.groups("")
+                    words[of].add(w)
+                    marks.update((n, k))
+                    if v:
+                        words[0].add(v)
+                    parts[of].append((c, w, n, line, v, k))
+                else:
+                    odd[of].append(c)
+        marks.discard("")
+        own = [self._learn(words[of], bool(of), True) for of in (0, 1)]
+        bare = own[0] | self._learn(marks | {"\n"}, False, False) | {"": b""}
+        for of in (0, 1):
+            word = own[of]
+            found[of] |= word
+            found[of] |= self._learn(odd[of], bool(of), False)
+            found[of].update([(c, word[w] + bare[n] + bare[line] + bare[v] + bare[k]) for c, w, n, line, v, k in parts[of]])
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
         if len(self.plain) + len(self.spaced) > CACHE:
             self.older, self.plain, self.spaced = (self.plain, self.spaced), {}, {}
-        found: list[tuple] = []  # first chunk, the others, their cache, their ids as far as known
-        new_plain: set[str] = set()
-        new_spaced: set[str] = set()
+        cuts: list[tuple] = []  # first chunk, the others, whether those stand behind a space
+        need: tuple[set[str], set[str]] = (set(), set())
         for t in texts:
             if t and any(s in t for s in self.special):
-                found.append((None, t, None, None))
-                continue
-            if t and _TWO_SPACES.search(t):
-                first, chunks, cache, new = "", _CHUNK.findall(t), self.plain, new_plain
-            else:
-                first, *chunks = (t or "").split(" ")
-                cache, new = self.spaced, new_spaced
-                if first and first not in self.plain:
-                    new_plain.add(first)
-            ids = list(map(cache.get, chunks))
-            if None in ids:
-                new.update([c for c, x in zip(chunks, ids) if x is None])
-            found.append((first, chunks, cache, ids))
-        self._learn(self.plain, new_plain, "")
-        self._learn(self.spaced, new_spaced, " ")
-        out = []
-        for first, chunks, cache, ids in found:
-            if first is None:
-                out.append(self._encode([chunks])[0])
+                cuts.append((None, t, False))
                 continue
-            if None in ids:
-                ids = [cache[c] if x is None else x for c, x in zip(chunks, ids)]
-            out.append((self.plain[first] if first else b"") + b"".join(ids))
-        return out
+            spaced = not (t and _TWO_SPACES.search(t))
+            first, *chunks = (t or "").split(" ") if spaced else ["", *_CHUNK.findall(t)]
+            need[0].add(first)
+            need[spaced].update(chunks)
+            cuts.append((first, chunks, spaced))
+        need[0].discard("")
+        plain, behind = self._ids(*need)
+        plain[""] = b""
+        return [self._encode([chunks])[0] if first is None else plain[first] + b"".join(map((behind if spaced else plain).__getitem__, chunks))
+                for first, chunks, spaced in cuts]
 
 
-_OPEN: dict[str, ChunkTokenizer] = {}
+_OPEN: dict[str, ChunkTokenizer] = KEPT.setdefault("packing", {})
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
-    """The worker's tokenizer of a file; its cache serves all tasks the worker runs."""
+    """The worker's tokenizer of a file; its cache serves all tasks of packing that the worker
+    runs, until one of another operator."""
     if path not in _OPEN:
         _OPEN[path] = ChunkTokenizer(path)
     return _OPEN[path]
@@ -167,7 +229,7 @@ def tokenised_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id:
 
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    return mapped(src, run, f"_id {kind}, _row long, piece int, start long, length long, ids_crc32 long, sequence_id long")
+    return mapped(src, run, f"_id {kind}, _row long, piece int, start long, length long, ids_crc32 long, sequence_id long", "packing")
 
 
 class Bins:

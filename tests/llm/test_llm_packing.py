@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import EDGE, edge_docs, no_docs
 
-from caserank.llm import packing
+from caserank.llm import common, packing
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -147,3 +148,27 @@ def test_whole_table(spark):
     rows = packing.query(spark, "/root/testdata/sf0.001").collect()
     used = _check(rows, [(r.doc_id, r.text) for r in docs])
     assert used <= -(-sum(r.length for r in rows) // 2048) * 1.02 + 1
+
+
+def test_words_with_marks_and_line_ends_go_by_their_words(monkeypatch):
+    """Only other chunks are searched for pieces; the ids stay those of the library."""
+    lib, tok, asked = Tokenizer.from_file(PATH), packing.ChunkTokenizer(PATH), []
+    encode = tok._encode
+    monkeypatch.setattr(tok, "_encode", lambda texts: asked.extend(texts) or encode(texts))
+    texts = ["Straße und Größe, naïve&&& ende.\nNeu. café ɏes!?", "one\ntwo\n three, it's a\tb x2", "Ω ǅ 中文, ſ º"]
+    for _ in range(2):
+        got = tok.encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {" Straße", "Straße", " Größe,", " Größe", " naïve&&&", " ende.\nNeu.", " ende."} & set(asked)
+
+
+def test_a_workers_tokenizer_goes_when_another_operator_runs(spark):
+    df = spark.range(0, 4, 1, 1).selectExpr("id AS doc_id", "concat('text number ', id) AS text")
+    packing.tokenised_pieces(df, PATH, 2048, 0, "doc_id", "text").count()
+
+    def left(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([len(common.KEPT["packing"])])], ["n"])
+
+    assert common.mapped(df, left, "n long", "packing").first().n == 1
+    assert common.mapped(df, left, "n long").first().n == 0
