@@ -78,3 +78,13 @@ def test_pvalues_run_no_permutations(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(RS, "permutation_importance", lambda *a, **k: asked.append(1))
     assert E.queries()["m9_logit_pvalues"](spark, SF001).count() == len(RS.FEATURES) and not asked
+
+
+def test_best_k_runs_no_removals(spark, monkeypatch):
+    def refuse(*args, **kw):
+        raise AssertionError("the errors by k need no removals")
+
+    monkeypatch.setattr(RS, "knn_removal_importance", refuse)
+    monkeypatch.setattr("caserank.session._SHARED", {})
+    monkeypatch.setattr(RS, "KNN_KS", [3, 5])
+    assert E.queries()["w4_best_k_knn"](spark, SF001).first().k in (3, 5)
