@@ -21,13 +21,16 @@ and text columns are read, so clashing extra names do not matter.
 from __future__ import annotations
 
 import array
+import itertools
 import json
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,32 +118,27 @@ class ChunkTokenizer:
         starts, ids = (4 * starts).tolist(), ids.tobytes()
         return [ids[x:y] for x, y in zip(starts, [*starts[1:], len(ids)])]
 
-    def _known(self, keys, spaced: bool) -> tuple[dict[str, bytes], set[str]]:
-        """The ids of those that the caches have, and the others."""
+    def _unknown(self, keys, spaced: bool) -> set[str]:
+        """Those of the keys that the caches lack; what only the older one has comes to the newer."""
         cache, older = (self.spaced if spaced else self.plain), self.older[spaced]
-        found = {c: x for c in keys if (x := cache.get(c))}
-        others = set(keys).difference(found)
-        again = {c: x for c in others if (x := older.get(c))}
-        cache.update(again)
-        return found | again, others.difference(again)
-
-    def _learn(self, keys: set[str], spaced: bool, words: bool) -> dict[str, bytes]:
-        """The ids of words or of whole chunks, by the caches or the library."""
-        found, others = self._known(keys, spaced)
-        new = list(others)
-        ids = self._encode_words(new, self.signs[32] if spaced else "") if words else self._encode([" " + c for c in new] if spaced else new)
-        own = dict(zip(new, ids))
-        (self.spaced if spaced else self.plain).update(own)
-        return found | own
-
-    def _ids(self, plain: set[str], spaced: set[str]) -> list[dict[str, bytes]]:
-        """The ids of chunks that stand at the start of a text or of a cut, and behind a space."""
-        found, parts, odd, words = [], ([], []), ([], []), (set(), set())
-        marks: set[str] = set()
+        others = set(itertools.filterfalse(cache.__contains__, keys))
+        again = set(filter(older.__contains__, others))
+        cache.update((c, older[c]) for c in again)
+        return others.difference(again)
+
+    def _learn(self, keys: set[str], spaced: bool, words: bool) -> None:
+        """Put words or whole chunks into the caches, by the library."""
+        new = list(self._unknown(keys, spaced))
+        if new:
+            ids = self._encode_words(new, self.signs[32] if spaced else "") if words else self._encode([" " + c for c in new] if spaced else new)
+            (self.spaced if spaced else self.plain).update(zip(new, ids))
+
+    def _learn_all(self, plain: Iterable[str], spaced: Iterable[str]) -> None:
+        """Put chunks into the caches: those at the start of a text or of a cut, and those behind a space."""
+        parts, odd, words = ([], []), ([], []), (set(), set())
+        marks: set[str] = {"\n"}
         for of, chunks in enumerate((plain, spaced)):
-            known, others = self._known(chunks, bool(of))
-            found.append(known)
-            for c in others:
+            for c in self._unknown(chunks, bool(of)):
                 if c.isalpha() and c.isascii():
                     words[of].add(c)
                 elif m := _WORDS(c):
@@ -153,35 +151,66 @@ class ChunkTokenizer:
                 else:
                     odd[of].append(c)
         marks.discard("")
-        own = [self._learn(words[of], bool(of), True) for of in (0, 1)]
-        bare = own[0] | self._learn(marks | {"\n"}, False, False) | {"": b""}
+        self._learn(marks, False, False)
         for of in (0, 1):
-            word = own[of]
-            found[of] |= word
-            found[of] |= self._learn(odd[of], bool(of), False)
-            found[of].update([(c, word[w] + bare[n] + bare[line] + bare[v] + bare[k]) for c, w, n, line, v, k in parts[of]])
-        return found
+            self._learn(words[of], bool(of), True)
+            self._learn(odd[of], bool(of), False)
+        bare = self.plain
+        bare[""] = b""
+        for of, cache in enumerate((self.plain, self.spaced)):
+            cache.update([(c, cache[w] + bare[n] + bare[line] + bare[v] + bare[k]) for c, w, n, line, v, k in parts[of]])
+
+    def _encode_spaced(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts whose white space is single spaces or line ends alone. Arrow
+        splits them and numbers their chunks, so only distinct chunks become Python objects."""
+        split = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        chunks, code, ends = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+        starts = ends[:-1]  # a text's first chunk has no space before it
+        later = np.ones(len(code), bool)
+        later[starts] = False
+        used = np.zeros(len(chunks), bool)
+        used[code[later]] = True
+        behind = list(itertools.compress(chunks, used))
+        first = [chunks[c] for c in code[starts]]
+        own = list(map(self.spaced.get, behind))
+        new = [i for i, ids in enumerate(own) if ids is None]
+        self._learn_all(set(first).difference([""]), [behind[i] for i in new])
+        for i in new:
+            own[i] = self.spaced[behind[i]]
+        place = np.cumsum(used) - 1
+        at = np.where(later, place[code], 0)
+        at[starts] = np.arange(len(behind), len(behind) + len(first))
+        own += [self.plain[c] if c else b"" for c in first]
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        begin = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(own), "<u4")
+        n = size[at]
+        stop = np.cumsum(n)
+        ids = ids[np.repeat(begin[at] - (stop - n), n) + np.arange(stop[-1])]
+        stop = stop[ends[1:] - 1].tolist()
+        return [ids[x:y].tobytes() for x, y in zip([0, *stop], stop)]
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts with longer runs of white space."""
+        cuts = [_CHUNK.findall(t) for t in texts]
+        self._learn_all(set().union(*cuts), ())
+        return [b"".join(map(self.plain.__getitem__, chunks)) for chunks in cuts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
         if len(self.plain) + len(self.spaced) > CACHE:
             self.older, self.plain, self.spaced = (self.plain, self.spaced), {}, {}
-        cuts: list[tuple] = []  # first chunk, the others, whether those stand behind a space
-        need: tuple[set[str], set[str]] = (set(), set())
-        for t in texts:
-            if t and any(s in t for s in self.special):
-                cuts.append((None, t, False))
-                continue
-            spaced = not (t and _TWO_SPACES.search(t))
-            first, *chunks = (t or "").split(" ") if spaced else ["", *_CHUNK.findall(t)]
-            need[0].add(first)
-            need[spaced].update(chunks)
-            cuts.append((first, chunks, spaced))
-        need[0].discard("")
-        plain, behind = self._ids(*need)
-        plain[""] = b""
-        return [self._encode([chunks])[0] if first is None else plain[first] + b"".join(map((behind if spaced else plain).__getitem__, chunks))
-                for first, chunks, spaced in cuts]
+        ways: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, t in enumerate(texts):
+            if t:
+                ways[0 if any(s in t for s in self.special) else 1 if _TWO_SPACES.search(t) else 2].append(i)
+        out = [b""] * len(texts)
+        for places, encode in zip(ways, (self._encode, self._encode_cut, self._encode_spaced)):
+            if places:
+                for i, ids in zip(places, encode([texts[i] for i in places])):
+                    out[i] = ids
+        return out
 
 
 _OPEN: dict[str, ChunkTokenizer] = KEPT.setdefault("packing", {})

@@ -172,3 +172,11 @@ def test_a_workers_tokenizer_goes_when_another_operator_runs(spark):
 
     assert common.mapped(df, left, "n long", "packing").first().n == 1
     assert common.mapped(df, left, "n long").first().n == 0
+
+
+def test_words_with_marks_are_put_together_once(monkeypatch):
+    tok = packing.ChunkTokenizer(PATH)
+    texts = ["one, two! three.\nfour?  no", "one, two! three.\nfour? é; ", "one,", None, ""]
+    once = tok.encode(texts)
+    monkeypatch.setattr(packing, "_WORDS", lambda c: 1 / 0)
+    assert tok.encode(texts) == once
