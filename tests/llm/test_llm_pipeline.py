@@ -1,8 +1,10 @@
 import public_tokenizers
+import pyarrow as pa
 from llm_cases import edge_docs, no_docs
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from caserank.llm import jaccard, mil, packing, quality_rules
+from caserank.llm import common, jaccard, mil, packing, quality_rules
 from caserank.llm.common import stored
 
 SF = "/root/testdata/sf0.01"
@@ -72,3 +74,26 @@ def test_rows_of_one_id_and_text_leave_one_whatever_the_other_columns(spark):
         assert len(out) == 1 and tuple(out[0]) in {tuple(r) for r in rows}
         got.add(tuple(out[0]))
     assert len(got) == 1
+
+
+def test_long_rows_go_to_python_few_at_a_time(spark):
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)], pa.int64())], ["n"])
+
+    rows = spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 1 << 20)").alias("text"))
+    before = spark.conf.get(common.BATCH)
+    assert stored(common.mapped(rows, largest, "n long"), "t").first().n < 12 << 20 and spark.conf.get(common.BATCH) == before
+
+
+def test_workers_keep_nothing_of_a_task_that_has_ended(spark):
+    def fill(batches):
+        common.KEPT.setdefault("test", {})["it"] = 1
+        yield from batches
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common.KEPT.get("test", {}))], pa.int64())], ["id"])
+
+    assert len(common.mapped(spark.range(0, 16, 1, 16), fill, "id long").collect()) == 16
+    left = spark.range(0, 16, 1, 16).mapInArrow(held, "id long").collect()
+    assert len(left) == 16 and not any(r.id for r in left)
