@@ -8,11 +8,12 @@ Two documents link when 100 |A n B| >= percent |A u B|. The join is exact:
   link's sets differ in at most d shingles, so if the hash range is cut into k = d+1+e
   parts, at least e+1 parts hold the same shingles in both sets. Each set enters one
   tile per part (band, part, its shingles there); empty parts are left out by sets with at
-  most e of them. Linked sets thus always share a tile, unrelated ones almost never.
+  most e of them. Linked sets thus always share a tile, unrelated ones almost never: e
+  is chosen so that few sets have more empty parts, which count as tiles then.
 * A tile's smallest set is compared with the others first. Where a tile still holds
   several components, all its pairs across components are compared, tiles cut into
   blocks of bounded size. A comparison first bounds the overlap from above by bit
-  counts of hashed bitmaps, then intersects the sorted arrays.
+  counts of hashed bitmaps, which grow with the sets, then intersects the sorted arrays.
 
 Hot groups: copies collapse within a batch before any shuffle; of near copies, each
 batch sends one set per tile and the rest as links to try, so a tile has at most one
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from ..session import drop_stage, ship_package
 from .common import WordIndex, mapped, mix64, stored, table, text_batches, word_hashes, words_of
 
 WORDS, PERCENT = 4, 85
+#: Bits of a bitmap at least; of larger sets two or more a shingle, else it is full and rules nothing out.
 BITS = 2048
 TILE_BLOCK = 512
 FILTER_BITS = 24
@@ -88,7 +91,10 @@ def parts_of_band(band: int, percent: int, upto: int) -> tuple[int, int]:
     """(parts, spare parts) of a band; no parts where a link needs equal sets."""
     largest = bands(percent, upto)[band + 1] - 1
     d = largest * (100 - percent) // percent
-    spare = 1 + (3 * d + 99) // 100
+    spare = least = 1 + (3 * d + 99) // 100
+    for _ in range(2):  # four deviations above the empty parts that the band's smallest sets have on average
+        empty = (k := d + 1 + spare) * math.exp(-bands(percent, upto)[band] / k)
+        spare = max(least, min(1 + (12 * d + 99) // 100, int(empty + 4 * math.sqrt(empty)) + 1))
     return (d + 1 + spare, spare) if d else (0, 0)
 
 
@@ -124,13 +130,22 @@ def tile_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return tile_places(s, percent)[0]
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set, as 64-bit words."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+def bitmap(s: np.ndarray, n: int | None = None) -> np.ndarray:
+    """Hashed bitmap of a set, as 64-bit words, in the size for ``n`` (its own) shingles."""
+    size = max(BITS, 1 << (2 * (len(s) if n is None else n) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def overlap_bound(n, x: np.ndarray, m, y: np.ndarray) -> np.ndarray:
+    """The most that sets of sizes n and m share, row by row of their bitmaps. Bitmaps of
+    another size are folded to the smaller: a shingle's place there is its last bits."""
+    words = min(x.shape[1], y.shape[1])
+    x, y = (b if b.shape[1] == words else np.bitwise_or.reduce(b.reshape(len(b), -1, words), axis=1) for b in (x, y))
+    return np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets link: sizes, then bit counts, then the exact intersection."""
     if not len(a) or not len(b):
@@ -138,8 +153,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     need = -(-percent * (len(a) + len(b)) // (100 + percent))
     if min(len(a), len(b)) < need:
         return False
-    x, y = bitmap(a), bitmap(b)
-    most = min(len(a) - int(np.bitwise_count(x & ~y).sum()), len(b) - int(np.bitwise_count(y & ~x).sum()))
+    most = int(overlap_bound(len(a), bitmap(a)[None], len(b), bitmap(b)[None])[0])
     return most >= need and len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
@@ -284,9 +298,13 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (3, 5))
-                need = -(-percent * (n + m) // (100 + percent))
-                most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                x, y = (np.array([*b.column(c).to_pylist(), None], object)[:-1] for c in (3, 5))
+                sizes, of = np.unique([(len(i), len(j)) for i, j in zip(x, y)], axis=0, return_inverse=True)
+                need, most = -(-percent * (n + m) // (100 + percent)), np.zeros(len(n), np.int64)
+                for k in range(len(sizes)):  # rows whose bitmaps have the same sizes
+                    at = np.flatnonzero(of == k)
+                    left, right = (np.frombuffer(b"".join(c[at]), np.uint64).reshape(len(at), -1) for c in (x, y))
+                    most[at] = overlap_bound(n[at], left, m[at], right)
                 b = b.filter(pa.array((np.minimum(n, m) >= need) & (most >= need)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"])
 
@@ -437,8 +455,8 @@ def _compared(percent: int):
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            x, mine = np.frombuffer(b, np.uint64), np.frombuffer(earlier, np.int64)
-            most = np.minimum(size - np.bitwise_count(x & ~bits[at]).sum(1, dtype=np.int64), n[at] - np.bitwise_count(bits[at] & ~x).sum(1, dtype=np.int64))
+            mine = np.frombuffer(earlier, np.int64)
+            most = overlap_bound(size, np.frombuffer(b, np.uint64)[None], n[at], bits[at])
             for c in at[most >= need[at]].tolist():
                 if not np.isin(mine, np.frombuffer(right[c][8], np.int64)).any():
                     o = int(ids[c])
@@ -455,15 +473,19 @@ def _compared(percent: int):
 
 
 def _bitmaps(sets: DataFrame, percent: int) -> DataFrame:
-    """(set, band, bits, keys): a set's hashed bitmap, and its tile keys in each band."""
+    """(set, band, bits, keys): a set's hashed bitmap, of one size for all sets of a band, and
+    its tile keys in each band."""
+    starts = bands(percent, 1 << 40)
+
     def run(batches):
         for b in batches:
             for i, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = np.frombuffer(a, np.uint64)
                 k, place = tile_places(s, percent)
-                band, bits = place >> 32, bitmap(s).tobytes()
+                band = place >> 32
                 own = np.unique(band).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([bits] * len(own), pa.binary()),
+                bits = [bitmap(s, starts[x + 1]).tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(bits, pa.binary()),
                                                   pa.array([k[band == x].tobytes() for x in own], pa.binary())], ["set", "band", "bits", "keys"])
 
     return mapped(sets, _coalesced(run, 2000), "set long, band int, bits binary, keys binary")

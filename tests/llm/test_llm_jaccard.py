@@ -88,3 +88,34 @@ def test_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert flat(jc.query(spark, sf)) == brute(docs)
+
+
+def unrelated(n, size, seed=5):
+    r = np.random.default_rng(seed)
+    return [np.unique(r.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("size", [300, 4100, 9000])
+def test_bitmaps_rule_out_unrelated_sets_of_any_size(size):
+    a, b = unrelated(2, size)
+    assert jc.overlap_bound(len(a), jc.bitmap(a)[None], len(b), jc.bitmap(b)[None])[0] < 0.7 * size
+    longer = np.unique(np.concatenate([a, b[:size // 5]]))  # bitmaps of two sizes hold the bound
+    assert jc.overlap_bound(len(a), jc.bitmap(a)[None], len(longer), jc.bitmap(longer, 4 * size)[None])[0] >= len(a)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unrelated_sets_share_no_tile(percent):
+    """Those of the least size of a band have the most empty parts; as tiles these would be shared."""
+    start = next(b for b in jc.bands(percent, 1 << 13) if b > 3000)
+    tiles = [jc.tile_keys(s, percent) for s in unrelated(300, start)]
+    keys, times = np.unique(np.concatenate(tiles), return_counts=True)
+    assert (times == 1).all()
+
+
+def test_pairs_of_long_unrelated_texts_are_not_kept(spark):
+    sets = unrelated(3, 4000)
+    near = np.unique(np.concatenate([sets[0][:3900], sets[1][:60]]))
+    rows = [(i, s.tobytes()) for i, s in enumerate([*sets, near])]
+    df = spark.createDataFrame(rows, "set long, arr binary")
+    pairs = spark.createDataFrame([(i, j) for j in range(4) for i in range(j)], "x long, y long")
+    assert [tuple(r) for r in jc._bounded(pairs, df, 80).collect()] == [(0, 3)]
